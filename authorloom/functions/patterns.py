@@ -7,10 +7,7 @@ are written out and every pattern below works in Spark SQL and in DuckDB.
 from __future__ import annotations
 
 # The characters that count as white space, letters and digits.
-SPACE = (
-    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 
@@ -27,6 +24,7 @@ AGE_GENDER = (
     rf"|(?:{_GENDER})[{SPACE}]*{DIGIT}+)[{SPACE}]*\)"
 )
 WHITESPACE_RUN = rf"[{SPACE}]+"
+WORD_RUN = rf"[^{SPACE}]+"
 TOKEN = rf"[{WORD}]{{2,}}"
 
 # Image hosts and endings.

@@ -52,10 +52,13 @@ def char_count(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of blank-separated words; counts blanks, so no array is built."""
-    flat = collapse_ws(text)
-    blanks = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
-    return F.when(F.length(flat) == 0, F.lit(0)).otherwise(blanks + 1).cast("int")
+    """Number of words separated by white space."""
+    return F.regexp_count(text, F.lit(P.java(P.WORD_RUN))).cast("int")
+
+
+def has_words(text: Column) -> Column:
+    """Is there anything but white space? False for a missing text."""
+    return F.coalesce(text.rlike(f"[^{P.SPACE}]"), F.lit(False))
 
 
 def accent_table() -> tuple[str, str, dict[str, str]]:

@@ -1,14 +1,16 @@
 """Multinomial naive Bayes over word counts, as joins and sums.
 
 All experiments of a family are counted in one pass over the tokens: each brings a
-condition on training rows and gets its own vocabulary and weights.
+condition on training rows and gets its own vocabulary and weights. Every text also
+counts one empty term, which carries the class totals and, in the model, the prior;
+so a text without a known word still meets the model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authorloom.functions.text import tokenize
@@ -16,26 +18,11 @@ from authorloom.operators.split import TrainConfig
 from authorloom.operators.words import exploded_terms
 
 ALL_ROWS = TrainConfig("all")
+EACH_TEXT = ""
 
 
-def train_totals(train: DataFrame, configs: Sequence[TrainConfig]) -> DataFrame:
-    """(experiment_name, docs_0, docs_1): training rows per class."""
-    sums = []
-    for i, config in enumerate(configs):
-        use = config.condition()
-        sums.append(F.count_if(use & ~F.col("has_label")).alias(f"d0_{i}"))
-        sums.append(F.count_if(use & F.col("has_label")).alias(f"d1_{i}"))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c.name).alias("experiment_name"),
-                F.col(f"d0_{i}").alias("docs_0"),
-                F.col(f"d1_{i}").alias("docs_1"),
-            )
-            for i, c in enumerate(configs)
-        ]
-    )
-    return train.agg(*sums).select(F.explode(rows).alias("_r")).select("_r.*")
+def _tokens(stop_words: Iterable[str]) -> Column:
+    return F.concat(tokenize(F.col("text"), stop_words), F.array(F.lit(EACH_TEXT)))
 
 
 def train_terms(
@@ -48,44 +35,48 @@ def train_terms(
     flags = [c.condition().alias(f"use_{i}") for i, c in enumerate(configs)]
     prepared = train.select("has_label", "text", *flags)
     names = ["has_label", *[f"use_{i}" for i in range(len(configs))]]
-    rows = exploded_terms(prepared, tokenize(F.col("text"), stop_words), names)
-    sums = []
-    for i in range(len(configs)):
-        use, label = F.col(f"use_{i}"), F.col("has_label")
+    rows = exploded_terms(prepared, _tokens(stop_words), names)
+    label = F.col("has_label")
+    sums, long = [], []
+    for i, config in enumerate(configs):
+        use = F.col(f"use_{i}")
         sums.append(F.sum(F.when(use & ~label, F.col("tf")).otherwise(0)).alias(f"tf0_{i}"))
         sums.append(F.sum(F.when(use & label, F.col("tf")).otherwise(0)).alias(f"tf1_{i}"))
         sums.append(F.sum(F.when(use, F.col("df")).otherwise(0)).alias(f"df_{i}"))
-    long = F.array(
-        *[
+        long.append(
             F.struct(
-                F.lit(c.name).alias("experiment_name"),
+                F.lit(config.name).alias("experiment_name"),
                 F.col(f"tf0_{i}").alias("tf_0"),
                 F.col(f"tf1_{i}").alias("tf_1"),
                 F.col(f"df_{i}").alias("df"),
             )
-            for i, c in enumerate(configs)
-        ]
-    )
+        )
     counted = rows.groupBy("term").agg(*sums)
-    exploded = counted.select("term", F.explode(long).alias("_r")).select("term", "_r.*")
-    return exploded.where(F.col("df") > 0)
+    return counted.select("term", F.inline(F.array(*long))).where(F.col("df") > 0)
+
+
+def train_totals(terms: DataFrame) -> DataFrame:
+    """(experiment_name, docs_0, docs_1): training texts per class."""
+    return terms.where(F.col("term") == EACH_TEXT).select(
+        "experiment_name", F.col("tf_0").alias("docs_0"), F.col("tf_1").alias("docs_1")
+    )
 
 
 def fit_vocab(
     terms: DataFrame,
-    totals: DataFrame,
-    configs: Sequence[TrainConfig],
+    configs: Sequence[TrainConfig] = (ALL_ROWS,),
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.95,
 ) -> DataFrame:
     """The most frequent terms of each experiment within the document-frequency band."""
-    rows = F.broadcast(
-        totals.select("experiment_name", (F.col("docs_0") + F.col("docs_1")).alias("_docs"))
+    # One row per experiment on the right.
+    totals = F.broadcast(train_totals(terms))
+    fits = (F.col("df") >= min_df) & (
+        F.col("df") <= F.lit(max_df) * (F.col("docs_0") + F.col("docs_1"))
     )
-    fits = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_docs"))
-    kept = terms.join(rows, "experiment_name").where(fits).drop("_docs")
-    kept = kept.withColumn("n", F.col("tf_0") + F.col("tf_1"))
+    words = terms.where(F.col("term") != EACH_TEXT).withColumn("n", F.col("tf_0") + F.col("tf_1"))
+    kept = words.join(totals, "experiment_name").where(fits)
     parts = [
         kept.where(F.col("experiment_name") == c.name).orderBy(F.desc("n"), "term").limit(max_features)
         for c in configs
@@ -93,31 +84,36 @@ def fit_vocab(
     vocab = parts[0]
     for part in parts[1:]:
         vocab = vocab.unionByName(part)
-    return vocab.select("experiment_name", "term", "tf_0", "tf_1", "df", "n")
+    return vocab.select("experiment_name", "term", "tf_0", "tf_1", "df", "n", "docs_0", "docs_1")
 
 
-def fit_naive_bayes(vocab: DataFrame, totals: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(experiment_name, term, log_0, log_1, prior_0, prior_1) with raw class priors."""
-    sizes = vocab.groupBy("experiment_name").agg(
-        F.sum("tf_0").alias("_n0"), F.sum("tf_1").alias("_n1"), F.count(F.lit(1)).alias("_v")
-    )
+def fit_naive_bayes(vocab: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(experiment_name, term, log_0, log_1); the empty term holds the raw log priors.
+
+    A vocabulary has at most ``max_features`` rows per experiment, so its sums are
+    taken by a window.
+    """
+    every = Window.partitionBy("experiment_name")
+    size = F.count(F.lit(1)).over(every)
     docs = F.col("docs_0") + F.col("docs_1")
-    classes = sizes.join(totals, "experiment_name").select(
-        "experiment_name", "_n0", "_n1", "_v",
-        F.ln(F.try_divide("docs_0", docs)).alias("prior_0"),
-        F.ln(F.try_divide("docs_1", docs)).alias("prior_1"),
-    )
 
-    def log_share(count: str, total: str):
-        return F.ln((F.col(count) + alpha) / (F.col(total) + alpha * F.col("_v")))
+    def log_share(count: str) -> Column:
+        return F.ln((F.col(count) + alpha) / (F.sum(count).over(every) + alpha * size))
 
-    # One row per experiment on the right.
-    return vocab.join(F.broadcast(classes), "experiment_name").select(
+    weighted = vocab.select(
         "experiment_name", "term",
-        log_share("tf_0", "_n0").alias("log_0"),
-        log_share("tf_1", "_n1").alias("log_1"),
-        "prior_0", "prior_1",
+        log_share("tf_0").alias("log_0"),
+        log_share("tf_1").alias("log_1"),
+        F.ln(F.try_divide("docs_0", docs)).alias("prior_0"),
+        F.ln(F.try_divide("docs_1", docs)).alias("prior_1"),
+        F.row_number().over(every.orderBy("term")).alias("_row"),
     )
+    prior = F.struct(
+        F.lit(EACH_TEXT).alias("term"), F.col("prior_0").alias("log_0"), F.col("prior_1").alias("log_1")
+    )
+    word = F.struct("term", "log_0", "log_1")
+    rows = F.when(F.col("_row") == 1, F.array(prior, word)).otherwise(F.array(word))
+    return weighted.select("experiment_name", F.inline(rows))
 
 
 def predict_naive_bayes(
@@ -130,8 +126,7 @@ def predict_naive_bayes(
     """Class and P(true) of every text for every experiment.
 
     The model has at most ``max_features`` terms per experiment, so it is broadcast
-    with one weight column each. A text's tokens sum to one row in their task; texts
-    without a known term get the prior.
+    with one weight column each. A text's tokens sum to one row in their task.
     """
     keep = list(keep)
     weights = model.groupBy("term").agg(
@@ -140,29 +135,21 @@ def predict_naive_bayes(
             for i, c in enumerate(configs)
         ]
     )
-    priors = model.groupBy("experiment_name").agg(
-        F.max(F.col("prior_1") - F.col("prior_0")).alias("_prior")
-    )
-    tokens = docs.select(*keep, F.explode_outer(tokenize(F.col("text"), stop_words)).alias("term"))
+    tokens = docs.select(*keep, F.explode(_tokens(stop_words)).alias("term"))
     sums = (
-        tokens.join(F.broadcast(weights), "term", "left")
+        tokens.join(F.broadcast(weights), "term")
         .groupBy(*keep)
-        .agg(*[F.coalesce(F.sum(f"w_{i}"), F.lit(0.0)).alias(f"s_{i}") for i in range(len(configs))])
+        .agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(configs))])
     )
     rows = F.array(
         *[
-            F.struct(F.lit(c.name).alias("experiment_name"), F.col(f"s_{i}").alias("_s"))
+            F.struct(F.lit(c.name).alias("experiment_name"), F.col(f"s_{i}").alias("_odds"))
             for i, c in enumerate(configs)
         ]
     )
-    long = sums.select(*keep, F.explode(rows).alias("_r")).select(*keep, "_r.*")
-    odds = F.least(F.greatest(F.col("_s") + F.col("_prior"), F.lit(-700.0)), F.lit(700.0))
-    return (
-        long.join(F.broadcast(priors), "experiment_name")
-        .withColumn("_odds", odds)
-        .select(
-            "experiment_name", *keep,
-            (1.0 / (1.0 + F.exp(-F.col("_odds")))).alias("proba"),
-            (F.col("_odds") > 0).cast("int").alias("predicted"),
-        )
+    odds = F.least(F.greatest(F.col("_odds"), F.lit(-700.0)), F.lit(700.0))
+    return sums.select(*keep, F.inline(rows)).select(
+        "experiment_name", *keep,
+        (1.0 / (1.0 + F.exp(-odds))).alias("proba"),
+        (F.col("_odds") > 0).cast("int").alias("predicted"),
     )

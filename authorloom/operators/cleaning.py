@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorloom.functions.text import char_count, clean_text, word_count
+from authorloom.operators.skew import evaluate_once
 
 
 def language_filter(content: DataFrame, keep: str = "en", column: str = "lang") -> DataFrame:
@@ -16,7 +17,7 @@ def language_filter(content: DataFrame, keep: str = "en", column: str = "lang")
 
 def rewrite_text(content: DataFrame, greedy: bool = True, strict: bool = False) -> DataFrame:
     """Remove tags, links, mentions, spoiler marks and age notes from the text."""
-    return content.withColumn("text", clean_text(F.col("text"), greedy, strict))
+    return evaluate_once(content, text=clean_text(F.col("text"), greedy, strict))
 
 
 def drop_empty(content: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from authorloom.functions.hashing import pseudonym
 from authorloom.functions.phrases import PhrasePattern
 from authorloom.functions.text import collapse_ws
 from authorloom.functions.urls import image_extension, urls_in_text, urls_of_post
+from authorloom.operators.skew import evaluate_once
 
 
 def drop_bots(items: DataFrame, author: str = "author") -> DataFrame:
@@ -25,7 +26,7 @@ def drop_moderator(items: DataFrame, mark: str = "distinguished") -> DataFrame:
 
 def pseudonymise(items: DataFrame, column: str, key: str) -> DataFrame:
     """Replace a name or id by its keyed code and drop rows without one."""
-    return items.withColumn(column, pseudonym(F.col(column), key)).where(F.col(column).isNotNull())
+    return items.where(F.length(column) > 0).withColumn(column, pseudonym(F.col(column), key))
 
 
 def epoch_to_ts(seconds: Column) -> Column:
@@ -36,7 +37,7 @@ def epoch_to_ts(seconds: Column) -> Column:
 def pick_body(items: DataFrame) -> DataFrame:
     """Text of a post is its self text, of a comment its body; drop items without."""
     body = F.when(F.col("kind") == "post", F.col("selftext")).otherwise(F.col("body"))
-    return items.withColumn("text", collapse_ws(body)).where(F.col("text").isNotNull())
+    return evaluate_once(items.where(body.isNotNull()), text=collapse_ws(body))
 
 
 def with_media_urls(items: DataFrame) -> DataFrame:
@@ -181,9 +182,7 @@ def build_content(
     it no content has media. The links stay in ``media_urls``.
     """
     items = drop_moderator(drop_bots(items))
-    items = items.withColumn("author", pseudonym(F.col("author"), key))
-    items = items.withColumn("id", pseudonym(F.col("id"), key))
-    items = items.where(F.col("author").isNotNull() & F.col("id").isNotNull())
+    items = pseudonymise(pseudonymise(items, "author", key), "id", key)
     items = with_media_urls(pick_body(items))
     if status is None:
         items = items.withColumn("has_media", F.lit(False))

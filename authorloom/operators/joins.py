@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorloom.operators.skew import skew_join
 
 
-def label_content(content: DataFrame, users: DataFrame) -> DataFrame:
+def label_content(content: DataFrame, users: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Content of known authors with the author's columns added."""
-    return skew_join(content, users.withColumnRenamed("id", "author"), "author")
+    return skew_join(content, users.withColumnRenamed("id", "author"), "author", hot=hot)
 
 
-def author_content(users: DataFrame, content: DataFrame) -> DataFrame:
+def author_content(users: DataFrame, content: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Left join of users to their content (``content_id`` is the item's id).
 
     Written as matched rows plus users without content: a very active author can
     then be split, which a left join does not allow on its right side.
     """
     items = content.withColumnRenamed("id", "content_id")
-    matched = skew_join(items, users.withColumnRenamed("id", "author"), "author")
-    silent = users.withColumnRenamed("id", "author").join(
+    known = users.withColumnRenamed("id", "author")
+    matched = skew_join(items, known, "author", hot=hot, spread_by="content_id")
+    silent = known.join(
         content.select("author").distinct(), "author", "left_anti"
     )
     return matched.unionByName(silent, allowMissingColumns=True)
 
 
-def drop_orphan_content(content: DataFrame, users: DataFrame) -> DataFrame:
+def drop_orphan_content(content: DataFrame, users: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Content whose author is known."""
-    return skew_join(content, users.select(F.col("id").alias("author")), "author", "left_semi")
+    known = users.select(F.col("id").alias("author"))
+    return skew_join(content, known, "author", "left_semi", hot)
 
 
 def drop_empty_users(users: DataFrame, content: DataFrame) -> DataFrame:

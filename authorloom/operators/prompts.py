@@ -39,7 +39,7 @@ def _lines(*parts: Column) -> Column:
 def build_prompt(
     strategy: str, text: Column, template: PromptTemplate = PromptTemplate(), examples: Column | None = None
 ) -> Column:
-    """Prompt of one strategy; ``examples`` is an array of (text, has_label), positives first."""
+    """Prompt of one strategy; ``examples`` is the text of the solved examples."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     head = [F.lit(template.fill(template.task))]
@@ -51,14 +51,7 @@ def build_prompt(
     if strategy != "few_shot":
         return _lines(*head, question, closing)
 
-    def solved(example: Column) -> Column:
-        label = F.when(example["has_label"], template.positive).otherwise(template.negative)
-        return F.concat(
-            F.lit(template.text), example["text"], F.lit("\n" + template.label), label
-        )
-
-    shown = F.array_join(F.transform(examples, solved), "\n")
-    return _lines(*head, F.lit(template.examples), shown, question, closing)
+    return _lines(*head, F.lit(template.examples), examples, question, closing)
 
 
 def few_shot_examples(train: DataFrame, k: int = 2, seed: int = 22) -> DataFrame:
@@ -66,13 +59,12 @@ def few_shot_examples(train: DataFrame, k: int = 2, seed: int = 22) -> DataFrame
     return first_by_hash(train, "has_label", "id", k, seed).select("id", "text", "has_label")
 
 
-def examples_array(examples: DataFrame) -> DataFrame:
-    """One row with the few examples as an array, positives first."""
-    rows = F.collect_list(F.struct((~F.col("has_label")).alias("order"), "id", "text", "has_label"))
-    ordered = F.transform(
-        F.array_sort(rows), lambda r: F.struct(r["text"].alias("text"), r["has_label"].alias("has_label"))
-    )
-    return examples.agg(ordered.alias("examples"))
+def solved_examples(examples: DataFrame, template: PromptTemplate = PromptTemplate()) -> DataFrame:
+    """One row with the few examples written out, positives first."""
+    label = F.when(F.col("has_label"), template.positive).otherwise(template.negative)
+    shown = F.concat(F.lit(template.text), F.col("text"), F.lit("\n" + template.label), label)
+    rows = F.collect_list(F.struct((~F.col("has_label")).alias("order"), "id", shown.alias("shown")))
+    return examples.agg(F.array_join(F.array_sort(rows)["shown"], "\n").alias("shown"))
 
 
 def build_prompts(
@@ -84,7 +76,7 @@ def build_prompts(
     """Add ``strategy`` and ``prompt`` to every content row."""
     shown = None
     if strategy == "few_shot":
-        shown = examples_array(examples).scalar()
+        shown = solved_examples(examples, template).scalar()
     prompt = build_prompt(strategy, F.col("text"), template, shown)
     return content.withColumn("strategy", F.lit(strategy)).withColumn("prompt", prompt)
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorloom.functions.phrases import PhrasePattern
+from authorloom.operators.skew import evaluate_once
 
 
 def flag_pattern(content: DataFrame, pattern: PhrasePattern, column: str = "text") -> DataFrame:
     """Set ``has_pattern`` from a search in one column."""
-    return content.withColumn("has_pattern", pattern.search(F.col(column)))
+    return evaluate_once(content, has_pattern=pattern.search(F.col(column)))
 
 
 def relabel(

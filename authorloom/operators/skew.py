@@ -1,23 +1,32 @@
-"""Equi-join of a large table with a keyed one when a few keys are very frequent."""
+"""Joining a large table with a keyed one when a few keys are very frequent.
+
+The large table stands on the left, where adaptive execution can split a skewed
+partition. Where the frequent keys are known, their rows are salted as well, which
+also holds when the join feeds an aggregation on the same key.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1e-3
+HOT_ROWS = 5_000_000
 SALTS = 512
 
 
-def hot_keys(big: DataFrame, key: str, share: float = HOT_SHARE, floor: int = 1_000_000) -> DataFrame:
-    """Keys holding at least ``share`` of all rows: never more than ``1 / share`` keys.
+def hot_keys(table: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list:
+    """Keys with at least ``share`` of all rows: at most ``1 / share`` values.
 
-    Only the key column is read, and counts are combined before the shuffle. A key
-    below ``floor`` rows fits one task whatever its share.
+    Reads the key column only and counts before the shuffle. Take it from the stored
+    table, not from a derived one. A key below ``rows`` rows fits one task anyway.
     """
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.where((F.col("_n") >= share * total) & (F.col("_n") >= floor)).select(key)
+    counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.where((F.col("_n") >= rows) & (F.col("_n") >= share * total))
+    return [row[0] for row in hot.select(key).limit(int(1 / share)).collect()]
 
 
 def skew_join(
@@ -25,24 +34,33 @@ def skew_join(
     keyed: DataFrame,
     key: str,
     how: str = "inner",
+    hot: Sequence = (),
     salts: int = SALTS,
-    share: float = HOT_SHARE,
-    floor: int = 1_000_000,
+    spread_by: str = "id",
 ) -> DataFrame:
-    """Join ``big`` to ``keyed`` on ``key`` without sending a hot key to one task.
+    """Join ``big`` (left) to ``keyed`` on ``key``; ``hot`` keys go to many tasks.
+
+    Rows of a hot key are spread by a hash of ``spread_by``, and only the hot rows
+    of ``keyed`` are repeated. Supports inner, left, left_semi and left_anti.
+    """
+    hot = list(hot)
+    if not hot:
+        return big.join(keyed, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    left = big.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    right = keyed.withColumn("_salt", F.explode(F.when(is_hot, copies).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace costly columns so that later steps read them as values.
 
-    Rows of hot keys are spread over ``salts`` sub-keys by a hash of the whole row
-    identity (``id`` if present), and only the matching rows of ``keyed`` are
-    repeated. The list of hot keys is bounded by ``1 / share``, so it is broadcast.
-    Supports inner, left, left_semi and left_anti with ``big`` on the left.
+    Spark otherwise rewrites every later filter in terms of the expression and runs
+    it again for each. A one-row generator ends that rewriting and stays in codegen.
     """
-    hot = F.broadcast(hot_keys(big, key, share, floor).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64("id" if "id" in big.columns else key), F.lit(salts)).cast("int")
-    left = big.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
+    kept = [c for c in df.columns if c not in columns]
+    packed = F.array(F.struct(*[expr.alias(name) for name, expr in columns.items()]))
+    order = df.columns + [name for name in columns if name not in df.columns]
+    return df.select(*kept, F.inline(packed)).select(*order)

@@ -9,18 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authorloom.functions.hashing import order_key
-from authorloom.functions.text import collapse_ws
+from authorloom.functions.text import has_words
 from authorloom.operators.joins import label_content
 from authorloom.operators.ranks import rank_by_hash
 
 SEED = 22
 
 
-def experiment_base(users: DataFrame, content: DataFrame) -> DataFrame:
+def experiment_base(users: DataFrame, content: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Labelled content without disclosures and without blank texts."""
     open_text = ~F.coalesce("has_pattern", F.lit(False))
-    blank = F.coalesce(collapse_ws(F.col("text")), F.lit("")) == ""
-    return label_content(content.where(open_text & ~blank), users)
+    return label_content(content.where(open_text & has_words(F.col("text"))), users, hot)
 
 
 def stratified_author_split(
@@ -45,10 +44,10 @@ def stratified_author_split(
     return ranked.select("author", "has_label", name.alias("split"))
 
 
-def with_split(base: DataFrame, split: DataFrame) -> DataFrame:
+def with_split(base: DataFrame, split: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Content rows with their author's split; replaces three membership tests."""
     labelled = split.select(F.col("author").alias("id"), "split")
-    return label_content(base, labelled)
+    return label_content(base, labelled, hot)
 
 
 @dataclass(frozen=True)

@@ -200,7 +200,7 @@ def distinct_days(c):
 
 @query("distinct_labels", "SELECT DISTINCT author, has_label FROM o_labelled")
 def distinct_labels(c):
-    return C.distinct_labels(label_content(c.content.select("id", "author"), c.users))
+    return C.distinct_labels(label_content(c.content.select("id", "author"), c.users, c.hot))
 
 
 @query("median_posts_by_group", f"""

@@ -32,7 +32,7 @@ SELECT u.id, u.has_label, u.first_found_in, a.* EXCLUDE (author)
 FROM v_users u JOIN (SELECT author, {_COUNTS_SQL}, {_STATS_SQL} FROM o_clean GROUP BY author) a ON a.author = u.id
 """)
 def users_enriched(c):
-    return rounded(clean_corpus(c.users, c.flat, language=None)[0], *STATS)
+    return rounded(clean_corpus(c.users, c.flat, language=None, hot=c.hot)[0], *STATS)
 
 
 @query("author_counts", f"SELECT author, {_COUNTS_SQL} FROM o_clean GROUP BY author")
@@ -88,7 +88,7 @@ def lang_filter(c):
 _GRAMS = """
 g AS (
   SELECT id, lang, gram FROM (
-    SELECT id, lang, unnest(list_transform(range(1, len(l) - 1), i -> l[i] || l[i + 1] || l[i + 2])) AS gram
+    SELECT id, lang, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS gram
     FROM (SELECT id, lang, regexp_extract_all(
                    ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ', '.') AS l
           FROM v_content))),

@@ -9,27 +9,28 @@ from authorloom.operators import bag_of_words as B
 from authorloom.operators import evaluation as E
 from authorloom.operators import prompts as P
 from authorloom.operators.linear import text_classifier_lr
+from authorloom.operators.skew import skew_join
 from authorloom.operators.split import (
     TrainConfig,
     experiment_base,
     stratified_author_split,
     train_filter,
-    with_split,
 )
+
 from authorloom.plans.catalogue.registry import STOP_SQL, STOP_WORDS, query, rounded
-from authorloom.plans.experiments import as_dataset
+from authorloom.plans.experiments import as_dataset, bag_of_words_scores, split_rows
+from authorloom.session import materialise
 
 CONFIG = TrainConfig("all")
 FILTERED = TrainConfig("filtered", ("r/web",), min_words=29, min_content=6)
 
 
 def _base(c):
-    return experiment_base(c.users, c.counted)
+    return experiment_base(c.users, c.counted, c.hot)
 
 
 def _rows(c):
-    base = _base(c)
-    return with_split(base, stratified_author_split(base))
+    return split_rows(c.users, c.counted, hot=c.hot)
 
 
 @query("experiment_base", """
@@ -80,16 +81,15 @@ vocab AS (
   WHERE df >= 2 AND df <= 0.95e0 * (SELECT n FROM docs) ORDER BY n DESC, term LIMIT 5000),
 sizes AS (SELECT sum(tf_0) AS n0, sum(tf_1) AS n1, count(*) AS v FROM vocab),
 model AS (
-  SELECT term, ln((tf_0 + 1) / (s.n0 + s.v)) AS log_0, ln((tf_1 + 1) / (s.n1 + s.v)) AS log_1,
-         ln(d.n0 / d.n) AS prior_0, ln(d.n1 / d.n) AS prior_1
-  FROM vocab CROSS JOIN sizes s CROSS JOIN docs d)
+  SELECT term, ln((tf_0 + 1) / (s.n0 + s.v)) AS log_0, ln((tf_1 + 1) / (s.n1 + s.v)) AS log_1
+  FROM vocab CROSS JOIN sizes s
+  UNION ALL SELECT '', ln(n0 / n), ln(n1 / n) FROM docs)
 """
 
 
 def _vocab(c):
     train = _rows(c).where(F.col("split") == "train")
-    totals = B.train_totals(train, [CONFIG])
-    return B.fit_vocab(B.train_terms(train, [CONFIG], STOP_WORDS), totals, [CONFIG]), totals
+    return B.fit_vocab(materialise(B.train_terms(train, [CONFIG], STOP_WORDS)))
 
 
 @query("vocab", f"""
@@ -97,14 +97,10 @@ WITH {_FIT}
 SELECT 'all' AS experiment_name, term, tf_0, tf_1, df, n FROM vocab
 """)
 def vocab(c):
-    return _vocab(c)[0]
-
-
-def _model(c):
-    return B.fit_naive_bayes(*_vocab(c))
+    return _vocab(c).drop("docs_0", "docs_1")
 
 
-_LOGS = ("log_0", "log_1", "prior_0", "prior_1")
+_LOGS = ("log_0", "log_1")
 
 
 @query("nb_model", f"""
@@ -112,7 +108,7 @@ WITH {_FIT}
 SELECT 'all' AS experiment_name, term, {", ".join(f"round({x}, 6) AS {x}" for x in _LOGS)} FROM model
 """)
 def nb_model(c):
-    return rounded(_model(c), *_LOGS)
+    return rounded(B.fit_naive_bayes(_vocab(c)), *_LOGS)
 
 
 _SCORED = rf"""
@@ -124,7 +120,7 @@ sums AS (
   SELECT t.id, sum(m.log_1 - m.log_0) AS s FROM tokens t JOIN model m ON m.term = t.term GROUP BY t.id),
 odds AS (
   SELECT b.id, b.author, b.has_label, b.split,
-         least(greatest(coalesce(s.s, 0) + (SELECT max(prior_1 - prior_0) FROM model), -700), 700) AS o
+         least(greatest(coalesce(s.s, 0) + (SELECT log_1 - log_0 FROM model WHERE term = ''), -700), 700) AS o
   FROM base_rows b LEFT JOIN sums s ON s.id = b.id WHERE b.split <> 'train'),
 scored AS (
   SELECT id, author, has_label, split, 1 / (1 + exp(-o)) AS proba,
@@ -134,9 +130,7 @@ scored AS (
 
 
 def _scores(c):
-    rows = _rows(c)
-    held_out = rows.where(F.col("split") != "train")
-    return B.predict_naive_bayes(held_out, _model(c), [CONFIG], STOP_WORDS)
+    return bag_of_words_scores(_rows(c), [CONFIG], STOP_WORDS)
 
 
 @query("nb_predict", f"""
@@ -221,12 +215,14 @@ authors AS (
 def _proba_rows(c):
     """Given text probabilities of validation and test authors."""
     split = stratified_author_split(_base(c)).where(F.col("split") != "train").drop("has_label")
-    rows = c.view("v_doc_proba").join(split, "author").withColumn("dataset", as_dataset())
+    proba = c.view("v_doc_proba")
+    rows = skew_join(proba, split, "author", hot=c.hot, spread_by="content_id")
+    rows = rows.withColumn("dataset", as_dataset())
     return rows.withColumn("experiment_name", F.lit("all"))
 
 
 def _authors(c):
-    return E.author_mean_proba(_proba_rows(c), digits=9)
+    return materialise(E.author_mean_proba(_proba_rows(c), digits=9))
 
 
 @query("author_mean_proba", f"""

@@ -88,7 +88,7 @@ _LINKED = "coalesce(body, '') || ' (see ' || url || ').'"
 SELECT DISTINCT id, url FROM (
   SELECT id, unnest(list_transform(
     regexp_extract_all({flat_sql(_LINKED)}, {quoted(P.TEXT_IMAGE_URL, True)}),
-    u -> replace(rtrim(rtrim(rtrim(split_part(u, '?', 1), ')'), '.'), ')'), '&amp;', '&'))) AS url
+    lambda u: replace(rtrim(rtrim(rtrim(split_part(u, '?', 1), ')'), '.'), ')'), '&amp;', '&'))) AS url
   FROM v_raw)
 """)
 def media_urls_text(c):
@@ -236,7 +236,7 @@ SELECT id, author, type FROM (
 WHERE r <= CASE WHEN type = 'post' THEN 3 ELSE 1 END
 """)
 def cap_per_author(c):
-    return I.cap_per_author(c.content.select("id", "author", "type", "timestamp"), 3, 1)
+    return I.cap_per_author(c.content.select("id", "author", "type", "timestamp"), 3, 1).drop("timestamp")
 
 
 @query("ingest_counters", """

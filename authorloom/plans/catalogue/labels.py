@@ -85,7 +85,7 @@ FROM v_users u LEFT JOIN v_content_run1 c ON c.author = u.id
 """)
 def author_content(c):
     content = c.view("v_content_run1").select("id", "author", "type")
-    return J.author_content(c.users, content).select(
+    return J.author_content(c.users, content, c.hot).select(
         "content_id", "author", "has_label", "first_found_in", "type"
     )
 
@@ -94,7 +94,7 @@ def author_content(c):
 SELECT id, author FROM v_content WHERE author IN (SELECT id FROM v_users WHERE has_label)
 """)
 def orphan_content(c):
-    return J.drop_orphan_content(c.content.select("id", "author"), c.users.where("has_label"))
+    return J.drop_orphan_content(c.content.select("id", "author"), c.users.where("has_label"), c.hot)
 
 
 @query("empty_users", """

@@ -92,7 +92,7 @@ kept AS (
 def _published(c):
     content = c.view("v_content_run1").select("id", "author", "text", "has_media")
     flags = M.flag_nsfw(_scores(c))
-    return publish_corpus(c.users, content, c.media, flags, c.boxes, F.col("readable"))
+    return publish_corpus(c.users, content, c.media, flags, c.boxes, F.col("readable"), hot=c.hot)
 
 
 @query("publish_manifest", f"""

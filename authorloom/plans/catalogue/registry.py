@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from authorloom.functions.phrases import compile_phrases
 from authorloom.functions.text import collapse_ws
 from authorloom.operators.cleaning import with_text_counts
 from authorloom.operators.selfreport import flag_pattern
+from authorloom.operators.skew import evaluate_once, hot_keys
 from authorloom.plans.curate import clean_content
 from authorloom.plans.fixtures import VIEWS, Corpus, needed
 
@@ -91,16 +93,21 @@ class Inputs(Corpus):
     @property
     def flat(self) -> DataFrame:
         """Content as ingest leaves it: flat text and a disclosure flag."""
-        rows = self.content.withColumn("text", collapse_ws(F.col("text")))
+        rows = evaluate_once(self.content, text=collapse_ws(F.col("text")))
         return flag_pattern(rows, PATTERN)
 
+    @cached_property
+    def hot(self) -> list[str]:
+        """Very active authors, counted on the pruned source tables."""
+        return hot_keys(self.content, "author")
+
     @property
     def counted(self) -> DataFrame:
         return with_text_counts(self.flat)
 
     @property
     def clean(self) -> DataFrame:
-        return clean_content(self.users, self.flat, language=None)
+        return clean_content(self.users, self.flat, language=None, hot=self.hot)
 
 
 def query(name: str, sql: str | None = None):

@@ -55,7 +55,7 @@ SELECT has_label, term, n, n_docs FROM (
     GROUP BY has_label, term HAVING count(DISTINCT id) >= 10)) WHERE r <= 100
 """)
 def word_freq_by_label(c):
-    return W.word_frequencies_by_label(label_content(c.content, c.users), STOP_WORDS)
+    return W.word_frequencies_by_label(label_content(c.content, c.users, c.hot), STOP_WORDS)
 
 
 @query("sample_per_class", """
@@ -65,7 +65,7 @@ SELECT id, has_label FROM (
   FROM v_content c JOIN v_users u ON u.id = c.author) WHERE r <= 200
 """)
 def sample(c):
-    return W.sample_per_class(label_content(c.content, c.users), 200).select("id", "has_label")
+    return W.sample_per_class(label_content(c.content, c.users, c.hot), 200).select("id", "has_label")
 
 
 _LEXICON = {"function": ["the", "of", "and"], "verb": ["is", "was", "are"]}
@@ -83,7 +83,7 @@ FROM v_doc_scores s JOIN v_content c ON c.id = s.content_id JOIN v_users u ON u.
 
 
 def _medians(c, exclude=()):
-    classes = label_content(c.content.select("id", "author"), c.users).select(
+    classes = label_content(c.content.select("id", "author"), c.users, c.hot).select(
         F.col("id").alias("content_id"), "has_label"
     )
     medians = W.median_score_by_class(c.view("v_doc_scores"), classes, exclude)
@@ -123,4 +123,4 @@ SELECT has_label, category, mean_freq FROM (
   FROM hits h JOIN sizes s ON s.has_label = h.has_label) WHERE r <= 10
 """)
 def theme_means(c):
-    return rounded(W.theme_means(label_content(c.content, c.users), c.lexicon), "mean_freq", digits=9)
+    return rounded(W.theme_means(label_content(c.content, c.users, c.hot), c.lexicon), "mean_freq", digits=9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from authorloom.functions.phrases import PhrasePattern
@@ -29,18 +31,20 @@ def clean_content(
     profiles: DataFrame | None = None,
     greedy: bool = True,
     strict: bool = False,
+    hot: Sequence[str] = (),
 ) -> DataFrame:
     """Language filter, rewriting, empty rows, orphans, media flag and counts.
 
     Language is judged on the text before rewriting: by ``profiles`` if given, else
-    by the ``lang`` column; ``language=None`` skips the filter.
+    by the ``lang`` column; ``language=None`` skips the filter. ``hot`` names very
+    active authors (see :func:`authorloom.operators.skew.hot_keys`).
     """
     if language is not None and profiles is not None:
         content = filter_detected(content, profiles, language)
     elif language is not None:
         content = language_filter(content, language)
     cleaned = drop_empty(rewrite_text(content.select(*COLUMNS), greedy, strict))
-    cleaned = drop_orphan_content(cleaned, users)
+    cleaned = drop_orphan_content(cleaned, users, hot)
     if media is not None:
         cleaned = refresh_has_media(cleaned, media)
     return with_text_counts(cleaned)

@@ -13,7 +13,6 @@ from authorloom.operators.bag_of_words import (
     fit_vocab,
     predict_naive_bayes,
     train_terms,
-    train_totals,
 )
 from authorloom.operators.evaluation import (
     apply_threshold,
@@ -25,8 +24,13 @@ from authorloom.operators.evaluation import (
 )
 from authorloom.operators.linear import text_classifier_lr
 from authorloom.operators.prompts import PromptTemplate, attach_images, build_prompts, chat_messages
-from authorloom.operators.split import TrainConfig
-from authorloom.session import ensure_checkpoint_dir
+from authorloom.operators.split import (
+    TrainConfig,
+    experiment_base,
+    stratified_author_split,
+    with_split,
+)
+from authorloom.session import materialise
 
 DATASET = {"val": "validation", "test": "test"}
 
@@ -36,6 +40,14 @@ def as_dataset(split: str = "split"):
     return F.when(F.col(split) == "val", DATASET["val"]).otherwise(DATASET["test"])
 
 
+def split_rows(
+    users: DataFrame, content: DataFrame, seed: int | str = 22, hot: Sequence[str] = ()
+) -> DataFrame:
+    """Experiment rows with their split; the author-level split is materialised."""
+    base = experiment_base(users, content, hot)
+    return with_split(base, materialise(stratified_author_split(base, seed)), hot)
+
+
 def bag_of_words_scores(
     rows: DataFrame,
     configs: Sequence[TrainConfig],
@@ -43,23 +55,16 @@ def bag_of_words_scores(
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.95,
-    checkpoint: bool = True,
 ) -> DataFrame:
     """P(true) of validation and test texts for every configuration.
 
-    Term counts of all configurations come from one pass and are checkpointed, since
-    each vocabulary reads them.
+    Term counts of all configurations come from one pass and are materialised, since
+    each vocabulary reads them; the models are at most a few thousand rows.
     """
     train = rows.where(F.col("split") == "train")
-    terms = train_terms(train, configs, stop_words)
-    totals = train_totals(train, configs)
-    if checkpoint:
-        ensure_checkpoint_dir(rows.sparkSession)
-        terms = terms.checkpoint()
-    vocab = fit_vocab(terms, totals, configs, max_features, min_df, max_df)
-    model = fit_naive_bayes(vocab, totals)
-    if checkpoint:
-        model = model.checkpoint()
+    terms = materialise(train_terms(train, configs, stop_words))
+    vocab = fit_vocab(terms, configs, max_features, min_df, max_df)
+    model = fit_naive_bayes(vocab)
     held_out = rows.where(F.col("split").isin("val", "test"))
     return predict_naive_bayes(held_out, model, configs, stop_words)
 
@@ -86,10 +91,9 @@ def evaluate_authors(
 ) -> tuple[DataFrame, DataFrame]:
     """(author predictions, result rows) of author probabilities.
 
-    Every later step reads the author table, so it is checkpointed.
+    Every later step reads the author table, so it is materialised.
     """
-    ensure_checkpoint_dir(authors.sparkSession)
-    authors = authors.checkpoint()
+    authors = materialise(authors)
     best = best_threshold(threshold_sweep(authors.where(F.col("dataset") == "validation")))
     predictions = author_predictions(apply_threshold(authors, best))
     return predictions, experiment_result(authors, experiment_type, version)

@@ -155,9 +155,12 @@ class Corpus:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def view(self, name: str) -> DataFrame:
         tables = {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", self._closure(name))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,12 +44,13 @@ def publish_corpus(
     boxes: DataFrame,
     verdict: Column | None = None,
     drop_empty: bool = False,
+    hot: Sequence[str] = (),
 ) -> Published:
     """Remove flagged, broken and orphan media; refresh flags; list blurring.
 
     ``drop_empty`` also leaves out content that has neither text nor media.
     """
-    known = drop_orphan_content(content, users)
+    known = drop_orphan_content(content, users, hot)
     sound = drop_broken(drop_flagged_media(media, flags), verdict)
     kept = prune_media(sound, known)
     refreshed = refresh_has_media(known, kept)

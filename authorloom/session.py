@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,6 +32,12 @@ def local_session(cores: int = 8, name: str = "authorloom", memory: str = "8g")
     return spark
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage through the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; make one only where none is set."""
     context = spark.sparkContext
