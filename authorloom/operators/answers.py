@@ -37,11 +37,14 @@ def parse_json_answer(
     label or broken JSON give -1 with confidence 0.
     """
     braces = F.regexp_extract(normalise_answer(F.col("answer")), r"(?s)\{.*\}", 0)
-    parsed = answers.withColumn("_json", F.try_parse_json(braces))
-    parsed = parsed.withColumn("_given", F.try_variant_get("_json", "$.confidence", "variant"))
-    parsed = parsed.withColumn("_name", F.try_variant_get("_json", "$.label", "string"))
+    # Inside an array the parser also notices text that follows the object.
+    wrapped = F.try_parse_json(F.concat(F.lit("["), braces, F.lit("]")))
+    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    parsed = answers.withColumn("_json", F.when(single, wrapped))
+    parsed = parsed.withColumn("_given", F.try_variant_get("_json", "$[0].confidence", "variant"))
+    parsed = parsed.withColumn("_name", F.try_variant_get("_json", "$[0].label", "string"))
     number = F.schema_of_variant("_given").rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT|BOOLEAN)")
-    value = F.when(number, F.try_variant_get("_json", "$.confidence", "double"))
+    value = F.when(number, F.try_variant_get("_json", "$[0].confidence", "double"))
     confidence = F.when(F.col("_given").isNull(), F.lit(0.5)).otherwise(value)
     in_range = F.coalesce((confidence >= 0) & (confidence <= 1), F.lit(False))
     name = F.lower(F.trim(F.coalesce("_name", F.lit(""))))

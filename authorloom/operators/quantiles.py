@@ -19,10 +19,10 @@ BINS = 1 << 14
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows per group and distinct value, missing values left out."""
     known = df.where(F.col(value).isNotNull())
-    return known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def weighted_percentile(value: Column, share: float, weight: str = "n") -> Column:
+def weighted_percentile(value: Column, share: float, weight: str = "_n") -> Column:
     return F.percentile(value, F.lit(share), F.col(weight))
 
 
@@ -49,19 +49,19 @@ def wide_percentiles(
     keys = list(keys)
     counted = value_counts(df, keys, value).withColumnRenamed(value, "_v")
     bounds = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("n").alias("_total")
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total")
     )
     place = (F.col("_v") - F.col("_low")) / F.col("_width")
     binned = (
         counted.join(bounds.drop("_total"), keys)
         .withColumn("_width", F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)))
         .withColumn("_bin", F.coalesce(F.floor(place * bins), F.lit(0)).cast("int"))
-        .select(*keys, "_bin", "_v", "n")
+        .select(*keys, "_bin", "_v", "_n")
     )
     running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         binned.groupBy(*keys, "_bin")
-        .agg(F.sum("n").alias("_in_bin"))
+        .agg(F.sum("_n").alias("_in_bin"))
         .withColumn("_before", F.coalesce(F.sum("_in_bin").over(running), F.lit(0)))
     )
     # Every share needs the two order statistics around its position.
@@ -91,10 +91,10 @@ def wide_percentiles(
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     located = (
         binned.join(needed_bins, [*keys, "_bin"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .select(*keys, "_bin", "_v", "n", "_start")
+        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .select(*keys, "_bin", "_v", "_n", "_start")
     )
-    hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("n"))
+    hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
     ends = (
         located.join(wanted.drop("_before"), [*keys, "_bin"])
         .where(hit)
