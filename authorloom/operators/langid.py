@@ -43,7 +43,8 @@ def detect_language(content: DataFrame, profiles: DataFrame, id_col: str = "id")
     """(id, lang) with the highest gain; ties go to the first name in order.
 
     All trigrams of a text are in one task, so they sum up to one row per text
-    and language before the shuffle. Texts without a known trigram are left out.
+    and language before the shuffle. The profiles have a few hundred rows per
+    language, so they are broadcast. Texts without a known trigram are left out.
     """
     grams = content.select(id_col, F.explode(trigrams(F.col("text"))).alias("gram"))
     scored = (

@@ -45,7 +45,10 @@ def grouped_percentiles(
 def wide_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], bins: int = BINS
 ) -> DataFrame:
-    """Exact percentiles of real values in few, possibly huge, groups."""
+    """Exact percentiles of real values in few, possibly huge, groups.
+
+    What is broadcast has a few rows per group: its bounds and the bins wanted.
+    """
     keys = list(keys)
     counted = value_counts(df, keys, value).withColumnRenamed(value, "_v")
     bounds = counted.groupBy(*keys).agg(
@@ -53,7 +56,7 @@ def wide_percentiles(
     )
     place = (F.col("_v") - F.col("_low")) / F.col("_width")
     binned = (
-        counted.join(bounds.drop("_total"), keys)
+        counted.join(F.broadcast(bounds.drop("_total")), keys)
         .withColumn("_width", F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)))
         .withColumn("_bin", F.coalesce(F.floor(place * bins), F.lit(0)).cast("int"))
         .select(*keys, "_bin", "_v", "_n")
@@ -82,21 +85,20 @@ def wide_percentiles(
         F.explode(F.array(F.floor("_t.position"), F.ceil("_t.position"))).alias("_rank"),
     )
     wanted = (
-        targets.distinct()
-        .join(sizes, keys)
+        sizes.join(F.broadcast(targets.distinct()), keys)
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in_bin")))
         .drop("_in_bin")
     )
     needed_bins = wanted.select(*keys, "_bin", "_before").distinct()
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     located = (
-        binned.join(needed_bins, [*keys, "_bin"])
+        binned.join(F.broadcast(needed_bins), [*keys, "_bin"])
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .select(*keys, "_bin", "_v", "_n", "_start")
     )
     hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
     ends = (
-        located.join(wanted.drop("_before"), [*keys, "_bin"])
+        located.join(F.broadcast(wanted.drop("_before")), [*keys, "_bin"])
         .where(hit)
         .groupBy(*keys, "_name", "_position")
         .agg(F.min("_v").alias("_lower"), F.max("_v").alias("_upper"))

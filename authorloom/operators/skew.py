@@ -12,21 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-3
 HOT_ROWS = 5_000_000
+MOST_KEYS = 1000
 SALTS = 512
 
 
-def hot_keys(table: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list:
-    """Keys with at least ``share`` of all rows: at most ``1 / share`` values.
+def hot_keys(table: DataFrame, key: str, rows: int = HOT_ROWS, most: int = MOST_KEYS) -> list:
+    """The most frequent keys with at least ``rows`` rows, ``most`` at the most.
 
-    Reads the key column only and counts before the shuffle. Take it from the stored
-    table, not from a derived one. A key below ``rows`` rows fits one task anyway.
+    A key below ``rows`` rows fits one task, and one that does not make the list has
+    less than ``1 / most`` of all rows. Reads the key column only and counts before
+    the shuffle; take it from the stored table, not from a derived one.
     """
     counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.where((F.col("_n") >= rows) & (F.col("_n") >= share * total))
-    return [row[0] for row in hot.select(key).limit(int(1 / share)).collect()]
+    hot = counts.where(F.col("_n") >= rows).orderBy(F.desc("_n"), key).limit(most)
+    return [row[0] for row in hot.collect()]
 
 
 def skew_join(

@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from authorloom.sources.tables import read_parquet
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["v_content"] = """
@@ -159,7 +161,9 @@ class Corpus:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            text = name == "documents"
+            self._tables[name] = read_parquet(self.spark, path) if text else self.spark.read.parquet(path)
         return self._tables[name]
 
     def view(self, name: str) -> DataFrame:
