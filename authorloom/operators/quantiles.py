@@ -50,7 +50,9 @@ def wide_percentiles(
     What is broadcast has a few rows per group: its bounds and the bins wanted.
     """
     keys = list(keys)
-    counted = value_counts(df, keys, value).withColumnRenamed(value, "_v")
+    # The joins below ask for known keys anyway; said here, all readers share one plan.
+    known = df.dropna("any", subset=[*keys, value])
+    counted = value_counts(known, keys, value).withColumnRenamed(value, "_v")
     bounds = counted.groupBy(*keys).agg(
         F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total")
     )

@@ -6,7 +6,7 @@ bucket sizes give the offset, and only rows of one bucket are ranked together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authorloom.functions.hashing import order_key
@@ -29,9 +29,11 @@ def _bucket_offsets(buckets: DataFrame, group: str) -> DataFrame:
     )
 
 
-def _with_bucket(df: DataFrame, key: str, seed: int | str, chars: int) -> DataFrame:
+def _with_bucket(df: DataFrame, group: str, key: str, seed: int | str, chars: int) -> DataFrame:
     hashed = df.withColumn("_hash", order_key(seed, F.col(key)))
-    return hashed.withColumn("_bucket", F.substring("_hash", 1, chars))
+    keyed = hashed.withColumn("_bucket", F.substring("_hash", 1, chars))
+    # The joins below ask for this anyway; said here, both readers share one plan.
+    return keyed.where(F.col(group).isNotNull() & F.col(key).isNotNull())
 
 
 def rank_by_hash(df: DataFrame, group: str, key: str, seed: int | str) -> DataFrame:
@@ -39,7 +41,7 @@ def rank_by_hash(df: DataFrame, group: str, key: str, seed: int | str) -> DataFr
 
     ``group`` must have few distinct values (a class label).
     """
-    keyed = _with_bucket(df, key, seed, RANK_CHARS)
+    keyed = _with_bucket(df, group, key, seed, RANK_CHARS)
     sizes = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = F.broadcast(_bucket_offsets(sizes, group).drop("_n"))
     inside = Window.partitionBy(group, "_bucket").orderBy("_hash", key)
@@ -57,7 +59,7 @@ def first_by_hash(df: DataFrame, group: str, key: str, n: int, seed: int | str)
     A first narrow pass counts rows per hash bucket; the second keeps whole buckets
     up to the one holding row ``n`` and ranks only those.
     """
-    keyed = _with_bucket(df, key, seed, SAMPLE_CHARS)
+    keyed = _with_bucket(df, group, key, seed, SAMPLE_CHARS)
     sizes = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     needed = F.broadcast(
         _bucket_offsets(sizes, group).where(F.col("_before") < n).select(group, "_bucket", "_before")
@@ -69,3 +71,12 @@ def first_by_hash(df: DataFrame, group: str, key: str, n: int, seed: int | str)
         .where(F.col("_rank") <= n)
         .drop("_hash", "_bucket", "_before", "_rank")
     )
+
+
+def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of every group in the given order.
+
+    Up to 1,000 rows, Spark cuts every task's rows per group before the shuffle.
+    """
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from authorloom.functions.text import tokenize
 from authorloom.operators.quantiles import wide_percentiles
-from authorloom.operators.ranks import first_by_hash
+from authorloom.operators.ranks import first_by_hash, top_per_group
 
 
 def exploded_terms(docs: DataFrame, tokens: Column, keep: Sequence[str] = ()) -> DataFrame:
@@ -53,11 +53,7 @@ def word_frequencies_by_label(
 ) -> DataFrame:
     """The same for each label with its own vocabulary."""
     counts = term_counts(labelled, ("has_label",), stop_words).where(F.col("n_docs") >= min_df)
-    parts = [
-        counts.where(F.col("has_label") == flag).orderBy(F.desc("n"), "term").limit(top)
-        for flag in (True, False)
-    ]
-    return parts[0].unionByName(parts[1])
+    return top_per_group(counts, "has_label", [F.desc("n"), F.col("term")], top)
 
 
 def sample_per_class(
@@ -146,8 +142,4 @@ def theme_means(labelled: DataFrame, lexicon: DataFrame, top: int = 10) -> DataF
     means = sums.join(F.broadcast(sizes), "has_label").select(
         "has_label", "category", (F.col("w") / F.col("n_texts")).alias("mean_freq")
     )
-    parts = [
-        means.where(F.col("has_label") == flag).orderBy(F.desc("mean_freq"), "category").limit(top)
-        for flag in (True, False)
-    ]
-    return parts[0].unionByName(parts[1])
+    return top_per_group(means, "has_label", [F.desc("mean_freq"), F.col("category")], top)

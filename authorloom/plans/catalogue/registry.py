@@ -98,8 +98,8 @@ class Inputs(Corpus):
 
     @cached_property
     def hot(self) -> list[str]:
-        """Very active authors, counted on the pruned source tables."""
-        return hot_keys(self.content, "author")
+        """Very active authors: content is part of the events, so their counts bound it."""
+        return [f"u{user}" for user in hot_keys(self.table("events"), "user_id")]
 
     @property
     def counted(self) -> DataFrame:

@@ -15,7 +15,7 @@ from authorloom.operators.cleaning import (
     with_text_counts,
 )
 from authorloom.operators.enrich import enrich_users
-from authorloom.operators.joins import drop_empty_users, drop_orphan_content
+from authorloom.operators.joins import drop_orphan_content
 from authorloom.operators.langid import filter_detected
 from authorloom.operators.merge import merge_content, merge_users
 from authorloom.operators.selfreport import relabel
@@ -55,12 +55,12 @@ def clean_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """Enriched users and cleaned content.
 
-    The cleaned content feeds both outputs: write it first and pass the written
-    table to :func:`enrich_users` where it is large.
+    Users without content drop out, since enriching is an inner join. The cleaned
+    content feeds both outputs: write it first and pass the written table to
+    :func:`enrich_users` where it is large.
     """
     cleaned = clean_content(users, content, media, **options)
-    active = drop_empty_users(users, cleaned)
-    return enrich_users(active, cleaned), cleaned
+    return enrich_users(users, cleaned), cleaned
 
 
 def curate(
