@@ -78,7 +78,8 @@ def fetched_media(manifest: DataFrame, status: DataFrame, first_only: bool = Fal
     """Keep links that were obtained and number them again per content.
 
     ``status`` has (content_id, url, ok). ``first_only`` stops at the first image
-    obtained per content.
+    obtained per content. All links of a content come from one row of the listing,
+    so their number is small.
     """
     obtained = status.where(F.col("ok")).select("content_id", "url")
     got = manifest.join(obtained, ["content_id", "url"], "left_semi")

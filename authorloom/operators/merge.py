@@ -1,4 +1,7 @@
-"""Merging two collection runs and keeping one row per id."""
+"""Merging two collection runs and keeping one row per id.
+
+The merges expect one row per id in each run; :func:`last_per_id` makes it so.
+"""
 
 from __future__ import annotations
 

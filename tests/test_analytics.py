@@ -9,7 +9,7 @@ from authorloom.operators import compare as C
 from authorloom.operators import timeline as T
 from authorloom.operators import words as W
 from authorloom.operators.quantiles import grouped_percentiles, wide_percentiles
-from authorloom.operators.ranks import first_by_hash, rank_by_hash
+from authorloom.operators.ranks import first_by_hash, rank_by_hash, top_per_group
 
 SHARES = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "low": 0.0, "high": 1.0}
 
@@ -52,6 +52,14 @@ def test_ranks_in_hash_order(spark):
     assert first_by_hash(df, "g", "id", 10**6, 7).count() == 5000
 
 
+@pytest.mark.parametrize("n", [3, 1500])
+def test_top_per_group(spark, n):
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("v"))
+    got = sorted(tuple(r) for r in top_per_group(df, "g", [F.desc("v"), F.col("id")], n).collect())
+    rows = sorted((tuple(r) for r in df.collect()), key=lambda r: (-r[2], r[0]))
+    assert got == sorted(r for g in (0, 1) for r in [r for r in rows if r[1] == g][:n])
+
+
 def test_box_stats(spark):
     values = {True: [1, 2, 3, 4, 100], False: [5, 6, 7, 8]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "has_label boolean, n int")

@@ -7,7 +7,6 @@ from conftest import SMALL
 import __spark_entry__ as entry_point
 
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-NATIVE = [n for n in QUERIES if n != "score_texts"]
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +14,22 @@ def duck():
     return connect(SMALL)
 
 
+def check_plan(df):
+    """No Python rows, no product of two tables, no window over everything."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct"):
+        assert node not in plan
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" in line:
+            assert not any("SinglePartition" in below for below in lines[i + 1 : i + 3])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, duck, name):
-    assert compare(QUERIES[name](spark, SMALL), duck, ORACLES[name]) == ""
+    df = QUERIES[name](spark, SMALL)
+    check_plan(df)
+    assert compare(df, duck, ORACLES[name]) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
@@ -27,14 +39,3 @@ def test_rows_only(spark, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(NATIVE))
-def test_plan_is_native(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct"):
-        assert node not in plan
-    lines = plan.splitlines()
-    for i, line in enumerate(lines):
-        if "Window [" in line:
-            assert not any("SinglePartition" in below for below in lines[i + 1 : i + 3])
