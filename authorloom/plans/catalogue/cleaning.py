@@ -32,17 +32,17 @@ SELECT u.id, u.has_label, u.first_found_in, a.* EXCLUDE (author)
 FROM v_users u JOIN (SELECT author, {_COUNTS_SQL}, {_STATS_SQL} FROM o_clean GROUP BY author) a ON a.author = u.id
 """)
 def users_enriched(c):
-    return rounded(clean_corpus(c.users, c.flat, language=None, hot=c.hot)[0], *STATS)
+    return rounded(clean_corpus(c.users, c.flat, language=None)[0], *STATS)
 
 
 @query("author_counts", f"SELECT author, {_COUNTS_SQL} FROM o_clean GROUP BY author")
 def counts(c):
-    return author_counts(c.clean)
+    return author_counts(c.rewritten)
 
 
 @query("author_length_stats", f"SELECT author, {_STATS_SQL} FROM o_clean GROUP BY author")
 def length_stats(c):
-    return rounded(author_length_stats(c.clean), *STATS)
+    return rounded(author_length_stats(c.rewritten), *STATS)
 
 
 @query("text_counts", """

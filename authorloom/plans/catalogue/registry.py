@@ -14,7 +14,7 @@ from authorloom.functions.text import collapse_ws
 from authorloom.operators.cleaning import with_text_counts
 from authorloom.operators.selfreport import flag_pattern
 from authorloom.operators.skew import evaluate_once, hot_keys
-from authorloom.plans.curate import clean_content
+from authorloom.plans.curate import clean_content, rewritten_content
 from authorloom.plans.fixtures import VIEWS, Corpus, needed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,9 +105,14 @@ class Inputs(Corpus):
     def counted(self) -> DataFrame:
         return with_text_counts(self.flat)
 
+    @property
+    def rewritten(self) -> DataFrame:
+        """Cleaned rows before unknown authors are dropped; the views have none."""
+        return rewritten_content(self.flat, language=None)
+
     @property
     def clean(self) -> DataFrame:
-        return clean_content(self.users, self.flat, language=None, hot=self.hot)
+        return clean_content(self.users, self.flat, hot=self.hot, language=None)
 
 
 def query(name: str, sql: str | None = None):

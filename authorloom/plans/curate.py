@@ -23,44 +23,63 @@ from authorloom.operators.selfreport import relabel
 COLUMNS = ["id", "author", "type", "subreddit", "text", "timestamp", "has_pattern", "has_media"]
 
 
-def clean_content(
-    users: DataFrame,
+def rewritten_content(
     content: DataFrame,
-    media: DataFrame | None = None,
     language: str | None = "en",
     profiles: DataFrame | None = None,
     greedy: bool = True,
     strict: bool = False,
-    hot: Sequence[str] = (),
 ) -> DataFrame:
-    """Language filter, rewriting, empty rows, orphans, media flag and counts.
+    """Language filter, rewriting, empty rows and counts: row by row, no shuffle.
 
     Language is judged on the text before rewriting: by ``profiles`` if given, else
-    by the ``lang`` column; ``language=None`` skips the filter. ``hot`` names very
-    active authors (see :func:`authorloom.operators.skew.hot_keys`).
+    by the ``lang`` column; ``language=None`` skips the filter.
     """
     if language is not None and profiles is not None:
         content = filter_detected(content, profiles, language)
     elif language is not None:
         content = language_filter(content, language)
-    cleaned = drop_empty(rewrite_text(content.select(*COLUMNS), greedy, strict))
-    cleaned = drop_orphan_content(cleaned, users, hot)
-    if media is not None:
-        cleaned = refresh_has_media(cleaned, media)
-    return with_text_counts(cleaned)
+    return with_text_counts(drop_empty(rewrite_text(content.select(*COLUMNS), greedy, strict)))
+
+
+def known_content(
+    users: DataFrame, content: DataFrame, media: DataFrame | None = None, hot: Sequence[str] = ()
+) -> DataFrame:
+    """Drop content of unknown authors and refresh its media flag.
+
+    ``hot`` names very active authors (see :func:`authorloom.operators.skew.hot_keys`).
+    """
+    known = drop_orphan_content(content, users, hot)
+    return known if media is None else refresh_has_media(known, media)
+
+
+def clean_content(
+    users: DataFrame,
+    content: DataFrame,
+    media: DataFrame | None = None,
+    hot: Sequence[str] = (),
+    **options,
+) -> DataFrame:
+    """All cleaning steps; the options are those of :func:`rewritten_content`."""
+    return known_content(users, rewritten_content(content, **options), media, hot)
 
 
 def clean_corpus(
-    users: DataFrame, content: DataFrame, media: DataFrame | None = None, **options
+    users: DataFrame,
+    content: DataFrame,
+    media: DataFrame | None = None,
+    hot: Sequence[str] = (),
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Enriched users and cleaned content.
 
-    Users without content drop out, since enriching is an inner join. The cleaned
-    content feeds both outputs: write it first and pass the written table to
-    :func:`enrich_users` where it is large.
+    Enriching is an inner join of users with author totals, so users without content
+    and content without a user drop out there: it reads the rewritten rows directly,
+    and no text is shuffled for it. To clean only once for both outputs, write the
+    content and pass the written table to :func:`enrich_users`.
     """
-    cleaned = clean_content(users, content, media, **options)
-    return enrich_users(users, cleaned), cleaned
+    rewritten = rewritten_content(content, **options)
+    return enrich_users(users, rewritten), known_content(users, rewritten, media, hot)
 
 
 def curate(

@@ -87,6 +87,15 @@ def test_rewriting_runs_once(spark):
     assert plan.count("non-?binary") == 2  # both branches of one pattern
 
 
+def test_enriching_moves_no_text(spark):
+    df = spark.createDataFrame([item(1)], SCHEMA)
+    users = spark.createDataFrame([("a", True, "r/x")], "id string, has_label boolean, first_found_in string")
+    plan = clean_corpus(users, df)[0]._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert not ("SortMergeJoin" in line and "LeftSemi" in line)
+    assert "char_count" in plan and plan.count("non-?binary") == 2
+
+
 def test_language_detection(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     docs = docs.select(F.col("doc_id").alias("id"), "text", "lang")

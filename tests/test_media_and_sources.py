@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from authorloom.operators import media as M
 from authorloom.operators.compare import audit_counters, profile
+from authorloom.operators.joins import label_content
 from authorloom.plans.publish import publish_corpus
 from authorloom.schemas import CONTENT, LISTING_ITEM, RESULT, USERS
 from authorloom.sources import tables as S
@@ -122,6 +123,22 @@ def test_parquet_sinks(spark, tmp_path, rows):
     assert spark.read.parquet(str(tmp_path / "v")).count() == 2
 
 
+def test_bucketed_tables_join_in_place(spark, tmp_path):
+    users = spark.createDataFrame([(f"a{i}", True, "s") for i in range(20)], USERS).withColumnRenamed("id", "author")
+    items = spark.range(200).select(F.concat(F.lit("a"), F.col("id") % 25).alias("author"), F.lit("t").alias("text"))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/db'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        S.save_bucketed(users, "bucketed.users", "author", 4)
+        S.save_bucketed(items, "bucketed.content", "author", 4)
+        joined = label_content(spark.table("bucketed.content"), spark.table("bucketed.users").withColumnRenamed("author", "id"))
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 160
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucketed CASCADE")
+
+
 def test_flag_list(spark, tmp_path, rows):
     flags = spark.createDataFrame([("c", "image1.png")], "content_id string, image string")
     S.write_flag_list(flags, str(tmp_path / "f"))
