@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorloom.llm import near_dup, quality, suffix_dedup, toxicity
+from authorloom.llm import bpe, decontam, near_dup, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, folder, "documents")))
@@ -36,6 +43,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"))

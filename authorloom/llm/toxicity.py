@@ -82,18 +82,28 @@ def fit(
     terms: np.ndarray,
     offsets: np.ndarray,
     labels: np.ndarray,
-    epochs: int = 12,
+    epochs: int = 20,
     rate: float = 0.1,
     decay: float = 1e-4,
-    min_docs: int = 3,
+    least_z: float = 4.0,
     seed: int = 7,
 ) -> Machine:
-    """Adagrad on the log loss. Terms of fewer than ``min_docs`` texts get no weight."""
+    """Adagrad on the log loss.
+
+    Only terms whose shares in the two classes differ by ``least_z`` standard errors take part;
+    the many others could only learn the sample by heart."""
     table = np.zeros((BUCKETS, 1 + FACTORS), np.float32)
     base = float(labels.mean()) if len(labels) else 0.5
     if base in (0.0, 1.0) or not len(labels):
         return Machine(float(np.log((base + 0.01) / (1.01 - base))), table)
-    frequent = np.bincount(terms, minlength=BUCKETS) >= min_docs
+    marked = np.repeat(labels > 0.5, np.diff(offsets))
+    in_one = np.bincount(terms[marked], minlength=BUCKETS)
+    in_zero = np.bincount(terms[~marked], minlength=BUCKETS)
+    ones = labels.sum()
+    zeros = len(labels) - ones
+    share = (in_one + in_zero) / len(labels)
+    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
+    frequent = np.abs(in_one / ones - in_zero / zeros) > least_z * error
     kept = frequent[terms]
     position = np.concatenate(([0], np.cumsum(kept)))
     offsets = position[offsets]
@@ -111,18 +121,18 @@ def fit(
             picked = ids[shared.ranges(offsets[batch], sizes)]
             edges = np.concatenate(([0], np.cumsum(sizes)))
             values = weights[picked]
-            error = _sigmoid(bias + _sums(values, edges)) - labels[batch]
+            miss = _sigmoid(bias + _sums(values, edges)) - labels[batch]
             total = _reduce(values[:, 1:], edges)
             who = np.repeat(np.arange(len(batch)), sizes)
             grad = np.empty_like(values)
-            grad[:, 0] = error[who]
-            grad[:, 1:] = error[who, None] * (total[who] - values[:, 1:])
+            grad[:, 0] = miss[who]
+            grad[:, 1:] = miss[who, None] * (total[who] - values[:, 1:])
             used, inverse = np.unique(picked, return_inverse=True)
             step = np.stack([np.bincount(inverse, grad[:, f], len(used)) for f in range(1 + FACTORS)], 1)
             step = step / len(batch) + decay * weights[used]
             seen[used] += step * step
             weights[used] -= rate * step / np.sqrt(seen[used])
-            move = float(error.mean())
+            move = float(miss.mean())
             seen_bias += move * move
             bias -= rate * move / np.sqrt(seen_bias)
     table[np.flatnonzero(frequent)] = weights
