@@ -24,8 +24,7 @@ KEYS = ("experiment_name", "dataset")
 
 def softmax_positive(logits: Column) -> Column:
     """P(true) of a pair of logits, stable for large values."""
-    difference = F.least(F.greatest(logits[1] - logits[0], F.lit(-700.0)), F.lit(700.0))
-    return 1.0 / (1.0 + F.exp(-difference))
+    return 1.0 / (1.0 + F.exp(logits[0] - logits[1]))
 
 
 def logits_to_proba(df: DataFrame, logits: str = "logits") -> DataFrame:

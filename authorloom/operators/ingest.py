@@ -12,6 +12,9 @@ from authorloom.functions.text import collapse_ws
 from authorloom.functions.urls import image_extension, urls_in_text, urls_of_post
 from authorloom.operators.skew import evaluate_once
 
+CAP_PARTS = 512
+"""Parts of an author that are ranked on their own first."""
+
 
 def drop_bots(items: DataFrame, author: str = "author") -> DataFrame:
     """Leave out deleted accounts and the moderation bot; a missing author stays."""
@@ -151,14 +154,16 @@ def merge_evidence(users: DataFrame, evidence: DataFrame) -> DataFrame:
 def cap_per_author(content: DataFrame, n_posts: int = 1000, n_comments: int = 1) -> DataFrame:
     """Newest posts and comments of every author up to the given numbers.
 
-    The constant bound on the row number lets Spark cut every task's rows per
-    author before the shuffle.
+    Ranked within hashed parts of an author first, so that a very active author is spread
+    over tasks whatever the numbers are; the last rank gets what the parts left.
     """
-    newest = Window.partitionBy("author", "type").orderBy(F.desc_nulls_last("timestamp"), "id")
+    order = [F.desc_nulls_last("timestamp"), F.col("id")]
     allowed = F.when(F.col("type") == "post", n_posts).otherwise(n_comments)
-    ranked = content.withColumn("_rank", F.row_number().over(newest))
-    kept = ranked.where((F.col("_rank") <= max(n_posts, n_comments)) & (F.col("_rank") <= allowed))
-    return kept.drop("_rank")
+    parted = content.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(CAP_PARTS)))
+    for by in (["author", "type", "_part"], ["author", "type"]):
+        newest = Window.partitionBy(*by).orderBy(*order)
+        parted = parted.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= allowed)
+    return parted.drop("_rank", "_part")
 
 
 def ingest_counters(content: DataFrame, source: str = "subreddit") -> DataFrame:

@@ -74,15 +74,14 @@ def first_by_hash(df: DataFrame, group: str, key: str, n: int, seed: int | str)
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int, parts: int = 512) -> DataFrame:
-    """The first ``n`` rows of every group in the given order.
+    """The first ``n`` rows of every group in the given order; a NULL group counts as one.
 
-    Up to 1,000 rows, Spark cuts every task's rows per group before the shuffle. For
-    more, groups are first cut to ``n`` rows within hashed parts.
+    Groups are first cut to ``n`` rows within hashed parts, so no task sorts a whole group;
+    the last step gets ``n * parts`` rows of a group at most.
     """
     whole = Window.partitionBy(group).orderBy(*order)
-    if n > 1000:
-        split = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-        within = Window.partitionBy(group, "_part").orderBy(*order)
-        df = split.withColumn("_rank", F.row_number().over(within)).where(F.col("_rank") <= n)
-        df = df.drop("_part", "_rank")
+    split = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    within = Window.partitionBy(group, "_part").orderBy(*order)
+    df = split.withColumn("_rank", F.row_number().over(within)).where(F.col("_rank") <= n)
+    df = df.drop("_part", "_rank")
     return df.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= n).drop("_rank")

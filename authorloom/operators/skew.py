@@ -13,19 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
-MOST_KEYS = 1000
 SALTS = 512
 
 
-def hot_keys(table: DataFrame, key: str, rows: int = HOT_ROWS, most: int = MOST_KEYS) -> list:
-    """The most frequent keys with at least ``rows`` rows, ``most`` at the most.
+def hot_keys(table: DataFrame, key: str, rows: int = HOT_ROWS) -> list:
+    """All keys with at least ``rows`` rows, the most frequent first.
 
-    A key below ``rows`` rows fits one task, and one that does not make the list has
-    less than ``1 / most`` of all rows. Reads the key column only and counts before
-    the shuffle; take it from the stored table, not from a derived one.
+    A key below ``rows`` rows fits one task, and there are no more hot keys than rows of
+    the table divided by ``rows``. Reads the key column only and counts before the
+    shuffle; take it from the stored table, not from a derived one.
     """
     counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") >= rows).orderBy(F.desc("_n"), key).limit(most)
+    hot = counts.where(F.col("_n") >= rows).orderBy(F.desc("_n"), key)
     return [row[0] for row in hot.collect()]
 
 

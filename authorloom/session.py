@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +34,37 @@ def local_session(cores: int = 8, name: str = "authorloom", memory: str = "8g")
     return spark
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage through the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write once to the shared folder and read back, which also cuts the lineage.
 
+    A checkpoint would compute its last stage twice; a written table does not, and
+    outlives the executors that wrote it.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="authorloom-"))
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors must share.
+
+    Where it is unset a session in one process, as in tests, gets a folder that goes
+    with it; a cluster has no such folder, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder().name
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="authorloom-")

@@ -12,13 +12,9 @@ def read_json_list(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
 
 
-def phrase_list(spark: SparkSession, path: str, limit: int = 10_000) -> list[str]:
+def phrase_list(spark: SparkSession, path: str) -> list[str]:
     """Phrases on the driver, where they are compiled into one pattern.
 
-    The pattern is part of every task, so the list is meant to be short; a longer
-    one than ``limit`` is an error.
+    The list is written by hand and its pattern is part of every task.
     """
-    rows = read_json_list(spark, path).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} phrases in {path}")
-    return [row["value"] for row in rows]
+    return [row["value"] for row in read_json_list(spark, path).collect()]

@@ -48,14 +48,8 @@ def _typed(raw: DataFrame, schema: T.StructType) -> list:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; fewer files than cores are spread over all of them.
-
-    A small table often is one file with one row group, which one task would read
-    and process. Tables of many files are left as they are.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """A parquet table as its files are; Spark splits large ones by row group."""
+    return spark.read.parquet(path)
 
 
 def read_table_csv(
