@@ -31,7 +31,7 @@ from authorloom.llm import shared
 WINDOW = 13
 DEPTH = 16
 TEST_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 _LOWER = shared.lower_ascii()
 _WORD = np.zeros(256, bool)

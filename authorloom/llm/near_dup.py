@@ -6,10 +6,13 @@ a packed signature. Sets that share a band are candidates:
 
 1. equal sets are one class, and one document of each class takes part from here on;
 2. within each band every class is compared with the smallest one, which joins most groups;
-3. of the bands that still hold several components, pairs of different components are
+3. in the bands that still hold several components, pairs of different components are
    compared by signature (share of equal low bits, corrected for chance agreement), in blocks
-   that one task can hold; pairs estimated clearly below the threshold go, all others stay;
-4. both kinds of pairs are confirmed on the full sets, computed anew from the texts.
+   that one task can hold; what estimates not clearly below the threshold connect is a cluster;
+4. within each cluster the pairs of different components are confirmed on the full sets,
+   computed anew from the texts, until they are joined or every pair has been tried.
+
+No step gives more rows than a few for each class, whatever the size of a group.
 
 At the threshold of 0.85 a pair shares no band with chance (1 - 0.85^4)^32, about 6e-11.
 
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorloom.llm import shared
@@ -38,7 +41,9 @@ BITS = 4
 SLACK = 0.16
 """Five standard errors of the estimate at 0.85 from 128 minima."""
 BLOCK = 2048
-"""Classes of one band that a task compares with as many others at a time."""
+"""Texts that a task compares with as many others at a time."""
+UNIT_BYTES = 8 << 20
+"""Bytes of text of such a block, on average."""
 
 _LOWER = shared.lower_ascii()
 _WORD = np.ones(256, bool)
@@ -99,11 +104,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 _EQUAL = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
 
 
-def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Matrix of estimated similarities of packed signatures (rows of bytes)."""
-    same = np.empty((len(left), len(right)))
-    for i, one in enumerate(left):
-        same[i] = _EQUAL[right ^ one].sum(axis=1, dtype=np.int32)
+def estimate(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarities of one packed signature with many (rows of bytes)."""
+    same = _EQUAL[others ^ one].sum(axis=1, dtype=np.int32)
     chance = 1 / (1 << BITS)
     return (same / HASHES - chance) / (1 - chance)
 
@@ -162,88 +165,140 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def cross_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(a, b) of different components in one band whose estimate reaches ``least``.
+def in_blocks(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Deal the rows of each ``key`` to units that one task can hold, every two rows to one at least.
 
-    ``members`` has (key, doc_id, component, signature). A band of many classes is cut into
-    blocks, and each pair of blocks is one unit of work, so no task holds a whole band.
-    """
-    counted = members.groupBy("key").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    parted = (
-        members.join(counted, "key")
-        .withColumn("n_blocks", blocks)
+    ``blocks`` (key, n_blocks) says into how many blocks a key is cut; a unit has the rows of
+    one pair of blocks. Units come sorted by (key, i, j)."""
+    dealt = (
+        members.join(blocks, key)
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(
-            "key",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            "block",
-            "doc_id",
-            "component",
-            "signature",
-        )
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .drop("block", "other", "n_blocks")
     )
-    sorted_units = parted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def likely_edges(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): edges that span, band by band, what estimates of ``least`` or more connect.
+
+    ``members`` has (key, doc_id, component, signature); only pairs of different components
+    count. A band gives fewer edges than it has rows, however many of its pairs are alike.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches):
-            yield from _compare(unit, least)
+        for unit in _units(batches, "key"):
+            ids, component = unit.column("doc_id").combine_chunks(), unit.column("component").to_numpy()
+            signature = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8)
+            a, b = _spanning(signature.reshape(len(ids), -1), component, least)
+            if a:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
 
     kind = members.schema["doc_id"].dataType.simpleString()
-    return sorted_units.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return in_blocks(members, "key", blocks).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _spanning(signature: np.ndarray, component: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Tree edges of a walk over the pairs of different components that look alike."""
+    new = np.ones(len(signature), bool)
+    a: list[int] = []
+    b: list[int] = []
+    for root in range(len(signature)):
+        stack = [root] if new[root] else []
+        new[root] = False
+        while stack:
+            at = stack.pop()
+            near = (estimate(signature[at], signature) >= least) & (component != component[at]) & new
+            found = np.flatnonzero(near).tolist()
+            new[found] = False
+            a += [at] * len(found)
+            b += found
+            stack += found
+    return a, b
+
+
+def cross_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join components within each ``cluster``.
+
+    ``members`` has (cluster, doc_id, component). A unit reads its texts, takes the pairs of
+    different components that the estimate does not exclude, the most promising texts first,
+    and confirms them on full sets until they are joined or all tried. So it finds out about
+    every pair, but gives fewer links than it has rows."""
+    filled = members.join(texts.select("doc_id", "text"), "doc_id")
+    blocks = filled.groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / UNIT_BYTES)).alias("n_blocks")
+    )
+    least = percent / 100 - SLACK
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(shared.blocks(batches), "cluster"):
+            ids, component = unit.column("doc_id").combine_chunks(), unit.column("component").to_numpy()
+            sets = [v for part in unit.to_batches(512) for v in shingles(part.column("text"))]
+            a, b = _joined(sets, component, least, percent)
+            if a:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    kind = members.schema["doc_id"].dataType.simpleString()
+    return in_blocks(filled, "cluster", blocks).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _joined(
+    sets: list[np.ndarray], component: np.ndarray, least: float, percent: int
+) -> tuple[list[int], list[int]]:
+    """Confirmed pairs of sets that join different components, until no pair is left to try."""
+    signature = np.stack([pack(minima(values)) for values in sets])
+    label = np.unique(component, return_inverse=True)[1]
+    high = [int((estimate(one, signature) >= percent / 100).sum()) for one in signature]
+    a: list[int] = []
+    b: list[int] = []
+    for at in np.argsort(high, kind="stable")[::-1].tolist():
+        if (label == label[at]).all():
+            continue
+        likeness = estimate(signature[at], signature)
+        near = np.flatnonzero((likeness >= least) & (label != label[at]))
+        for other in near[np.argsort(-likeness[near], kind="stable")].tolist():
+            if label[other] == label[at]:
+                continue
+            x, y = sets[at], sets[other]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                a.append(at), b.append(other)
+                label[label == label[other]] = label[at]
+    return a, b
+
+
+def _units(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows of equal (key, i, j), which come one after the other, as one table each."""
-    rest: pa.Table | None = None
+    rest: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        ids = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-        cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-        start = 0
-        for cut in cuts:
-            yield rest.slice(start, cut - start)
-            start = cut
-        rest = rest.slice(start)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
-def _compare(unit: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
-    ids = unit.column("doc_id").combine_chunks()
-    component = unit.column("component").to_numpy()
-    block = unit.column("block").to_numpy()
-    signature = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8)
-    signature = signature.reshape(len(ids), -1)
-    first = block == unit.column("i")[0].as_py()
-    left = np.flatnonzero(first)
-    right = left if unit.column("i")[0] == unit.column("j")[0] else np.flatnonzero(~first)
-    for begin in range(0, len(left), 256):
-        rows = left[begin : begin + 256]
-        x, y = np.nonzero(
-            (component[rows][:, None] != component[right][None, :])
-            & (estimate(signature[rows], signature[right]) >= least)
-        )
-        a, b = rows[x], right[y]
-        if right is left:
-            a, b = a[a < b], b[a < b]
-        if len(a):
-            a, b = ids.take(pa.array(a)), ids.take(pa.array(b))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+        ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (key, "i", "j")])
+        cuts = (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            unit = tuple(ids[:, start].tolist())
+            if rest and unit != last:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(start, stop - start))
+            last = unit
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that can be reached over links, itself included.
-    Some stages are written to the shared folder while the plan is built.
+    Some stages are written to the shared folder while the plan is built. Rows without doc_id
+    are kept and link with nothing.
     """
     docs = docs.select("doc_id", "text")
     sketch = shared.stored(sketches(docs), "near-dup-sketch")
-    filled = sketch.where(F.col("set_key").isNotNull())
+    filled = sketch.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     firsts = classes.select(F.col("class_id").alias("doc_id"))
     keyed = filled.select("doc_id", F.explode("bands").alias("key")).join(firsts, "doc_id", "left_semi")
@@ -265,10 +320,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     still_open = labelled.join(open_keys.where("lo < hi").select("key"), "key", "left_semi")
     signatures = filled.select("doc_id", "signature").dropDuplicates(["doc_id"])
-    candidates = cross_pairs(still_open.join(signatures, "doc_id"), percent / 100 - SLACK)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirm(candidates.join(tried, ["a", "b"], "left_anti"), texts, percent)
+    likely = likely_edges(still_open.join(signatures, "doc_id"), percent / 100 - SLACK)
+    clusters = components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    clustered = clusters.join(labelled.select("doc_id", "component").distinct(), "doc_id")
+    more = cross_links(clustered, texts, percent)
     every_link = shared.stored(links.union(more), "near-dup-links")
     labels = components(every_link).withColumnRenamed("node", "class_id")
 
@@ -281,15 +336,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             "n_shingles",
             F.coalesce("component", "class_id", "doc_id").alias("component_id"),
         )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all columns, of one document per group: that with the smallest id.
 
-    Of repeated rows with the same id one stays."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order))
-    return chosen.where("_nth = 1").drop("_nth")
+    Of repeated rows with the same id one stays; rows without an id all stay."""
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null")
+    kept = shared.stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "near-dup-kept")
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))

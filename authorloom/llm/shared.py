@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-BLOCK_BYTES = 2 << 20
-"""Text that a task holds in numpy arrays at a time; one longer text is a block of its own."""
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a folder of the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    own = getattr(spark, "_authorloom_folder", None)
-    if own is None:
-        own = spark._authorloom_folder = tempfile.mkdtemp(prefix="authorloom-")
-    return own
 
+from authorloom.session import materialise as stored
+from authorloom.session import new_table_path
 
-def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back, which also cuts the lineage."""
-    spark = df.sparkSession
-    path = new_table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BLOCK_BYTES = 1 << 19
+"""Text that a task holds in numpy arrays at a time; one longer text is a block of its own."""
 
 
 def blocks(
