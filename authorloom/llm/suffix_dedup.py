@@ -20,7 +20,7 @@ Fingerprints have 128 bits where they decide.
 
 Rules: a null text is empty; texts shorter than ``length`` lose nothing. Matches do not cross
 documents. ``doc_id`` names a text; a row that occurs twice repeats all its strings, so both
-lose them. Other columns are ignored.
+lose them. Rows without doc_id come back whole and repeat nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -296,6 +296,11 @@ def _sorter(length: int):
 def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) without the bytes of (doc_id, start, end)."""
     per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return _without(texts.join(per_doc, "doc_id", "left"))
+
+
+def _without(marked: DataFrame) -> DataFrame:
+    """The same for rows (doc_id, text, spans); null spans remove nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in shared.blocks(batches):
@@ -323,7 +328,7 @@ def remove(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return marked.select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
@@ -337,7 +342,9 @@ def remove_repeats(
     The table is brought in as ``batches`` batches, as a growing corpus would be. Levels are
     written to the shared folder while the plan is built. ``doc_id`` is an integer."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # said here for both joins below, so that they share one shuffle of the texts
+    texts = every.where("doc_id is not null")
     index = SuffixIndex(spark, length, gram, many)
     path = shared.new_table_path(spark, "suffix-runs")
     anchored_runs(texts, length, gram).withColumn(
@@ -346,7 +353,10 @@ def remove_repeats(
     stored = spark.read.schema(f"{RUN}, batch int").parquet(path)
     for number in range(batches):
         index.add(stored.where(F.col("batch") == number).drop("batch"))
-    return remove(texts, index.repeated(texts))
+    unnamed = every.where("doc_id is null").withColumn(
+        "spans", F.lit(None).cast("array<struct<start:int,end:int>>")
+    )
+    return remove(texts, index.repeated(texts)).union(_without(unnamed))
 
 
 def digests(result: DataFrame) -> DataFrame:
