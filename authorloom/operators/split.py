@@ -72,5 +72,11 @@ class TrainConfig:
 
 
 def train_filter(rows: DataFrame, config: TrainConfig) -> DataFrame:
-    """Filter training rows only; validation and test stay whole."""
+    """Filter training rows only; validation and test stay whole.
+
+    A limit on content needs the users' ``n_content``, as enriching them gives it."""
+    needed = {"first_found_in": config.exclude_sources, "word_count": config.min_words, "n_content": config.min_content}
+    missing = [name for name, used in needed.items() if used and name not in rows.columns]
+    if missing:
+        raise ValueError(f"{config.name} needs {', '.join(missing)}: take cleaned content and enriched users")
     return rows.where((F.col("split") != "train") | config.condition())

@@ -26,15 +26,15 @@ FILTERED = TrainConfig("filtered", ("r/web",), min_words=29, min_content=6)
 
 
 def _base(c):
-    return experiment_base(c.users, c.counted, c.hot)
+    return experiment_base(c.enriched, c.rewritten, c.hot)
 
 
 def _rows(c):
-    return split_rows(c.users, c.counted, hot=c.hot)
+    return split_rows(c.enriched, c.rewritten, hot=c.hot)
 
 
 @query("experiment_base", """
-SELECT id, author, has_label, first_found_in, type FROM o_labelled WHERE NOT has_pattern AND text <> ''
+SELECT id, author, has_label, first_found_in, type FROM o_experiment WHERE NOT has_pattern AND text <> ''
 """)
 def base(c):
     return _base(c).select("id", "author", "has_label", "first_found_in", "type")
@@ -47,8 +47,8 @@ def split(c):
 
 _ROWS = """
 base_rows AS (
-  SELECT l.*, s.split, count(*) OVER (PARTITION BY l.author) AS n_content
-  FROM o_labelled l JOIN o_split s ON s.author = l.author WHERE NOT l.has_pattern AND l.text <> '')
+  SELECT l.*, s.split
+  FROM o_experiment l JOIN o_split s ON s.author = l.author WHERE NOT l.has_pattern AND l.text <> '')
 """
 
 
@@ -58,9 +58,7 @@ SELECT id, author, split FROM base_rows
 WHERE split <> 'train' OR (first_found_in <> 'r/web' AND word_count >= 29 AND n_content >= 6)
 """)
 def filtered(c):
-    rows = _rows(c)
-    sizes = rows.groupBy("author").agg(F.count(F.lit(1)).alias("n_content"))
-    return train_filter(rows.join(sizes, "author"), FILTERED).select("id", "author", "split")
+    return train_filter(_rows(c), FILTERED).select("id", "author", "split")
 
 
 _FIT = rf"""

@@ -17,7 +17,7 @@ def flag(c):
     return flag_pattern(c.content, PATTERN).select("id", "has_pattern")
 
 
-_FOUND = f"found AS (SELECT author, bool_or({_HIT}) AS hit FROM v_content_run1 GROUP BY author)"
+_FOUND = f"found AS (SELECT author, bool_or({_HIT}) AS hit FROM v_content_flagged GROUP BY author)"
 
 
 @query("relabel", f"""
@@ -26,7 +26,7 @@ SELECT u.id, u.has_label OR coalesce(f.hit, false) AS has_label, u.first_found_i
 FROM v_users u LEFT JOIN found f ON f.author = u.id
 """)
 def relabel_users(c):
-    return relabel(c.users, c.view("v_content_run1"), PATTERN)[0]
+    return relabel(c.users, c.view("v_content_flagged"), PATTERN)[0]
 
 
 @query("relabel_rewrite", f"""
@@ -35,12 +35,12 @@ SELECT u.id, coalesce(f.hit, false) AS has_label, u.first_found_in
 FROM v_users u LEFT JOIN found f ON f.author = u.id
 """)
 def relabel_rewrite(c):
-    return relabel(c.users, c.view("v_content_run1"), PATTERN, rewrite=True)[0]
+    return relabel(c.users, c.view("v_content_flagged"), PATTERN, rewrite=True)[0]
 
 
-@query("relabel_content", f"SELECT id, author, has_pattern OR {_HIT} AS has_pattern FROM v_content_run1")
+@query("relabel_content", f"SELECT id, author, has_pattern OR {_HIT} AS has_pattern FROM v_content_flagged")
 def relabel_content(c):
-    return relabel(c.users, c.view("v_content_run1"), PATTERN)[1].select("id", "author", "has_pattern")
+    return relabel(c.users, c.view("v_content_flagged"), PATTERN)[1].select("id", "author", "has_pattern")
 
 
 @query("merge_users", """
@@ -81,11 +81,11 @@ def last_row(c):
 
 @query("author_content", """
 SELECT c.id AS content_id, u.id AS author, u.has_label, u.first_found_in, c.type
-FROM v_users u LEFT JOIN v_content_run1 c ON c.author = u.id
+FROM v_users_known u LEFT JOIN v_content c ON c.author = u.id
 """)
 def author_content(c):
-    content = c.view("v_content_run1").select("id", "author", "type")
-    return J.author_content(c.users, content, c.hot).select(
+    content = c.content.select("id", "author", "type")
+    return J.author_content(c.view("v_users_known"), content, c.hot).select(
         "content_id", "author", "has_label", "first_found_in", "type"
     )
 

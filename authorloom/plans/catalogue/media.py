@@ -84,13 +84,13 @@ def counters(c):
 
 _KEPT = """
 kept AS (
-  SELECT m.content_id, m.image FROM v_media m JOIN v_content_run1 c ON c.id = m.content_id
+  SELECT m.content_id, m.image FROM v_media m JOIN v_content c ON c.id = m.content_id
   WHERE NOT m.nsfw_score > 0.7e0 AND m.readable)
 """
 
 
 def _published(c):
-    content = c.view("v_content_run1").select("id", "author", "text", "has_media")
+    content = c.content.select("id", "author", "text", "has_media")
     flags = M.flag_nsfw(_scores(c))
     return publish_corpus(c.users, content, c.media, flags, c.boxes, F.col("readable"), hot=c.hot)
 
@@ -112,7 +112,7 @@ def publish_manifest(c):
 
 @query("publish_content", f"""
 WITH {_KEPT}
-SELECT id, author, text, has_media AND id IN (SELECT content_id FROM kept) AS has_media FROM v_content_run1
+SELECT id, author, text, has_media AND id IN (SELECT content_id FROM kept) AS has_media FROM v_content
 """)
 def publish_content(c):
     return _published(c).content

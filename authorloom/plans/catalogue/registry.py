@@ -12,10 +12,11 @@ from authorloom.functions import patterns as P
 from authorloom.functions.phrases import compile_phrases
 from authorloom.functions.text import collapse_ws
 from authorloom.operators.cleaning import with_text_counts
+from authorloom.operators.enrich import enrich_users
 from authorloom.operators.selfreport import flag_pattern
 from authorloom.operators.skew import evaluate_once, hot_keys
 from authorloom.plans.curate import clean_content, rewritten_content
-from authorloom.plans.fixtures import VIEWS, Corpus, needed
+from authorloom.plans.fixtures import VIEWS, Corpus, each, needed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,7 +58,7 @@ def clean_sql(text: str) -> str:
 
 
 # Views that only the check SQL uses.
-CHECK_VIEWS: dict[str, str] = dict(VIEWS)
+CHECK_VIEWS: dict[str, str] = {name: each(sql, spark=False) for name, sql in VIEWS.items()}
 CHECK_VIEWS["o_flat"] = f"""
 SELECT id, author, type, subreddit, text, timestamp, has_media, lang, toxic,
        regexp_matches(text, {PATTERN_SQL}) AS has_pattern
@@ -77,13 +78,17 @@ FROM o_flat
 CHECK_VIEWS["o_labelled"] = """
 SELECT c.*, u.has_label, u.first_found_in FROM o_counted c JOIN v_users u ON u.id = c.author
 """
+CHECK_VIEWS["o_experiment"] = """
+SELECT c.*, u.has_label, u.first_found_in, n.n_content FROM o_clean c JOIN v_users u ON u.id = c.author
+JOIN (SELECT author, count(*) AS n_content FROM o_clean GROUP BY author) n ON n.author = c.author
+"""
 CHECK_VIEWS["o_split"] = """
 SELECT author, has_label,
        CASE WHEN r * 100 <= n * 70 THEN 'train' WHEN r * 100 <= n * 85 THEN 'val' ELSE 'test' END AS split
 FROM (SELECT author, has_label,
              row_number() OVER (PARTITION BY has_label ORDER BY sha256('22:' || author), author) AS r,
              count(*) OVER (PARTITION BY has_label) AS n
-      FROM (SELECT DISTINCT author, has_label FROM o_labelled WHERE NOT has_pattern AND text <> ''))
+      FROM (SELECT DISTINCT author, has_label FROM o_experiment WHERE NOT has_pattern AND text <> ''))
 """
 
 
@@ -110,6 +115,11 @@ class Inputs(Corpus):
         """Cleaned rows before unknown authors are dropped; the views have none."""
         return rewritten_content(self.flat, language=None)
 
+    @property
+    def enriched(self) -> DataFrame:
+        """Users with the number and the length statistics of all their cleaned content."""
+        return enrich_users(self.users, self.rewritten)
+
     @property
     def clean(self) -> DataFrame:
         return clean_content(self.users, self.flat, hot=self.hot, language=None)

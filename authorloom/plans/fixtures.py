@@ -46,17 +46,15 @@ SELECT c.id AS content_id,
        CAST((CAST(substr(c.id, 2) AS BIGINT) * 29 + n.r_regionkey * 13) % 100 AS DOUBLE) / 100 AS nsfw_score,
        (CAST(substr(c.id, 2) AS BIGINT) + n.r_regionkey) % 3 AS n_faces,
        (CAST(substr(c.id, 2) AS BIGINT) * 3 + n.r_regionkey) % 19 <> 0 AS readable
-FROM v_content c
-JOIN region n ON n.r_regionkey <= CAST(substr(c.id, 2) AS BIGINT) % 4
+FROM v_content c @EACH(n, r_regionkey, CAST(substr(c.id, 2) AS BIGINT) % 4 + 1)@
 WHERE c.has_media
 """
 
 VIEWS["v_doc_scores"] = """
-SELECT c.id AS content_id, s.label,
-       CASE s.label WHEN 'positive' THEN c.a WHEN 'negative' THEN c.b ELSE round(1 - c.a - c.b, 6) END AS score
+SELECT c.id AS content_id, CASE s.k WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS label,
+       CASE s.k WHEN 0 THEN c.a WHEN 1 THEN c.b ELSE round(1 - c.a - c.b, 6) END AS score
 FROM (SELECT id, CAST(length(text) % 50 AS DOUBLE) / 100 AS a, CAST((length(text) % 7) * 7 AS DOUBLE) / 100 AS b
-      FROM v_content) c
-CROSS JOIN (SELECT 'positive' AS label UNION ALL SELECT 'negative' UNION ALL SELECT 'neutral') s
+      FROM v_content) c @EACH(s, k, 3)@
 """
 
 VIEWS["v_raw"] = """
@@ -79,6 +77,15 @@ SELECT d.doc_id,
 FROM documents d JOIN events e ON e.event_id = d.doc_id
 """
 
+VIEWS["v_content_flagged"] = """
+SELECT *, text LIKE '%igraine%' AS has_pattern FROM v_content
+"""
+
+VIEWS["v_users_known"] = """
+SELECT id, has_label, first_found_in FROM v_users
+UNION ALL SELECT 'quiet' || CAST(r_regionkey AS STRING), r_regionkey % 2 = 0, 'r/quiet' FROM region
+"""
+
 VIEWS["v_content_run1"] = """
 SELECT *, text LIKE '%igraine%' AS has_pattern FROM v_content WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 0
 """
@@ -105,7 +112,7 @@ SELECT m.content_id, m.image, m.width, m.height, n.r_regionkey AS box_no,
        CAST(n.r_regionkey * 90 AS DOUBLE) - 10.5e0 AS y1,
        CAST(n.r_regionkey * 150 AS DOUBLE) + CAST(m.width AS DOUBLE) / 2 + 0.5e0 AS x2,
        CASE WHEN m.height % 11 = 0 THEN -5e0 ELSE CAST(m.height AS DOUBLE) * 1.2e0 END AS y2
-FROM v_media m JOIN region n ON n.r_regionkey < m.n_faces
+FROM v_media m @EACH(n, r_regionkey, m.n_faces)@
 """
 
 VIEWS["v_answers"] = """
@@ -135,6 +142,17 @@ SELECT * FROM (VALUES ('function','the'), ('function','of'), ('function','and'),
          AS t(category, term)
 """
 
+
+def each(sql: str, spark: bool) -> str:
+    """Write out ``@EACH(alias, column, n)@``: every row once for each number below n, without a join."""
+    form = (
+        r"LATERAL VIEW explode(filter(sequence(0, CAST(\3 AS INT)), x -> x < \3)) \1 AS \2"
+        if spark
+        else r", unnest(range(0, \3)) AS \1(\2)"
+    )
+    return re.sub(r"@EACH\((\w+), (\w+), (.*?)\)@", form, sql)
+
+
 TABLES = ("region", "documents", "events", "labels")
 
 
@@ -170,7 +188,7 @@ class Corpus:
         tables = {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", self._closure(name))}
         parts = [f"{v} AS ({VIEWS[v]})" for v in needed(VIEWS, VIEWS[name])]
         body = VIEWS[name]
-        sql = f"WITH {', '.join(parts)} {body}" if parts else body
+        sql = each(f"WITH {', '.join(parts)} {body}" if parts else body, spark=True)
         if not tables:
             return self.spark.sql(sql)
         sql = sql.replace("{", "{{").replace("}", "}}")

@@ -284,7 +284,7 @@ def test_prompts_and_messages(spark):
 @pytest.mark.parametrize("family", ["bag_of_words", "linear"])
 def test_run_grid(spark, family):
     inputs = Inputs(spark, "/root/testdata/sf0.01")
-    rows = split_rows(inputs.users, inputs.counted).withColumn("n_content", F.lit(10))
+    rows = split_rows(inputs.enriched, inputs.rewritten)
     configs = [TrainConfig("all"), TrainConfig("long", (), 29, 5)]
     options = {"features": 1 << 10, "iterations": 3} if family == "linear" else {}
     predictions, results = run_grid(rows, configs, family, 2, **options)
@@ -297,6 +297,12 @@ def test_run_grid(spark, family):
     assert table["all"].test_roc_auc is not None
 
 
+def test_filter_tells_what_it_needs(spark):
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError, match="n_content"):
+        train_filter(split_rows(inputs.users, inputs.counted), TrainConfig("x", min_content=5))
+
+
 def test_external_answers(spark):
     inputs = Inputs(spark, "/root/testdata/sf0.001")
     rows = split_rows(inputs.users, inputs.counted)
