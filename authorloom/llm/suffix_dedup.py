@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authorloom.llm import shared
@@ -41,6 +41,7 @@ MANY = 5_000
 PLACE_BITS = np.uint64(31)
 """Low bits of a ranked hash that hold its place; the same for all blocks, or ranks would differ."""
 RUN = "anchor long, content long, doc_id long, start int, size int"
+LEVEL = ("anchor", "content", "n", "doc_id", "start", "size")
 
 
 def smallest_in_window(values: np.ndarray, width: int) -> np.ndarray:
@@ -107,6 +108,14 @@ def anchored_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.where(F.octet_length("text") >= length).mapInArrow(scan, RUN)
 
 
+def _first() -> tuple[Column, ...]:
+    return (
+        F.min("doc_id").alias("doc_id"),
+        F.min_by("start", "doc_id").alias("start"),
+        F.min("size").alias("size"),
+    )
+
+
 class SuffixIndex:
     """Levels of runs; ``add`` brings a batch and records what now repeats."""
 
@@ -118,23 +127,19 @@ class SuffixIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Scan the runs of a batch (see ``anchored_runs``) against the levels, then store them."""
-        fresh = batch.groupBy("anchor", "content").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "size")).alias("first")
+        # runs of equal content have one size; of one document any start will do
+        fresh = batch.groupBy("anchor", "content").agg(F.count("*").alias("n"), *_first())
+        scan = fresh.select(*LEVEL, F.lit(True).alias("new"))
+        for _, level in self.levels:
+            scan = scan.union(level.select(*LEVEL, F.lit(False)))
+        alone = F.when(~F.col("new") & (F.col("n") == 1), F.col("doc_id"))
+        scan = scan.groupBy("anchor", "content").agg(
+            F.sum("n").alias("n"),
+            *_first(),
+            F.bool_or("new").alias("new"),
+            F.max(alone).alias("alone"),
+            F.max_by("start", alone).alias("alone_start"),
         )
-        if self.levels:
-            scan = fresh.select("anchor", "content", "n", "first", F.lit(True).alias("new"))
-            for _, level in self.levels:
-                scan = scan.union(level.select("anchor", "content", "n", "first", F.lit(False)))
-            scan = scan.groupBy("anchor", "content").agg(
-                F.sum("n").alias("n"),
-                F.min("first").alias("first"),
-                F.bool_or("new").alias("new"),
-                F.max(F.when(~F.col("new") & (F.col("n") == 1), F.col("first"))).alias("alone"),
-            )
-        else:
-            scan = fresh.withColumn("new", F.lit(True)).withColumn(
-                "alone", F.lit(None).cast("struct<doc_id:long,start:int,size:int>")
-            )
         scan = shared.stored(scan.sortWithinPartitions("anchor", "content"), "suffix-level")
         repeated = scan.where("new and n > 1")
         self.spans.append(
@@ -142,7 +147,8 @@ class SuffixIndex:
                 "doc_id", "start", "size"
             )
         )
-        self.spans.append(repeated.where("alone is not null").select("alone.*"))
+        earlier = repeated.where("alone is not null")
+        self.spans.append(earlier.select(F.col("alone").alias("doc_id"), F.col("alone_start").alias("start"), "size"))
         mixed = (
             scan.groupBy("anchor")
             .agg(F.count("*").alias("different"), F.bool_or("new").alias("changed"), F.min("n").alias("fewest"))
@@ -150,7 +156,7 @@ class SuffixIndex:
         )
         self.wanted.append(
             scan.join(mixed.select("anchor", (F.col("different") > self.many).alias("crowded")), "anchor").select(
-                "anchor", "first.*", "crowded"
+                "anchor", "doc_id", "start", "size", "crowded"
             )
         )
         self._store(scan)
@@ -162,7 +168,7 @@ class SuffixIndex:
             self.levels.pop()
             size *= 2
         # what is left are larger levels; their part of the scan is not stored twice
-        table = scan.select("anchor", "content", "n", "first")
+        table = scan.select(*LEVEL)
         for _, level in self.levels:
             table = table.join(level.select("anchor", "content", F.lit(1).alias("old")), ["anchor", "content"], "left")
             table = table.where("old is null or n > 1").drop("old")
@@ -346,13 +352,9 @@ def remove_repeats(
     # said here for both joins below, so that they share one shuffle of the texts
     texts = every.where("doc_id is not null")
     index = SuffixIndex(spark, length, gram, many)
-    path = shared.new_table_path(spark, "suffix-runs")
-    anchored_runs(texts, length, gram).withColumn(
-        "batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    ).write.partitionBy("batch").parquet(path)
-    stored = spark.read.schema(f"{RUN}, batch int").parquet(path)
+    found = shared.stored(anchored_runs(texts, length, gram), "suffix-runs")
     for number in range(batches):
-        index.add(stored.where(F.col("batch") == number).drop("batch"))
+        index.add(found.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number))
     unnamed = every.where("doc_id is null").withColumn(
         "spans", F.lit(None).cast("array<struct<start:int,end:int>>")
     )
