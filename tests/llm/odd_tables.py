@@ -1,4 +1,4 @@
-"""Small tables with the awkward rows that every operator must stand."""
+"""Fixtures of small tables with the awkward rows that every operator must stand."""
 
 import pytest
 
@@ -26,3 +26,5 @@ def odd_docs(spark):
 @pytest.fixture
 def no_docs(odd_docs):
     return odd_docs.where("false")
+
+SMALL = "/root/testdata/sf0.001"

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import SMALL
+from odd_tables import SMALL  # noqa: F401
 from pyspark.sql import functions as F
 
 from authorloom.llm import ann

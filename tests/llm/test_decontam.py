@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from odd_tables import no_docs, odd_docs  # noqa: F401
 from authorloom.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

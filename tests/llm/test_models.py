@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SMALL
 
+from odd_tables import SMALL, no_docs, odd_docs  # noqa: F401
 from authorloom.llm import quality, toxicity
 
 LARGE = "/root/testdata/sf0.1"

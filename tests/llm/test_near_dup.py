@@ -1,6 +1,7 @@
 import random
 import re
 
+from odd_tables import no_docs, odd_docs  # noqa: F401
 from authorloom.llm import near_dup
 from authorloom.llm.components import components
 

@@ -1,6 +1,6 @@
 import corpus_pipeline
-from conftest import SMALL
 
+from odd_tables import SMALL  # noqa: F401
 from authorloom.llm import catalogue, toxicity
 
 

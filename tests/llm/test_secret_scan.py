@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+from odd_tables import no_docs, odd_docs  # noqa: F401
 from authorloom.llm import catalogue, secret_scan
 
 BASE = [

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from odd_tables import no_docs, odd_docs  # noqa: F401
 from authorloom.llm import suffix_dedup
 
 
