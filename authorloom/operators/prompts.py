@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +82,19 @@ def build_prompts(
     return content.withColumn("strategy", F.lit(strategy)).withColumn("prompt", prompt)
 
 
+def build_all_prompts(
+    content: DataFrame, strategies: Sequence[str], template: PromptTemplate = PromptTemplate()
+) -> DataFrame:
+    """One row per content and strategy, in one pass; for strategies without examples."""
+    made = F.array(
+        *[
+            F.struct(F.lit(s).alias("strategy"), build_prompt(s, F.col("text"), template).alias("prompt"))
+            for s in strategies
+        ]
+    )
+    return content.select("*", F.inline(made))
+
+
 def attach_images(content: DataFrame, media: DataFrame, limit: int = 3, use: bool = True) -> DataFrame:
     """Add ``images``: the first files of a content's media by name, at most ``limit``."""
     if not use:

@@ -8,8 +8,8 @@ from authorloom.functions.text import clean_text, collapse_ws
 from authorloom.operators.cleaning import drop_empty, language_filter, refresh_has_media, with_text_counts
 from authorloom.operators.enrich import author_counts, author_length_stats
 from authorloom.operators.langid import detect_language, filter_detected, language_profiles
-from authorloom.plans.catalogue.registry import clean_sql, flat_sql, query, rounded
-from authorloom.plans.curate import clean_corpus
+from authorloom.plans.catalogue.registry import PATTERN, PATTERN_SQL, clean_sql, flat_sql, query, rounded
+from authorloom.plans.curate import clean_corpus, curate
 
 STATS = [
     f"{m}_{s}_{k}" for m in ("char", "word") for s in ("mean", "median", "std") for k in ("comment", "post")
@@ -35,6 +35,58 @@ def users_enriched(c):
     return rounded(clean_corpus(c.users, c.flat, language=None)[0], *STATS)
 
 
+_RUNS = ("author", "type", "subreddit", "text", "timestamp", "lang", "has_pattern")
+_HIT = f"regexp_matches(text, {PATTERN_SQL})"
+_CURATED = f"""
+merged AS (
+  SELECT coalesce(a.id, b.id) AS id,
+         {", ".join(f"CASE WHEN a.id IS NOT NULL THEN a.{x} ELSE b.{x} END AS {x}" for x in _RUNS)},
+         coalesce(a.has_media, false) OR coalesce(b.has_media, false) AS has_media
+  FROM v_content_run1 a FULL JOIN v_content_run2 b ON a.id = b.id),
+hits AS (SELECT author, bool_or({_HIT}) AS hit FROM merged GROUP BY author),
+named AS (
+  SELECT u.id, u.has_label OR coalesce(h.hit, false) AS has_label, u.first_found_in
+  FROM (SELECT coalesce(a.id, b.id) AS id, coalesce(a.has_label, false) OR coalesce(b.has_label, false) AS has_label,
+               CASE WHEN a.id IS NOT NULL THEN a.first_found_in ELSE b.first_found_in END AS first_found_in
+        FROM v_users_run1 a FULL JOIN v_users_run2 b ON a.id = b.id) u
+  LEFT JOIN hits h ON h.author = u.id),
+cleaned AS (
+  SELECT *, length(text) AS char_count,
+         CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS word_count
+  FROM (SELECT * REPLACE ({clean_sql("text")} AS text)
+        FROM (SELECT * REPLACE (has_pattern OR {_HIT} AS has_pattern) FROM merged WHERE lang = 'en' OR has_media))
+  WHERE text <> '' OR has_media)
+"""
+
+
+def _curated(c):
+    """Two runs, merged, labelled again, in one language, rewritten, media flags refreshed, enriched."""
+    columns = ["id", "author", "type", "subreddit", "text", "timestamp", "has_pattern", "has_media", "lang"]
+    runs = tuple((c.view(f"v_users_run{n}"), c.view(f"v_content_run{n}").select(columns)) for n in (1, 2))
+    return curate(runs, PATTERN, c.media.where("readable"), language="en", hot=c.hot)
+
+
+@query("curate_users", f"""
+WITH {_CURATED}
+SELECT u.*, a.* EXCLUDE (author)
+FROM named u JOIN (SELECT author, {_COUNTS_SQL}, {_STATS_SQL} FROM cleaned GROUP BY author) a ON a.author = u.id
+""")
+def curated_users(c):
+    return rounded(_curated(c)[0], *STATS)
+
+
+@query("curate_content", f"""
+WITH {_CURATED}
+SELECT id, author, type, subreddit, text, has_pattern,
+       has_media AND id IN (SELECT content_id FROM v_media WHERE readable) AS has_media,
+       CAST(char_count AS BIGINT) AS char_count, CAST(word_count AS BIGINT) AS word_count
+FROM cleaned WHERE author IN (SELECT id FROM named)
+""")
+def curated_content(c):
+    rows = _curated(c)[1].drop("timestamp")
+    return rows.withColumns({x: F.col(x).cast("bigint") for x in ("char_count", "word_count")})
+
+
 @query("author_counts", f"SELECT author, {_COUNTS_SQL} FROM o_clean GROUP BY author")
 def counts(c):
     return author_counts(c.rewritten)

@@ -385,12 +385,9 @@ SELECT id, 'expert_confidence', concat_ws(chr(10), 'Be an expert.', 'Does the au
        'Text: ' || text, 'JSON with label and confidence.') FROM o_flat
 """)
 def prompts(c):
-    flat = c.flat.select("id", "text")
-    parts = [P.build_prompts(flat, s, _PROMPT) for s in P.STRATEGIES if s != "few_shot"]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("id", "strategy", "prompt")
+    strategies = [s for s in P.STRATEGIES if s != "few_shot"]
+    made = P.build_all_prompts(c.flat.select("id", "text"), strategies, _PROMPT)
+    return made.select("id", "strategy", "prompt")
 
 
 _SHOTS = f"""

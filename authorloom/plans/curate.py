@@ -30,9 +30,9 @@ def rewritten_content(
     greedy: bool = True,
     strict: bool = False,
 ) -> DataFrame:
-    """Language filter, rewriting, empty rows and counts: row by row, no shuffle.
+    """Language filter, rewriting, empty rows and counts.
 
-    Language is judged on the text before rewriting: by ``profiles`` if given, else
+    All row by row, except that ``profiles`` join their verdict to the texts. Language is judged on the text before rewriting: by ``profiles`` if given, else
     by the ``lang`` column; ``language=None`` skips the filter.
     """
     if language is not None and profiles is not None:

@@ -17,7 +17,7 @@ def duck():
 def check_plan(df):
     """No Python rows, no product of two tables, no window over everything."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
     lines = plan.splitlines()
     for i, line in enumerate(lines):
