@@ -18,7 +18,7 @@ from authorloom.operators.split import (
 )
 
 from authorloom.plans.catalogue.registry import STOP_SQL, STOP_WORDS, query, rounded
-from authorloom.plans.experiments import as_dataset, bag_of_words_scores, split_rows
+from authorloom.plans.experiments import as_dataset, bag_of_words_scores, run_grid, split_rows
 from authorloom.session import materialise
 
 CONFIG = TrainConfig("all")
@@ -365,6 +365,99 @@ def experiment_result(c):
     return rounded(result, *_RESULT_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
 
 
+GRID_CONFIGS = (
+    TrainConfig("all"),
+    TrainConfig("all_long", (), min_words=29, min_content=3),
+    TrainConfig("some", ("r/src0", "r/src1")),
+    TrainConfig("some_long", ("r/src0", "r/src1"), min_words=29, min_content=3),
+)
+_SOME = "first_found_in NOT IN ('r/src0', 'r/src1')"
+_LONG = "word_count >= 29 AND n_content >= 3"
+_GRID_TRAIN = " UNION ALL ".join(
+    f"SELECT '{name}' AS cfg, id, has_label, text FROM base_rows WHERE split = 'train' AND {condition}"
+    for name, condition in (("all", "true"), ("all_long", _LONG), ("some", _SOME), ("some_long", f"{_SOME} AND {_LONG}"))
+)
+_GRID_SQL = rf"""
+{_ROWS},
+train AS ({_GRID_TRAIN}),
+docs AS (
+  SELECT cfg, count(*) AS n, count(*) FILTER (has_label) AS n1, count(*) FILTER (NOT has_label) AS n0
+  FROM train GROUP BY cfg),
+terms AS (
+  SELECT cfg, term, count(*) FILTER (NOT has_label) AS tf_0, count(*) FILTER (has_label) AS tf_1,
+         count(DISTINCT id) AS df, count(*) AS n
+  FROM (SELECT cfg, id, has_label, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM train)
+  WHERE term NOT IN {STOP_SQL} GROUP BY cfg, term),
+vocab AS (
+  SELECT * FROM (
+    SELECT t.*, row_number() OVER (PARTITION BY t.cfg ORDER BY t.n DESC, term) AS r
+    FROM terms t JOIN docs d ON d.cfg = t.cfg WHERE df >= 2 AND df <= 0.95e0 * d.n) WHERE r <= 5000),
+sizes AS (SELECT cfg, sum(tf_0) AS n0, sum(tf_1) AS n1, count(*) AS v FROM vocab GROUP BY cfg),
+model AS (
+  SELECT s.cfg, term, ln((tf_1 + 1) / (s.n1 + s.v)) - ln((tf_0 + 1) / (s.n0 + s.v)) AS w
+  FROM vocab JOIN sizes s ON s.cfg = vocab.cfg),
+held AS (SELECT id, author, has_label, split, text FROM base_rows WHERE split <> 'train'),
+sums AS (
+  SELECT m.cfg, t.id, sum(m.w) AS s
+  FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM held) t
+  JOIN model m ON m.term = t.term GROUP BY m.cfg, t.id),
+authors AS (
+  SELECT d.cfg, CASE WHEN split = 'val' THEN 'validation' ELSE 'test' END AS dataset, author,
+         bool_or(has_label) AS true_label,
+         round(avg(1 / (1 + exp(-(coalesce(s.s, 0) + ln(d.n1 / d.n) - ln(d.n0 / d.n))))), 9) AS predicted_probability
+  FROM held h CROSS JOIN docs d LEFT JOIN sums s ON s.cfg = d.cfg AND s.id = h.id GROUP BY d.cfg, split, author),
+pairs AS (
+  SELECT cfg, threshold, true_label, predicted_probability >= threshold AS guess
+  FROM authors CROSS JOIN {_GRID} WHERE dataset = 'validation'),
+sweep AS (SELECT *, {_METRICS} FROM ({_counts_sql("pairs", "cfg, threshold", "true_label", "guess")})),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY cfg ORDER BY f1 DESC, threshold) AS r FROM sweep
+  WHERE tn + fp > 0 AND fn + tp > 0),
+best AS (
+  SELECT d.cfg, coalesce(threshold, 0.5e0) AS best_threshold, accuracy AS val_accuracy, f1 AS val_f1,
+         "precision" AS val_precision, recall AS val_recall
+  FROM docs d LEFT JOIN ranked k ON k.cfg = d.cfg AND k.r = 1 AND k.f1 > 0),
+predicted AS (
+  SELECT a.*, predicted_probability >= best_threshold AS guess FROM authors a JOIN best b ON b.cfg = a.cfg),
+counts AS ({_counts_sql("predicted", "cfg, dataset", "true_label", "guess")}),
+rates AS (SELECT *, {_METRICS} FROM counts),
+auc AS ({_auc_sql("predicted", "cfg, dataset", "true_label", "predicted_probability")})
+"""
+
+
+def _grid(c):
+    return run_grid(_rows(c), GRID_CONFIGS, digits=9, stop_words=STOP_WORDS)
+
+
+@query("grid_results", f"""
+WITH {_GRID_SQL}
+SELECT 'bag_of_words' AS experiment_type, CAST(1 AS BIGINT) AS version, t.cfg AS experiment_name, best_threshold,
+       {_ROUND_BEST}, CASE WHEN val_f1 IS NOT NULL THEN round(va.roc_auc, 6) END AS val_roc_auc,
+       round(accuracy, 6) AS test_accuracy, round(f1, 6) AS test_f1, round("precision", 6) AS test_precision,
+       round(recall, 6) AS test_recall, round(ta.roc_auc, 6) AS test_roc_auc,
+       {_MATRIX} AS test_confusion_matrix, tn + fp + fn + tp AS num_users_test, v.n AS num_users_val
+FROM rates t JOIN best b ON b.cfg = t.cfg
+JOIN auc ta ON ta.cfg = t.cfg AND ta.dataset = 'test'
+JOIN auc va ON va.cfg = t.cfg AND va.dataset = 'validation'
+JOIN (SELECT cfg, tn + fp + fn + tp AS n FROM counts WHERE dataset = 'validation') v ON v.cfg = t.cfg
+WHERE t.dataset = 'test'
+""")
+def grid_results(c):
+    """Four configurations from text to result rows, on a model's own probabilities."""
+    return rounded(_grid(c)[1], *_RESULT_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
+
+
+@query("grid_predictions", f"""
+WITH {_GRID_SQL}
+SELECT cfg AS experiment_name, author, CAST(true_label AS BIGINT) AS true_label,
+       round(predicted_probability, 6) AS predicted_probability, CAST(guess AS BIGINT) AS predicted_label, dataset
+FROM predicted
+""")
+def grid_predictions(c):
+    rows = rounded(_grid(c)[0], "predicted_probability")
+    return rows.withColumns({x: F.col(x).cast("bigint") for x in ("true_label", "predicted_label")})
+
+
 _PROMPT = P.PromptTemplate(
     positive="YES", negative="NO", role="Be an expert.", task="Does the author write {positive} or {negative}?",
     answer="Say {positive} or {negative}.", answer_confidence="JSON with label and confidence.",
