@@ -5,7 +5,7 @@ A text becomes the set of its distinct runs of five words. ``HASHES`` minima per
 a packed signature. Sets that share a band are candidates:
 
 1. equal sets are one class, and one document of each class takes part from here on;
-2. within each band every class is compared with the smallest one, which joins most groups;
+2. every class is compared with the smallest one in any of its bands, which joins most groups;
 3. in the bands that still hold several components, pairs of different components are
    compared by signature (share of equal low bits, corrected for chance agreement), in blocks
    that one task can hold; what estimates not clearly below the threshold connect is a cluster;
@@ -311,8 +311,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = shared.stored(texts, "near-dup-texts")
 
-    stars = members.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    links = shared.stored(confirm(stars.distinct(), texts, percent), "near-dup-stars")
+    stars = members.groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a")).where("a < b")
+    links = shared.stored(confirm(stars.select("a", "b"), texts, percent), "near-dup-stars")
     first_labels = shared.stored(components(links), "near-dup-first")
 
     labelled = members.join(first_labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
