@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     which halves the depth of the trees; each round is written to the shared folder. Nodes
     without links do not occur. An empty table gives an empty table.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.where("a is not null and b is not null").select(F.inline(ways))
     edges = shared.stored(both.where("a != b").distinct(), "links")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
     labels = shared.stored(labels, "labels")
