@@ -174,7 +174,7 @@ _PAIR = "query_id long, vec_id long, score double"
 
 def _calibrate(tree: Tree, indexed: DataFrame, queries: DataFrame, k: int, sizes: np.ndarray) -> int:
     """Leaves to visit so that ``RECALL`` of the true neighbours of a bounded set of queries are seen."""
-    chosen = queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()
+    chosen = shared.drawn(queries, "id", CALIBRATION).collect()
     if not chosen:
         return 1
     qid = np.array([r.id for r in chosen])
@@ -215,7 +215,7 @@ def nearest(
     ``is_query`` is an expression over ``id``."""
     spark = vectors.sparkSession
     rows = shared.stored(usable(vectors, id_col, vector_col), "ann-vectors")
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    drawn = shared.drawn(rows, "id", sample).toPandas()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(drawn):
         return empty

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from authorloom.llm import shared
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels are never learned."""
@@ -18,11 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: in
     bound is what makes it fit on the driver and in a broadcast. Labels other than 0 and 1
     are ignored; of repeated labels the larger counts; repeated documents stay.
     """
-    chosen = (
+    known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_docs)
     )
+    chosen = shared.drawn(known, "doc_id", max_docs)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

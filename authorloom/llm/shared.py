@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from authorloom.session import materialise as stored
 from authorloom.session import new_table_path
@@ -16,6 +18,16 @@ BLOCK_BYTES = 1 << 19
 """Text that a task holds in numpy arrays at a time; one longer text is a block of its own."""
 
 
+def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows that come first in hash order of ``key``, the same in every run.
+
+    Rows are counted first, and only the share of the hash range that holds about twice as
+    many is sorted, so that no task sees more than that, however large ``df`` is."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, (2 * n + 1000) / max(df.count(), 1))
+    return df.where(place < int(share * (1 << 40)) + 1).orderBy(place, key).limit(n)
+
+
 def blocks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ def train_dictionary(pages: DataFrame, n_pages: int = SAMPLE_PAGES, size: int =
     import zstandard
 
     chosen = pages.select("page_id").where("page_id is not null")
-    chosen = chosen.orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
+    chosen = shared.drawn(chosen, "page_id", n_pages)
     # the part of each page that the trainer sees is bounded; what is written is whole
     rows = pages.join(F.broadcast(chosen.distinct()), "page_id", "left_semi").select(
         "page_id", F.substring("html", 1, 1 << 14).alias("html")
