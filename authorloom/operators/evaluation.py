@@ -80,12 +80,20 @@ def confusion_text() -> Column:
     return F.format_string("[[%d, %d], [%d, %d]]", "tn", "fp", "fn", "tp")
 
 
+def _range_from_zero(x: Column) -> Column:
+    """Number of the range of ``x`` in [0, 0.5]: 1,024 for each power of two, in order."""
+    power = F.floor(F.log2(x))
+    part = F.floor((x / F.pow(F.lit(2.0), power) - 1) * 1024)
+    return F.when(x > 0, power * 1024 + part).otherwise(F.lit(-1100 * 1024)).cast("int")
+
+
 def roc_auc(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
     """Exact tie-aware area under the ROC curve of scores in [0, 1]; 0.5 for one class.
 
     Equal scores are counted first. Negatives below each score are then summed
     within fine score ranges, the ranges within coarse ones, and these within the
-    key, so no window spans the data.
+    key, so no window spans the data. Ranges are relative to the distance from 0 or 1
+    (a coarse one is a power of two), since a model's scores pile up at both ends.
     """
     keys = list(keys)
     scored = df.where(F.col(score).isNotNull())
@@ -93,7 +101,7 @@ def roc_auc(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataF
         F.count_if(F.col(truth)).alias("_pos"), F.count_if(~F.col(truth)).alias("_neg")
     )
     unit = F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0))
-    fine = F.floor(unit * (1 << 20)).cast("int")
+    fine = F.when(unit <= 0.5, _range_from_zero(unit)).otherwise(-_range_from_zero(1 - unit))
     # u2 counts, twice over, pairs ranked right, with ties as half.
     level = level.withColumn("_fine", fine).withColumn("_coarse", F.shiftright("_fine", 10))
     level = level.withColumn("_u2", (F.col("_pos") * F.col("_neg")).cast("decimal(38,0)"))

@@ -297,6 +297,19 @@ def test_run_grid(spark, family):
     assert table["all"].test_roc_auc is not None
 
 
+def test_auc_of_scores_that_pile_up(spark):
+    """Nine tenths below 1e-12: equal to the count of pairs, and no range holds them all."""
+    rng = np.random.default_rng(1)
+    scores = np.concatenate([10.0 ** rng.uniform(-300, -12, 900), 1 - 10.0 ** rng.uniform(-15, -1, 90), [0, 0, 1, 1, 0.5, 0.5, 5e-324]])
+    truth = rng.random(len(scores)) < 0.3 + 0.3 * (scores > 0.5)
+    df = spark.createDataFrame([(1, bool(t), float(s)) for t, s in zip(truth, scores)], "k int, t boolean, s double")
+    one, zero = scores[truth][:, None], scores[~truth][None, :]
+    expected = ((one > zero).sum() + 0.5 * (one == zero).sum()) / (one.size * zero.size)
+    assert E.roc_auc(df, ["k"], "t", "s").first().roc_auc == pytest.approx(expected, abs=1e-12)
+    largest = df.groupBy(E._range_from_zero(F.least(F.col("s"), 1 - F.col("s")))).count().agg(F.max("count")).first()[0]
+    assert largest < 40
+
+
 def test_filter_tells_what_it_needs(spark):
     inputs = Inputs(spark, "/root/testdata/sf0.001")
     with pytest.raises(ValueError, match="n_content"):
