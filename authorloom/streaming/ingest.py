@@ -1,8 +1,8 @@
-"""Listing pages as a stream into versioned users and partitioned content.
+"""Listing pages as a stream into partitions of content and of evidence on users.
 
-Every micro-batch writes its own content partition and its own users version, both
-by overwrite, so a batch that is run again after a failure replaces its first
-attempt. Any split of the input into batches ends with the same ids, labels and flags.
+Every micro-batch writes its own content partition and what it says about its authors,
+both by overwrite, so a batch that is run again after a failure replaces its first
+attempt. Nothing older is written again: users are folded from the evidence when read. Any split of the input into batches ends with the same ids, labels and flags.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from authorloom.schemas import CONTENT, USERS
 from authorloom.sources.listings import stream_listings
 
 _CONTENT_PARTS = T.StructType([*CONTENT.fields, T.StructField("batch", T.LongType())])
-_USER_VERSIONS = T.StructType([*USERS.fields, T.StructField("version", T.LongType())])
+_EVIDENCE = T.StructType([*USERS.fields, T.StructField("batch", T.LongType())])
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -40,18 +40,24 @@ def stored_content(spark: SparkSession, root: str, before: int | None = None) ->
 
 
 def stored_users(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Newest users version, or the newest one older than a batch."""
-    versions = _table(spark, f"{root}/users", _USER_VERSIONS)
+    """Users as all evidence so far gives them, or that of the batches before one.
+
+    A label that was once turned on stays; where an author was found is what the earliest
+    batch says."""
+    rows = _table(spark, f"{root}/users", _EVIDENCE)
     if before is not None:
-        versions = versions.where(F.col("version") < before)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).select(*USERS.names)
+        rows = rows.where(F.col("batch") < before)
+    return rows.groupBy("id").agg(
+        F.bool_or("has_label").alias("has_label"),
+        F.min_by("first_found_in", "batch").alias("first_found_in"),
+    )
 
 
 def upsert_labels(spark: SparkSession, root: str, evidence: DataFrame, batch: int) -> None:
-    """Write the users version of a batch: new authors added, labels only turned on."""
-    merged = merge_evidence(stored_users(spark, root, before=batch), evidence)
-    merged.select(*USERS.names).write.mode("overwrite").parquet(f"{root}/users/version={batch}")
+    """Write what a batch says about its authors; earlier batches are neither read nor written."""
+    nobody = spark.createDataFrame([], USERS)
+    said = merge_evidence(nobody, evidence).select(*USERS.names)
+    said.write.mode("overwrite").parquet(f"{root}/users/batch={batch}")
 
 
 def write_batch(built: DataFrame, batch: int, root: str, look_back: bool = True) -> None:

@@ -80,3 +80,18 @@ def test_batch_may_run_twice(spark, tmp_path, rows, expected):
         built = build_content(read_listings(spark, str(tmp_path / f"b{attempt}")), "key", PATTERN)
         write_batch(built.select(*CONTENT.names), attempt, str(tmp_path / "out"))
     assert state(spark, tmp_path / "out", rows) == expected
+
+
+def test_bytes_written_do_not_grow_with_history(spark, tmp_path):
+    def size(path):
+        return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+    root = tmp_path / "out"
+    for batch in range(6):
+        page = tmp_path / f"p{batch}"
+        write_page(page, 0, [item(100 * batch + i, f"author{batch}-{i}") for i in range(30)])
+        built = build_content(read_listings(spark, str(page)), "key", PATTERN)
+        write_batch(built.select(*CONTENT.names), batch, str(root))
+    sizes = [size(root / "users" / f"batch={b}") for b in range(6)]
+    assert max(sizes) < 1.2 * min(sizes) and stored_users(spark, str(root)).count() == 180
+    assert stored_users(spark, str(root), before=2).count() == 60
