@@ -3,7 +3,8 @@
 The merges define, for every prefix of a piece of text, the last token of that prefix's
 encoding: the longest token that ends there whose neighbour to the left it may follow, that
 is, a pair that the merges would not join or cut otherwise. A state of the transducer is the
-longest end of what was read that begins a token, with the last token at each of its bytes;
+longest end of what was read that begins a token, with the last token before each of its
+bytes where another token may begin;
 states are made when they are first met and then kept as integers with a row of transitions
 (determinised lazily). A token leaves the transducer when every
 encoding that can still follow agrees on it, which is after at most ``reach`` bytes.
@@ -36,7 +37,7 @@ from authorloom.llm import shared
 
 PIECES = 400_000
 """Composed transitions that a worker keeps."""
-STATES = 60_000
+STATES = 150_000
 """States that a worker keeps."""
 
 
@@ -52,6 +53,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.reach = max(map(len, ranks))
         self.halves = {rank: self._split(token) for token, rank in ranks.items()}
         self.begins = {token[:i] for token in ranks for i in range(1, len(token) + 1)}
@@ -120,12 +122,14 @@ class Transducer:
         grown = tail + bytes((byte,))
         for begin in range(len(grown)):
             token = self.ranks.get(grown[begin:])
-            if token is not None and (lasts[begin] is None or self.may_follow(lasts[begin], token)):
+            if token is not None and lasts[begin] != -1 and (lasts[begin] is None or self.may_follow(lasts[begin], token)):
                 break
         cut = 0
         while grown[cut:] not in self.begins:
             cut += 1
-        window = grown[cut:], (*lasts, token)[cut:]
+        # a last token matters only where a token may begin that goes on beyond what is read
+        kept = zip(range(cut, len(grown)), lasts[cut:], strict=True)
+        window = grown[cut:], (*(last if grown[at:] in self.begins else -1 for at, last in kept), token)
         number = self.states.setdefault(window, len(self.windows))
         if number == len(self.windows):
             self.windows.append(window)
@@ -140,22 +144,23 @@ class Transducer:
             return [whole]
         if len(self.windows) > STATES:
             self._reset()
-        state, lasts = 0, []
+        state, steps, lasts = 0, self.steps, []
         out: list[int] = []
         done = 0
-        for byte in piece:
-            state, last = self.step(state, byte)
-            lasts.append(last)
-            # far back, all ways that are still open share their tokens
-            if len(lasts) - done > 64 * self.reach:
+        for begin in range(0, len(piece), 64 * self.reach):
+            if begin:  # far back, all ways that are still open share their tokens
                 done = self._emit(lasts, done, out)
+            for byte in piece[begin : begin + 64 * self.reach]:
+                state, last = steps[state].get(byte) or self.step(state, byte)
+                lasts.append(last)
         tail: list[int] = []
-        at = len(lasts)
+        at, sizes = len(lasts), self.sizes
         while at > done:
-            tail.append(lasts[at - 1])
-            at -= len(self.tokens[lasts[at - 1]])
-        out.extend(reversed(tail))
-        return out
+            last = lasts[at - 1]
+            tail.append(last)
+            at -= sizes[last]
+        tail.reverse()
+        return out + tail
 
     def _emit(self, lasts: list[int], done: int, out: list[int]) -> int:
         """Send what all prefixes that end within the last ``reach`` bytes agree on."""
