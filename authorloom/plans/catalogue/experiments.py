@@ -549,10 +549,13 @@ def chat_messages(c):
     )
 
 
-_PLAIN = """
-plain AS (
-  SELECT *, CASE CAST(substr(content_id, 2) AS BIGINT) % 9 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END AS label
-  FROM v_answers)
+_NORMAL = """
+normal AS (
+  SELECT *, trim(replace(lower(trim(answer, e' \\t\\r\\n')), 'assistant', ''), e' \\t\\r\\n') AS told FROM v_answers)
+"""
+_PLAIN = f"""
+{_NORMAL},
+plain AS (SELECT *, CASE told WHEN 'yes' THEN 1 WHEN 'no' THEN 0 ELSE -1 END AS label FROM normal)
 """
 
 
@@ -565,12 +568,22 @@ def parse_label(c):
     return rows.select("content_id", F.col("label").cast("bigint"), "confidence")
 
 
-_CONFIDENT = """
+_CONFIDENT = rf"""
+{_NORMAL},
+found AS (SELECT *, regexp_extract(told, '(?s)\{{.*\}}', 0) AS j FROM normal),
+read AS (
+  SELECT *, trim(json_extract_string(j, '$.label')) AS name,
+         CASE WHEN json_type(j, '$.confidence') IS NULL THEN 0.5e0
+              WHEN json_type(j, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT')
+              THEN CAST(json_extract(j, '$.confidence') AS DOUBLE) END AS given
+  FROM found WHERE json_valid(j)),
+judged AS (
+  SELECT content_id, CASE WHEN given BETWEEN 0 AND 1 AND name = 'yes' THEN 1
+                          WHEN given BETWEEN 0 AND 1 AND name = 'no' THEN 0 ELSE -1 END AS label, given FROM read),
 confident AS (
-  SELECT *, CASE CAST(substr(content_id, 2) AS BIGINT) % 9 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 6 THEN 1 ELSE -1 END AS label,
-         CASE CAST(substr(content_id, 2) AS BIGINT) % 9 WHEN 4 THEN 0.75e0 WHEN 5 THEN 0.25e0 WHEN 6 THEN 0.5e0
-              ELSE 0e0 END AS confidence
-  FROM v_answers)
+  SELECT n.content_id, n.author, n.true_label, coalesce(g.label, -1) AS label,
+         CASE WHEN coalesce(g.label, -1) = -1 THEN 0e0 ELSE g.given END AS confidence
+  FROM normal n LEFT JOIN judged g ON g.content_id = n.content_id)
 """
 
 

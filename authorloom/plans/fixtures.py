@@ -116,18 +116,21 @@ FROM v_media m @EACH(n, r_regionkey, m.n_faces)@
 """
 
 VIEWS["v_answers"] = """
-SELECT c.id AS content_id, c.author, u.has_label AS true_label,
-       CASE CAST(substr(c.id, 2) AS BIGINT) % 9
-         WHEN 0 THEN 'YES'
-         WHEN 1 THEN ' no '
-         WHEN 2 THEN 'assistant yes'
-         WHEN 3 THEN 'maybe'
-         WHEN 4 THEN 'ok {"label": "YES", "confidence": 0.75} done'
-         WHEN 5 THEN '{"label": "no", "confidence": 0.25}'
-         WHEN 6 THEN '{"label": "yes"}'
-         WHEN 7 THEN '{"label": "yes", "confidence": 1.5}'
-         ELSE '{"label": "yes", "confi' END AS answer
-FROM v_content c JOIN v_users u ON u.id = c.author
+SELECT content_id, author, true_label,
+       CASE form WHEN 0 THEN said WHEN 1 THEN '  ' || said || chr(10) WHEN 2 THEN 'assistant ' || said WHEN 3 THEN noise
+                 WHEN 4 THEN 'Sure: {"label": "' || said || '", "confidence": ' || sure || '} ok ' || noise
+                 WHEN 5 THEN '{"label": "' || said || '"}'
+                 WHEN 6 THEN '{"label": "' || said || '", "confidence": "' || sure || '"}'
+                 WHEN 7 THEN '{"label": "' || said || '", "confid'
+                 WHEN 8 THEN '{"label": " ' || said || '", "confidence": ' || sure || '}'
+                 WHEN 9 THEN '' ELSE '{"confidence": ' || sure || '}' END AS answer
+FROM (
+  SELECT c.id AS content_id, c.author, u.has_label AS true_label, length(c.text) % 11 AS form,
+         CASE WHEN c.text LIKE '%a%b%' THEN CASE length(c.text) % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'no' ELSE 'Yes' END
+              WHEN length(c.text) % 2 = 0 THEN 'No' ELSE 'perhaps' END AS said,
+         CAST(CAST(length(c.text) % 140 AS DOUBLE) / 100 AS STRING) AS sure,
+         replace(replace(substr(c.text, 1, 30), '{', ' '), '}', ' ') AS noise
+  FROM v_content c JOIN v_users u ON u.id = c.author)
 """
 
 VIEWS["v_doc_proba"] = """
