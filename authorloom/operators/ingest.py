@@ -162,7 +162,9 @@ def cap_per_author(content: DataFrame, n_posts: int = 1000, n_comments: int = 1)
     parted = content.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(CAP_PARTS)))
     for by in (["author", "type", "_part"], ["author", "type"]):
         newest = Window.partitionBy(*by).orderBy(*order)
-        parted = parted.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= allowed)
+        ranked = parted.withColumn("_rank", F.row_number().over(newest))
+        # the constant lets Spark cut small numbers before the shuffle as well
+        parted = ranked.where((F.col("_rank") <= max(n_posts, n_comments)) & (F.col("_rank") <= allowed))
     return parted.drop("_rank", "_part")
 
 
