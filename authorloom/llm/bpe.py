@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 
 from authorloom.llm import shared
 
-PIECES = 400_000
+PIECES = 300_000
 """Composed transitions that a worker keeps."""
-STATES = 150_000
+STATES = 100_000
 """States that a worker keeps."""
 
 
@@ -55,7 +55,7 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.reach = max(map(len, ranks))
-        self.halves = {rank: self._split(token) for token, rank in ranks.items()}
+        self.known_halves: dict[int, tuple[int, int] | None] = {}
         self.begins = {token[:i] for token in ranks for i in range(1, len(token) + 1)}
         self.allowed: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
@@ -76,6 +76,11 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return self.ranks[parts[0]], self.ranks[parts[1]]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        if token not in self.known_halves:
+            self.known_halves[token] = self._split(self.tokens[token])
+        return self.known_halves[token]
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens.
 
@@ -94,14 +99,14 @@ class Transducer:
                 return False
             if left > right:
                 limit = left
-                if (halves := self.halves[left]) is None:
+                if (halves := self.halves(left)) is None:
                     return True
                 left = halves[1]
-                if self.halves[limit] is not None and left == limit:
+                if self.halves(limit) is not None and left == limit:
                     return True
             else:
                 limit = right + 1
-                if (halves := self.halves[right]) is None:
+                if (halves := self.halves(right)) is None:
                     return True
                 right = halves[0]
 
@@ -180,6 +185,11 @@ class Transducer:
         out.extend(reversed(paths))
         return max(meet, done)
 
+    def forget(self) -> None:
+        """Give back what was kept, so that an idle worker holds little."""
+        self.pieces.clear()
+        self._reset()
+
     def composed(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers, kept for the next time."""
         ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
@@ -280,7 +290,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
             yield pa.RecordBatch.from_arrays([*block.columns, lists], [*block.schema.names, "ids"])
+        encoder.machine.forget()
 
+    shared.small_batches(docs.sparkSession)
     docs = docs.drop("ids")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{names}, ids array<int>")
@@ -307,6 +319,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15) -
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids, and keep
     the digests of both, so that neither has to leave the task."""
 
+    shared.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(path, pattern)
         for block in shared.blocks(batches):
@@ -324,6 +338,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15) -
                 [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        both.machine.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -205,6 +205,7 @@ def _test_blocks(benchmark: DataFrame) -> Iterator[TestSuffixes]:
 
 
 def _one_pass(docs: DataFrame, test: TestSuffixes) -> DataFrame:
+    shared.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(test)  # made of TEST_BYTES of text at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +276,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if len(passes) > 1:
         bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti")
+    shared.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(passes[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +300,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for test in _test_blocks(benchmark):
+        shared.small_batches(docs.sparkSession)
         shipped = docs.sparkSession.sparkContext.broadcast(test)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Some stages are written to the shared folder while the plan is built. Rows without doc_id
     are kept and link with nothing.
     """
+    shared.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketch = shared.stored(sketches(docs), "near-dup-sketch")
     filled = sketch.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())

@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Fores
                 ["doc_id", "label", "row"],
             )
 
+    shared.small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", max_docs)
     kind = sample.schema["doc_id"].dataType.simpleString()
     table = sample.mapInArrow(extract, f"doc_id {kind}, label int, row array<double>").toArrow()
@@ -215,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Fores
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """(doc_id, score): chance of good quality, from the text alone."""
+    shared.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(forest)  # of fixed size: TREES trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authorloom.session import materialise as stored
@@ -18,6 +18,17 @@ BLOCK_BYTES = 1 << 19
 """Text that a task holds in numpy arrays at a time; one longer text is a block of its own."""
 
 
+BATCH_ROWS = 1000
+"""Rows that Spark sends to a Python worker at a time; texts may be long, so fewer than its default."""
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of ``BATCH_ROWS`` rows at most, unless the session has smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows that come first in hash order of ``key``, the same in every run.
 

@@ -348,6 +348,7 @@ def remove_repeats(
     The table is brought in as ``batches`` batches, as a growing corpus would be. Levels are
     written to the shared folder while the plan is built. ``doc_id`` is an integer."""
     spark = docs.sparkSession
+    shared.small_batches(spark)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # said here for both joins below, so that they share one shuffle of the texts
     texts = every.where("doc_id is not null")

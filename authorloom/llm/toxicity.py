@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Machi
                 [block.column("doc_id"), block.column("label"), lists], ["doc_id", "label", "terms"]
             )
 
+    shared.small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", max_docs)
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(extract, f"doc_id {kind}, label int, terms array<int>").toArrow()
@@ -169,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Machi
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score): chance that a text is toxic, from the text alone."""
+    shared.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: BUCKETS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +195,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Da
 
 def keep_clean(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under ``limit``; one pass, no join."""
+    shared.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
