@@ -3,7 +3,8 @@
 The terms of a text are its distinct words and their first four, five and six bytes, hashed
 to ``BUCKETS``. The score is a bias, a weight per term and, for every pair of terms, the
 inner product of their factor vectors, so that two terms that are harmless alone can count
-together. All pairs cost one pass: ½ (|Σ v|² − Σ |v|²).
+together. All pairs cost one pass: ½ (|Σ v|² − Σ |v|²). In texts of more than ``SCALE`` terms
+that part is divided by terms / ``SCALE``, so that long texts do not drown in their many pairs.
 
 Rules: a null or empty text has no terms and scores the bias. Texts of any length are read
 whole. Without labels of both classes the score is the base rate (½ without any). Repeated
@@ -27,6 +28,15 @@ BUCKETS = 1 << 18
 FACTORS = 4
 MAX_DOCS = 8000
 PREFIXES = (4, 5, 6)
+LEAST_DOCS = 5
+"""Texts of the sample that a term must be in."""
+SCALE = 16
+LASSO = 1e-3
+"""How far each step draws a weight to 0."""
+DECAY = 0.03
+"""Decay of the factors."""
+BIAS_RATE = 3.0
+"""The bias moves fast, or frequent terms would stand in for it in all texts."""
 
 _LOWER = shared.lower_ascii()
 _WORD = np.zeros(256, bool)
@@ -50,7 +60,13 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     squares = np.square(values[:, 1:]).sum(axis=1)
     total = _reduce(values, offsets)
-    return total[:, 0] + 0.5 * (np.square(total[:, 1:]).sum(axis=1) - _reduce(squares[:, None], offsets)[:n, 0])
+    pairs = 0.5 * (np.square(total[:, 1:]).sum(axis=1) - _reduce(squares[:, None], offsets)[:n, 0])
+    return total[:, 0] + pairs / _scale(offsets)
+
+
+def _scale(offsets: np.ndarray) -> np.ndarray:
+    """What the pairs of each text are divided by."""
+    return np.maximum(np.diff(offsets) / SCALE, 1)
 
 
 def _reduce(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -84,26 +100,20 @@ def fit(
     labels: np.ndarray,
     epochs: int = 20,
     rate: float = 0.1,
-    decay: float = 1e-4,
-    least_z: float = 4.0,
+    decay: float = DECAY,
+    lasso: float = LASSO,
+    least_docs: int = LEAST_DOCS,
     seed: int = 7,
 ) -> Machine:
     """Adagrad on the log loss.
 
-    Only terms whose shares in the two classes differ by ``least_z`` standard errors take part;
-    the many others could only learn the sample by heart."""
+    All terms of ``least_docs`` texts take part, whether or not they tell the classes apart alone.
+    ``lasso`` on the weights and ``decay`` of the factors keep them from learning the sample by heart."""
     table = np.zeros((BUCKETS, 1 + FACTORS), np.float32)
     base = float(labels.mean()) if len(labels) else 0.5
     if base in (0.0, 1.0) or not len(labels):
         return Machine(float(np.log((base + 0.01) / (1.01 - base))), table)
-    marked = np.repeat(labels > 0.5, np.diff(offsets))
-    in_one = np.bincount(terms[marked], minlength=BUCKETS)
-    in_zero = np.bincount(terms[~marked], minlength=BUCKETS)
-    ones = labels.sum()
-    zeros = len(labels) - ones
-    share = (in_one + in_zero) / len(labels)
-    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-    frequent = np.abs(in_one / ones - in_zero / zeros) > least_z * error
+    frequent = np.bincount(terms, minlength=BUCKETS) >= least_docs
     kept = frequent[terms]
     position = np.concatenate(([0], np.cumsum(kept)))
     offsets = position[offsets]
@@ -126,15 +136,19 @@ def fit(
             who = np.repeat(np.arange(len(batch)), sizes)
             grad = np.empty_like(values)
             grad[:, 0] = miss[who]
-            grad[:, 1:] = miss[who, None] * (total[who] - values[:, 1:])
+            grad[:, 1:] = (miss / _scale(edges))[who, None] * (total[who] - values[:, 1:])
             used, inverse = np.unique(picked, return_inverse=True)
             step = np.stack([np.bincount(inverse, grad[:, f], len(used)) for f in range(1 + FACTORS)], 1)
-            step = step / len(batch) + decay * weights[used]
+            step = step / len(batch)
+            step[:, 1:] += decay * weights[used, 1:]
             seen[used] += step * step
-            weights[used] -= rate * step / np.sqrt(seen[used])
+            pace = rate / np.sqrt(seen[used])
+            moved = weights[used] - pace * step
+            moved[:, 0] = np.sign(moved[:, 0]) * np.maximum(np.abs(moved[:, 0]) - pace[:, 0] * lasso, 0)
+            weights[used] = moved
             move = float(miss.mean())
             seen_bias += move * move
-            bias -= rate * move / np.sqrt(seen_bias)
+            bias -= BIAS_RATE * move / np.sqrt(seen_bias)
     table[np.flatnonzero(frequent)] = weights
     return Machine(bias, table)
 

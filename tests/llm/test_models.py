@@ -49,6 +49,22 @@ def test_pairs_of_terms_are_learned():
     assert got.tolist() == [False, False, True, False]
 
 
+def test_pairs_of_terms_that_are_balanced_alone_are_learned():
+    """Each word is as frequent in both classes; only the pair tells them apart."""
+    rng = random.Random(4)
+
+    def text(a, b):
+        return " ".join([f"w{rng.randint(0, 50)}" for _ in range(8)] + ["insult"] * a + ["group"] * b)
+
+    kinds = [(a, b) for a in (0, 1) for b in (0, 1)]
+    terms, offsets = toxicity.hashed_terms(pa.array([text(*kinds[i % 4]) for i in range(1200)]))
+    labels = np.array([float(kinds[i % 4][0] == kinds[i % 4][1]) for i in range(1200)])
+    machine = toxicity.fit(terms, offsets, labels, epochs=60)
+    for a, b in kinds:
+        got = machine.margin(*toxicity.hashed_terms(pa.array([text(a, b) for _ in range(50)]))) > 0
+        assert (got == (a == b)).mean() > 0.9
+
+
 def test_trees_learn_a_corner():
     rng = np.random.default_rng(0)
     rows = rng.random((3000, 4))
