@@ -286,10 +286,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder = codec(path, pattern)
         for block in shared.blocks(batches):
             ids = [encoder.encode(text or "") for text in block.column("text").to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([*block.columns, lists], [*block.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*block.columns, _lists(ids)], [*block.schema.names, "ids"])
         encoder.machine.forget()
 
     shared.small_batches(docs.sparkSession)
@@ -315,16 +312,17 @@ def decode(rows: DataFrame, path: str, pattern: str, chunk: int = 4096) -> DataF
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids, and keep
-    the digests of both, so that neither has to leave the task."""
+    the digests of both, so that neither has to leave the task. With ``keep_ids`` the ids are a
+    last column, ``ids``."""
 
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(path, pattern)
         for block in shared.blocks(batches):
-            counts, coded, decoded = [], [], []
+            counts, coded, decoded, kept = [], [], [], []
             for text in block.column("text").to_pylist():
                 ids = both.encode(text or "")
                 counts.append(len(ids) // 4)
@@ -334,13 +332,24 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15) -
                 for begin in range(0, len(values), chunk):
                     digest.update(both.decode_bytes(values[begin : begin + chunk].tolist()))
                 decoded.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if keep_ids:
+                    kept.append(ids)
+            columns = [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns.append(_lists(kept))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
         both.machine.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run,
+        f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids,
     )
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Ids of each text as an array of int."""
+    offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))

@@ -41,7 +41,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with their number and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES = [

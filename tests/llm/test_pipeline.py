@@ -1,7 +1,11 @@
+import hashlib
+import struct
+
 import corpus_pipeline
+import public_tokenizers
 
 from odd_tables import SMALL  # noqa: F401
-from authorloom.llm import catalogue, toxicity
+from authorloom.llm import bpe, catalogue, toxicity
 
 
 def test_stages_apply_in_order(spark):
@@ -29,3 +33,16 @@ def test_first_stage_drops_just_the_rejected(spark):
 def test_every_number_has_one_query():
     numbers = sorted(int(name.split("_")[0][2:]) for name in catalogue.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_last_stage_gives_the_ids_of_every_text(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = corpus_pipeline.tokenize(spark, docs, SMALL)
+    assert dict(rows.dtypes)["ids"] == "array<int>"
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    decoded = {r.doc_id: r.decoded for r in bpe.decode(rows, path, pattern).collect()}
+    assert decoded == {i: text or "" for i, text in texts.items()}
+    for r in rows.collect():
+        digest = hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest()
+        assert (len(r.ids), digest) == (r.n_tokens, r.ids_sha256)
