@@ -1,12 +1,15 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
 A shard is a block of documents in one task. Its word suffixes, ``DEPTH`` words deep, are
-sorted by prefix doubling; every test suffix is binary-searched in every shard. That gives its
-longest verbatim match and where it starts, and, for the suffixes that are windows, all their
-places. Words under a window are hit; documents that are mostly short and hit go.
+sorted by prefix doubling; every test suffix is binary-searched in every shard. All places in
+the stretch of equal suffixes are compared with it word by word to the true end of the match,
+so that every maximal verbatim match of every document is found with its place and length.
+Words of matches of ``WINDOW`` words or more, or of a whole shorter item, are hit; documents
+that are mostly short and hit go.
 
-The benchmark reaches the tasks in blocks of at most ``TEST_BYTES`` of text, one pass for
-each block; the hits of several passes are united per document.
+The benchmark reaches the tasks in blocks of about ``TEST_BYTES`` of text. Documents are read
+once; each shard is compared with one block after the other, and every row is judged by the
+matches of all of them, whatever its id.
 
 Rules: A-Z are lower-cased; words are runs of digits, letters and bytes from 0x80. An item of
 fewer than 13 words, but not none, is one window. Null and empty texts have no words, and no
@@ -18,11 +21,12 @@ columns are ignored here and kept by ``keep_uncontaminated``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,10 @@ from authorloom.llm import shared
 WINDOW = 13
 DEPTH = 16
 TEST_BYTES = 8 << 20
+PAIRS = 1 << 20
+"""Places that are compared at a time."""
+STRIDE = 32
+"""Words by which matches are extended at a time."""
 SHARD_BYTES = 1 << 20
 
 _LOWER = shared.lower_ascii()
@@ -49,32 +57,31 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class TestSuffixes:
-    """All suffixes of the items: words padded with 0, their number, whether a window, items."""
+    """All suffixes of the items: the words of distinct texts with a 0 after each, and whose they are."""
 
-    words: np.ndarray  # suffixes × DEPTH
-    length: np.ndarray
-    window: np.ndarray
-    item: list[tuple[str, ...]]
+    sequence: np.ndarray  # padded with 0 for the longest comparison
+    start: np.ndarray  # of each suffix in the sequence
+    length: np.ndarray  # words to the end of the item
+    first: np.ndarray  # whether the suffix is the whole item
+    text: np.ndarray  # number of its text
+    item: list[tuple[str, ...]]  # items of each text
 
 
 def test_suffixes(items: list[tuple[str, str | None]]) -> TestSuffixes:
-    """Distinct suffixes of (item_id as text, text) rows; equal ones share their items."""
+    """Suffixes of (item_id as text, text) rows; texts of equal words share their items."""
     hashes, bounds = word_hashes(pa.array([t for _, t in items], pa.string()))
-    found: dict[tuple, set[str]] = {}
+    found: dict[bytes, set[str]] = {}
     for (name, _), begin, end in zip(items, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        whole = hashes[begin:end].tolist()
-        for start in range(len(whole)):
-            part = tuple(whole[start : start + WINDOW])
-            window = len(part) == WINDOW or start == 0
-            found.setdefault((part, window), set()).add(name)
-    words = np.zeros((len(found), DEPTH), np.uint64)
-    for row, (part, _) in enumerate(found):
-        words[row, : len(part)] = part
+        if end > begin:
+            found.setdefault(hashes[begin:end].tobytes(), set()).add(name)
+    sizes = np.array([len(text) // 8 for text in found], np.int64)
+    sequence = np.zeros(int(sizes.sum()) + len(sizes) + DEPTH + STRIDE, np.uint64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.arange(len(text)) + text
+    sequence[start] = np.frombuffer(b"".join(found), np.uint64)
+    length = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
     return TestSuffixes(
-        words,
-        np.array([len(part) for part, _ in found], np.int64),
-        np.array([window for _, window in found], bool),
-        [tuple(sorted(names)) for names in found.values()],
+        sequence, start, length, length == sizes[text], text, [tuple(sorted(names)) for names in found.values()]
     )
 
 
@@ -105,25 +112,26 @@ class Shard:
         n = len(bounds) - 1
         # one end word after each document; ends equal nothing that is searched for
         self.owner = np.repeat(np.arange(n), np.diff(bounds) + 1)
-        self.sequence = np.full(len(hashes) + n + DEPTH, np.iinfo(np.uint64).max, np.uint64)
+        self.sequence = np.full(len(hashes) + n + DEPTH + STRIDE, np.iinfo(np.uint64).max, np.uint64)
         self.first = bounds[:-1] + np.arange(n)
         self.sequence[np.arange(len(hashes)) + np.repeat(np.arange(n), np.diff(bounds))] = hashes
         self.array = suffix_array(self.sequence[: len(hashes) + n])
 
-    def search(self, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the stretch [low, high) of the array whose suffixes start with it."""
-        return self._bound(words, length, False), self._bound(words, length, True)
+    def search(self, test: TestSuffixes, rows: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of ``test`` the stretch [low, high) of the array whose suffixes share ``depth`` words."""
+        start = test.start[rows]
+        return self._bound(test.sequence, start, depth, False), self._bound(test.sequence, start, depth, True)
 
-    def _bound(self, words: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
-        low = np.zeros(len(words), np.int64)
-        high = np.full(len(words), len(self.array), np.int64)
+    def _bound(self, words: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+        low = np.zeros(len(start), np.int64)
+        high = np.full(len(start), len(self.array), np.int64)
         while (open_rows := np.flatnonzero(low < high)).size:
             middle = (low[open_rows] + high[open_rows]) // 2
             place = self.array[middle]
             less = np.zeros(len(open_rows), bool)
             equal = np.ones(len(open_rows), bool)
             for depth in range(int(length[open_rows].max())):
-                here, there = self.sequence[place + depth], words[open_rows, depth]
+                here, there = self.sequence[place + depth], words[start[open_rows] + depth]
                 active = equal & (depth < length[open_rows])
                 less |= active & (here < there)
                 equal &= ~active | (here == there)
@@ -132,200 +140,175 @@ class Shard:
             high[open_rows[~right]] = middle[~right]
         return low
 
-    def longest(self, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the words of its longest match and a place where that starts."""
-        best, where = np.zeros(len(words), np.int64), np.full(len(words), -1)
-        if not len(self.array):
-            return best, where
-        at = self._bound(words, length, False)
-        for near in (at - 1, at):
-            place = self.array[np.clip(near, 0, len(self.array) - 1)]
-            match = np.zeros(len(words), np.int64)
-            for depth in range(words.shape[1]):
-                match += (match == depth) & (depth < length) & (self.sequence[place + depth] == words[:, depth])
-            where = np.where(match > best, place, where)
-            best = np.maximum(best, match)
-        return best, where
-
-
-def _hits(shard: Shard, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, words, row of the test suffix) of every occurrence of a window."""
-    rows = np.flatnonzero(test.window)
-    if not len(rows) or not len(shard.array):
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    low, high = shard.search(test.words[rows], test.length[rows])
-    count = high - low
-    places = shard.array[shared.ranges(low, count)]
-    return places, np.repeat(test.length[rows], count), np.repeat(rows, count)
-
-
-_FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
-
-
-def _judge(block: pa.RecordBatch, test: TestSuffixes) -> pa.RecordBatch:
-    """Per document of a shard: number of words, hit stretches of words, items that occur."""
+    def matches(self, test: TestSuffixes, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, row of the test suffix, words) of every match that can't be extended to either side
+        and has ``least`` words, which are ``DEPTH`` at most, or is a whole item of two words or more.
+
+        With ``least`` = ``WINDOW`` an item of one word is such a match too."""
+        if not len(test.start) or not len(self.array):
+            return
+        depth = np.minimum(test.length, least)
+        low, high = self.search(test, np.arange(len(depth)), depth)
+        whole = test.first & (test.length >= (1 if least == WINDOW else 2))
+        rows = np.flatnonzero((high > low) & ((test.length >= least) | whole))
+        count = high[rows] - low[rows]
+        ends = np.cumsum(count)
+        begin = 0
+        while begin < len(rows):
+            before = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+            part = slice(begin, stop)
+            place = self.array[shared.ranges(low[rows[part]], count[part])]
+            row = np.repeat(rows[part], count[part])
+            start = test.start[row]
+            # begun one word earlier, the match is longer and found there
+            longer = (place > 0) & (start > 0) & (self.sequence[place - 1] == test.sequence[start - 1])
+            place, row, start = place[~longer], row[~longer], start[~longer]
+            yield place, row, self._extended(test, place, start, depth[row])
+            begin = stop
+
+    def _extended(self, test: TestSuffixes, place: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words of each match to its true end, ``length`` of which are known to be equal."""
+        length = length.copy()
+        ahead = np.arange(STRIDE)
+        for begin in range(0, len(place), PAIRS // STRIDE):
+            going = np.arange(begin, min(begin + PAIRS // STRIDE, len(place)))
+            while len(going):
+                here = self.sequence[(place[going] + length[going])[:, None] + ahead]
+                there = test.sequence[(start[going] + length[going])[:, None] + ahead]
+                differ = here != there
+                ended = differ.any(axis=1)
+                length[going] += np.where(ended, differ.argmax(axis=1), STRIDE)
+                going = going[~ended]
+        return length
+
+
+def _judge(block: pa.RecordBatch, tests: Iterable[TestSuffixes]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Per document of a shard: number of words, words that are hit, items that occur."""
     hashes, bounds = word_hashes(block.column("text"))
     shard = Shard(hashes, bounds)
-    place, length, row = _hits(shard, test)
-    owner = shard.owner[place]
-    order = np.lexsort((place, owner))
-    place, length, row, owner = place[order], length[order], row[order], owner[order]
-    edges = np.searchsorted(owner, np.arange(block.num_rows + 1))
-    starts, ends, items = [], [], []
-    for i in range(block.num_rows):
-        part = slice(edges[i], edges[i + 1])
-        begin = place[part] - shard.first[i]
-        a, b = shared.merged(begin, begin + length[part])
-        starts.append(a.tolist()), ends.append(b.tolist())
-        names: set[str] = set()
-        for r in np.unique(row[part]).tolist():
-            names.update(test.item[r])
-        items.append(sorted(names))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.diff(bounds)),
-            pa.array(starts, pa.list_(pa.int32())),
-            pa.array(ends, pa.list_(pa.int32())),
-            pa.array(items, pa.list_(pa.string())),
-        ],
-        ["n_words", "starts", "ends", "items"],
-    )
+    hit_from, hit_to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    names: list[set[str]] = [set() for _ in range(block.num_rows)]
+    for test in tests:
+        for place, row, length in shard.matches(test, WINDOW):
+            hit_from.append(place), hit_to.append(place + length)
+            pairs = np.unique(np.stack([shard.owner[place], test.text[row]]), axis=1)
+            for doc, text in pairs.T.tolist():
+                names[doc].update(test.item[text])
+    # ends between documents keep their stretches apart
+    begin, end = shared.merged(np.concatenate(hit_from), np.concatenate(hit_to))
+    hit = np.zeros(block.num_rows, np.int64)
+    np.add.at(hit, shard.owner[begin], end - begin)
+    return np.diff(bounds), hit, names
+
+
+def _bad(words: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Contaminated: at least a twentieth of the words is hit."""
+    return (hit > 0) & (20 * hit >= words)
+
+
+def _n_blocks(rows: DataFrame) -> int:
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return -(-total // TEST_BYTES) or 1
 
 
-def _test_blocks(benchmark: DataFrame) -> Iterator[TestSuffixes]:
-    """The benchmark in blocks of about ``TEST_BYTES`` of text; at least one, if only an empty one."""
+def _shipped(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark in blocks of about ``TEST_BYTES`` of text, of which the driver holds one at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
         "item_id is not null and text is not null"
     )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // TEST_BYTES) or 1
+    n = _n_blocks(rows)
+    out = []
     for number in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == number)
-        yield test_suffixes([(r.item_id, r.text) for r in part.collect()])
-
-
-def _one_pass(docs: DataFrame, test: TestSuffixes) -> DataFrame:
-    shared.small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(test)  # made of TEST_BYTES of text at most
+        test = test_suffixes([(r.item_id, r.text) for r in part.collect()])
+        out.append(benchmark.sparkSession.sparkContext.broadcast(test))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in shared.blocks(batches, limit=SHARD_BYTES):
-            found = _judge(block, shipped.value)
-            yield pa.RecordBatch.from_arrays(
-                [*block.columns, *found.columns], [*block.schema.names, *found.schema.names]
-            )
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{names}, {_FOUND}")
+def _received(shipped: list[Broadcast]) -> Iterator[TestSuffixes]:
+    """The blocks one after the other; of several a worker holds one at a time."""
+    for block in shipped:
+        yield block.value
+        if len(shipped) > 1:
+            vars(block).pop("_value", None)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    passes = [_one_pass(docs, test) for test in _test_blocks(benchmark)]
-    if len(passes) == 1:
-        found = passes[0].drop("text")
-    else:
-        found = passes[0].withColumn("text_key", F.sha2("text", 256)).drop("text")
-        for other in passes[1:]:
-            found = found.unionByName(other.withColumn("text_key", F.sha2("text", 256)).drop("text"))
-        n = len(passes)
-        found = (
-            found.groupBy("doc_id", "text_key")
-            .agg(
-                F.first("n_words").alias("n_words"),
-                F.flatten(F.collect_list("starts")).alias("starts"),
-                F.flatten(F.collect_list("ends")).alias("ends"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                (F.count("*") / n).cast("int").alias("rows"),
-            )
-            .select("doc_id", "n_words", "starts", "ends", "items", F.explode(F.expr("sequence(1, rows)")))
-        )
+    shared.small_batches(docs.sparkSession)
+    shipped = _shipped(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for a, b in zip(batch.column("starts"), batch.column("ends"), strict=True):
-                a, b = shared.merged(np.array(a.as_py(), np.int64), np.array(b.as_py(), np.int64))
-                hit.append(int((b - a).sum()))
-            items = batch.column("items").to_pylist()
-            digest = [hashlib.sha256(",".join(names).encode()).hexdigest() for names in items]
+        for block in shared.blocks(batches, limit=SHARD_BYTES):
+            words, hit, names = _judge(block, _received(shipped))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("n_words"),
+                    block.column("doc_id"),
+                    pa.array(words, pa.int64()),
                     pa.array(hit, pa.int64()),
-                    pa.array([len(names) for names in items], pa.int64()),
-                    pa.array(digest, pa.string()),
+                    pa.array([len(found) for found in names], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() for found in names]),
+                    pa.array(_bad(words, hit)),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string"
-    return (
-        found.select("doc_id", "n_words", "starts", "ends", "items")
-        .mapInArrow(run, columns)
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    )
+    columns = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {columns}")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
-    passes = list(_test_blocks(benchmark))
-    if len(passes) > 1:
-        bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs``, all columns, that are not contaminated; each is judged by its own text."""
     shared.small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(passes[0])
+    shipped = _shipped(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in shared.blocks(batches, limit=SHARD_BYTES):
-            found = _judge(block, shipped.value)
-            keep = []
-            for n, a, b in zip(*(found.column(c).to_pylist() for c in ("n_words", "starts", "ends")), strict=True):
-                hit = sum(b) - sum(a)
-                keep.append(not (hit > 0 and 20 * hit >= n))
-            yield block.filter(pa.array(keep))
+            words, hit, _ = _judge(block, _received(shipped))
+            yield block.filter(pa.array(~_bad(words, hit)))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, words, doc_word): per document and item the longest verbatim match of any
-    test suffix, at most ``WINDOW`` words counted, and the document word where it starts.
+    """(doc_id, item_id, words, doc_word): per document and item the words of their longest verbatim
+    match, and the first document word where one of that length starts.
 
     Matches of one word are left out."""
+    shared.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    shipped = _shipped(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in shared.blocks(batches, limit=SHARD_BYTES):
+            shard = Shard(*word_hashes(block.column("text")))
+            best: dict[tuple[int, str], tuple[int, int]] = {}
+            for test in _received(shipped):
+                for place, row, length in shard.matches(test, 2):
+                    owner, text = shard.owner[place], test.text[row]
+                    order = np.lexsort((place, -length, text, owner))
+                    owner, text, place, length = owner[order], text[order], place[order], length[order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+                    at = place[new] - shard.first[owner[new]]
+                    found = (owner[new], text[new], length[new], at)
+                    for doc, number, words, word in zip(*(x.tolist() for x in found), strict=True):
+                        for name in test.item[number]:
+                            best[doc, name] = min(best.get((doc, name), (0, 0)), (-words, word))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block.column("doc_id").take(pa.array([doc for doc, _ in best], pa.int64())),
+                    pa.array([name for _, name in best], pa.string()),
+                    pa.array([-words for words, _ in best.values()], pa.int32()),
+                    pa.array([word for _, word in best.values()], pa.int32()),
+                ],
+                ["doc_id", "item_id", "words", "doc_word"],
+            )
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
-    for test in _test_blocks(benchmark):
-        shared.small_batches(docs.sparkSession)
-        shipped = docs.sparkSession.sparkContext.broadcast(test)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for block in shared.blocks(batches, limit=SHARD_BYTES):
-                test = shipped.value
-                shard = Shard(*word_hashes(block.column("text")))
-                best, where = shard.longest(test.words, test.length)
-                rows = []
-                for r in np.flatnonzero(best > 1).tolist():
-                    doc = int(shard.owner[where[r]])
-                    for name in test.item[r]:
-                        rows.append((doc, name, int(best[r]), int(where[r] - shard.first[doc])))
-                docs_at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        block.column("doc_id").take(docs_at),
-                        pa.array([r[1] for r in rows], pa.string()),
-                        pa.array([r[2] for r in rows], pa.int32()),
-                        pa.array([r[3] for r in rows], pa.int32()),
-                    ],
-                    ["doc_id", "item_id", "words", "doc_word"],
-                )
-
-        part = docs.mapInArrow(run, f"doc_id {kind}, item_id string, words int, doc_word int")
-        out = part if out is None else out.union(part)
+    out = docs.mapInArrow(run, f"doc_id {kind}, item_id string, words int, doc_word int")
     return out.groupBy("doc_id", "item_id").agg(
         F.max("words").alias("words"), F.min_by("doc_word", F.struct(-F.col("words"), "doc_word")).alias("doc_word")
     )

@@ -70,3 +70,41 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontam.keep_uncontaminated(odd_docs, b).columns == odd_docs.columns
     assert decontam.contamination(no_docs, b).count() == 0
     assert decontam.contamination(odd_docs, b.where("false")).where("contaminated").count() == 0
+
+
+def test_longest_match_of_every_document_to_its_true_end(spark):
+    """Copies in one shard each have their row, shorter matches too, and nothing is cut at a window."""
+    passage = [f"p{i}" for i in range(200)]
+    docs = [
+        (1, " ".join(["x", *passage, "y"])),
+        (2, " ".join(passage)),
+        (3, " ".join(["u", "v", *passage[50:55], "w"])),
+        (4, "nothing alike"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(7, " ".join(["a", *passage, "b"]))], "item_id long, text string")
+    got = sorted(map(tuple, decontam.longest_matches(d, b).collect()))
+    assert got == [(1, "7", 200, 1), (2, "7", 200, 0), (3, "7", 5, 2)]
+    hits = {r.doc_id: r.n_hit for r in decontam.contamination(d, b).collect()}
+    assert hits == {1: 200, 2: 200, 3: 0, 4: 0}
+
+
+def test_longest_matches_are_those_of_all_pairs(spark):
+    docs, items = tables(3)
+    docs, items = docs[:12], dict(items)
+    expected = {}
+    for doc, text in docs:
+        w = tokens(text)
+        for item, other in items.items():
+            v = tokens(other)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n > 1:
+                        expected[doc, str(item)] = min(expected.get((doc, str(item)), (0, 0)), (-n, i))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (-r.words, r.doc_word) for r in decontam.longest_matches(d, b).collect()}
+    assert got == expected
