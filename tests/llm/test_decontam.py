@@ -108,3 +108,21 @@ def test_longest_matches_are_those_of_all_pairs(spark):
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id): (-r.words, r.doc_word) for r in decontam.longest_matches(d, b).collect()}
     assert got == expected
+
+
+def test_rows_are_judged_alike_in_several_blocks(spark, monkeypatch):
+    """Null and repeated ids; a row goes for its own text only, by the hits of all blocks together."""
+    monkeypatch.setattr(decontam, "TEST_BYTES", 60)
+    passages = [" ".join(f"{name}{i}" for i in range(13)) for name in "abcdef"]
+    b = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    bad, good = passages[0], "nothing of that kind"
+    split = " ".join([passages[1], passages[2], *["fill"] * 400])  # each passage alone is below a twentieth
+    rows = [(None, bad), (None, good), (1, bad), (1, good), (2, bad), (2, bad), (3, split), (4, good), (4, good)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(decontam.keep_uncontaminated(d, b).collect(), key=repr)
+    assert kept == sorted(d.where(f"text = '{good}'").collect(), key=repr)
+    found = decontam.contamination(d, b).collect()
+    assert sorted(map(repr, ((r.doc_id, r.contaminated) for r in found))) == sorted(
+        repr((i, text != good)) for i, text in rows
+    )
+    assert max(r.n_items for r in found) == 2
