@@ -14,7 +14,7 @@ a packed signature. Sets that share a band are candidates:
 
 No step gives more rows than a few for each class, whatever the size of a group.
 
-At the threshold of 0.85 a pair shares no band with chance (1 - 0.85^4)^32, about 6e-11.
+At the threshold of 0.85 a pair shares no band with chance (1 - 0.85^4)^32, about 6e-11; at 0.8, 5e-8.
 
 Rules: null and empty texts and texts without words have no shingles and link with nothing.
 With fewer than five words the whole text is the one shingle. Repeated rows and equal texts
@@ -38,8 +38,8 @@ HASHES = 128
 ROWS = 4
 BANDS = HASHES // ROWS
 BITS = 4
-SLACK = 0.16
-"""Five standard errors of the estimate at 0.85 from 128 minima."""
+CHANCE = 1 / (1 << BITS)
+"""Share of equal low bits of unequal minima."""
 BLOCK = 2048
 """Texts that a task compares with as many others at a time."""
 UNIT_BYTES = 8 << 20
@@ -104,11 +104,16 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 _EQUAL = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
 
 
+def slack(percent: int) -> float:
+    """Five standard errors of the estimate at the threshold, 0.16 at 0.85 and 0.18 at 0.8."""
+    equal = percent / 100 * (1 - CHANCE) + CHANCE
+    return 5 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - CHANCE)
+
+
 def estimate(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Estimated similarities of one packed signature with many (rows of bytes)."""
     same = _EQUAL[others ^ one].sum(axis=1, dtype=np.int32)
-    chance = 1 / (1 << BITS)
-    return (same / HASHES - chance) / (1 - chance)
+    return (same / HASHES - CHANCE) / (1 - CHANCE)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -230,7 +235,7 @@ def cross_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     blocks = filled.groupBy("cluster").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / UNIT_BYTES)).alias("n_blocks")
     )
-    least = percent / 100 - SLACK
+    least = percent / 100 - slack(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(shared.blocks(batches), "cluster"):
@@ -321,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     still_open = labelled.join(open_keys.where("lo < hi").select("key"), "key", "left_semi")
     signatures = filled.select("doc_id", "signature").dropDuplicates(["doc_id"])
-    likely = likely_edges(still_open.join(signatures, "doc_id"), percent / 100 - SLACK)
+    likely = likely_edges(still_open.join(signatures, "doc_id"), percent / 100 - slack(percent))
     clusters = components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     clustered = clusters.join(labelled.select("doc_id", "component").distinct(), "doc_id")
     more = cross_links(clustered, texts, percent)

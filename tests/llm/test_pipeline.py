@@ -5,7 +5,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from odd_tables import SMALL  # noqa: F401
-from authorloom.llm import bpe, catalogue, toxicity
+from authorloom.llm import bpe, catalogue, near_dup, toxicity
 
 
 def test_stages_apply_in_order(spark):
@@ -46,3 +46,15 @@ def test_last_stage_gives_the_ids_of_every_text(spark):
     for r in rows.collect():
         digest = hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest()
         assert (len(r.ids), digest) == (r.n_tokens, r.ids_sha256)
+
+
+def test_near_duplicate_stage_links_from_four_fifths(spark):
+    """41 of 50 shingles are common, 0.82: under the threshold of op8, above that of the stage."""
+    words = [f"w{i}" for i in range(54)]
+    near = words[:45]
+    docs = spark.createDataFrame(
+        [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(near[:20] + ["y"] * 30))],
+        "doc_id long, text string",
+    )
+    assert {r.doc_id for r in near_dup.keep_first(docs).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()} == {1, 3}
