@@ -313,8 +313,8 @@ def decode(rows: DataFrame, path: str, pattern: str, chunk: int = 4096) -> DataF
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids, and keep
-    the digests of both, so that neither has to leave the task. With ``keep_ids`` the ids are a
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids as a stream, and keep
+    the digests of ids and text, so that neither has to leave the task. With ``keep_ids`` the ids are a
     last column, ``ids``."""
 
     shared.small_batches(docs.sparkSession)
@@ -329,8 +329,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, k
                 coded.append(hashlib.sha256(ids).hexdigest())
                 digest = hashlib.sha256()
                 values = np.frombuffer(ids, np.uint32)
-                for begin in range(0, len(values), chunk):
-                    digest.update(both.decode_bytes(values[begin : begin + chunk].tolist()))
+                parts = (values[i : i + chunk].tolist() for i in range(0, len(values), chunk))
+                for piece in both.decode_stream(parts):
+                    digest.update(piece.encode())
                 decoded.append(digest.hexdigest())
                 if keep_ids:
                     kept.append(ids)

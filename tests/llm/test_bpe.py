@@ -70,3 +70,30 @@ def test_frames(odd_docs, no_docs, known):
     back = {r.doc_id: r.decoded for r in bpe.decode(coded, PATH, PATTERN, chunk=3).collect()}
     assert back == {r.doc_id: r.text or "" for r in odd_docs.collect()}
     assert bpe.round_trip(no_docs, PATH, PATTERN).count() == 0
+
+
+def test_round_trip_decodes_as_a_stream(monkeypatch, spark):
+    """Code points cut by chunks of one token are whole again in the digest; broken bytes would show."""
+    text = "漢字 🎉 é" * 20
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = bpe.round_trip(docs, PATH, PATTERN, chunk=1).first()
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    used = []
+    coder = bpe.Codec(PATH, PATTERN)
+    stream = coder.decode_stream
+    monkeypatch.setattr(coder, "decode_stream", lambda parts: used.append(1) or stream(parts))
+    monkeypatch.setattr(bpe, "codec", lambda path, pattern: coder)
+
+    class Docs:
+        """Runs the function that Spark would, here."""
+
+        sparkSession, schema = docs.sparkSession, docs.schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter(docs.toArrow().to_batches())))
+
+    got = bpe.round_trip(Docs(), PATH, PATTERN, chunk=1)
+    assert used and got[0].column("decoded_sha256")[0].as_py() == row.decoded_sha256
