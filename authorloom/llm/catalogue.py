@@ -13,6 +13,7 @@ from authorloom.llm import (
     bpe,
     chat,
     decontam,
+    lm_mix,
     near_dup,
     quality,
     secret_scan,
@@ -88,3 +89,8 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     given = spark.createDataFrame([(-1, 0, "user", mark), (-1, 1, "assistant", mark)], rows.schema)
     return chat.digests(chat.conversations(rows.union(given)))
+
+
+@query
+def op11_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_mix.language_model(table(spark, folder, "documents"))
