@@ -18,6 +18,7 @@ from authorloom.llm import (
     quality,
     secret_scan,
     suffix_dedup,
+    token_align,
     toxicity,
     warc,
 )
@@ -94,3 +95,9 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_mix.language_model(table(spark, folder, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
+    return token_align.alignment(table(spark, folder, "documents"), *map(public_tokenizers.path, files))
