@@ -12,6 +12,7 @@ from authorloom.llm import (
     ann,
     bpe,
     chat,
+    collocations,
     decontam,
     lm_mix,
     near_dup,
@@ -97,6 +98,11 @@ def op11_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_mix.language_model(table(spark, folder, "documents"))
 
 
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     files = ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")

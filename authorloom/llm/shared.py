@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from authorloom.session import drop_table as drop
 from authorloom.session import materialise as stored
 from authorloom.session import new_table_path
 
@@ -29,6 +30,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+BATCH_BYTES = "16m"
+"""Bytes that Spark sends at a time where rows hold large binaries."""
+
+
+def small_blobs(spark: SparkSession) -> None:
+    """Ask for Arrow batches of about ``BATCH_BYTES``, for tables whose rows are large binaries."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows that come first in hash order of ``key``, the same in every run.
 
@@ -56,6 +66,19 @@ def blocks(
             start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows gathered to blocks of about ``limit`` bytes and at most 32,768 rows; longer texts are blocks of their own."""
+    rest, size, rows = [], 0, 0
+    for block in blocks(batches, limit=limit):
+        rest.append(block)
+        size, rows = size + block.nbytes, rows + block.num_rows
+        if size >= limit or rows >= 1 << 15:
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            rest, size, rows = [], 0, 0
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts one after the other, offsets with one entry more than texts)."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
