@@ -46,6 +46,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    folders = {file.rsplit("/", 1)[0] for file in files}
+    for folder in folders:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path.getFileSystem(conf).delete(path, True)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path of its own for a table in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
