@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,10 @@ SLOT_BITS = (17, 20, 22, 22, 22)
 PAGE = 16
 REACH = max(ORDERS)
 END = 0xFF
-BLOCK = 1 << 22
+BLOCK = 3 << 20
 """Bytes whose windows are treated together."""
+WORDS = 1 << 19
+"""Distinct words that a task gathers before it sends them."""
 CHUNK = 1 << 12
 """Distinct windows between two steps of the weights."""
 RANGE = 1 << 16
@@ -214,9 +217,26 @@ class Learner:
             part = self.counts[first : first + RANGE]
             used = np.flatnonzero(part.any(axis=1))
             if len(used):
-                pair = part[used]
-                kind = np.min_scalar_type(int(pair.max()))
-                yield place, pickle.dumps((used.astype(np.uint16), pair.astype(kind)), 5)
+                yield place, packed(used, part[used])
+
+
+def packed(used: np.ndarray, pair: np.ndarray) -> bytes:
+    """Counts of the used slots of a range: a bit map, low bytes, and the few larger ones in full."""
+    bits = np.zeros(RANGE, np.uint8)
+    bits[used] = 1
+    large = np.flatnonzero(pair.max(axis=1) > 255)
+    low = np.packbits(bits).tobytes() + pair.astype(np.uint8).T.tobytes()
+    return pickle.dumps((zstandard.compress(low, 1), large.astype(np.uint32), pair[large]), 5)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(used slots, their counts) of a range."""
+    low, large, full = pickle.loads(blob)
+    data = np.frombuffer(zstandard.decompress(low), np.uint8)
+    used = np.flatnonzero(np.unpackbits(data[: RANGE // 8]))
+    pair = data[RANGE // 8 :].reshape(2, -1).T.astype(np.int64)
+    pair[large] = full
+    return used, pair
 
 
 @dataclass(frozen=True)
@@ -263,39 +283,31 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArra
     return array.dictionary_encode(), bounds
 
 
-def _merged(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Rows gathered to blocks of about ``limit`` bytes of text."""
-    rest, size = [], 0
-    for block in shared.blocks(batches, limit=limit):
-        rest.append(block)
-        size += block.nbytes
-        if size >= limit or sum(b.num_rows for b in rest) > 1 << 15:
-            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-            rest, size = [], 0
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-
-
 def gathered(docs: DataFrame) -> DataFrame:
     """What all training texts say, one part for each task: (kind, word, place, n, blob).
 
-    ``word`` rows count words of a block (null: end marks), ``slots`` rows a range of slots, ``mixer`` rows hold
+    ``word`` rows count words (null: end marks), ``slots`` rows a range of slots, ``mixer`` rows hold
     the weights, the bits they saw and the refining counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner()
-        any_text = False
-        for block in _merged(batches):
-            any_text = True
+        texts, counts = 0, []
+        for block in shared.gathered(batches, BLOCK):
+            texts += block.num_rows
             data, offsets = shared.utf8(block.column("text"))
             words, _ = text_words(data, offsets)
-            n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-            n = np.append(n, block.num_rows)
-            spelled = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
-            yield _rows("word", len(n), word=spelled, n=pa.array(n, pa.int64()))
+            n = pa.array(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)))
+            counts.append(pa.table({"word": words.dictionary, "n": n}))
+            if sum(c.num_rows for c in counts) > WORDS:
+                counts = [_added(counts)]
+                if counts[0].num_rows > WORDS // 2:
+                    yield from _word_rows(counts.pop())
             for key, _ in windows(data, offsets):
                 learner.learn(key)
-        if any_text:
+        if texts:
+            if counts:
+                yield from _word_rows(_added(counts))
+            yield _rows("word", 1, n=pa.array([texts], pa.int64()))
             for place, blob in learner.parts():
                 yield _rows("slots", 1, place=pa.array([place], pa.int32()), blob=pa.array([blob]))
             blob = pickle.dumps((learner.weights, learner.seen, learner.refine), 5)
@@ -304,6 +316,16 @@ def gathered(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind string, word string, place int, n long, blob binary")
 
 
+def _added(counts: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(counts).group_by("word").aggregate([("n", "sum")])
+    return pa.table({"word": out.column("word"), "n": out.column("n_sum")})
+
+
+def _word_rows(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in counts.to_batches(max_chunksize=1 << 15):
+        yield _rows("word", batch.num_rows, word=batch.column("word").cast(pa.string()), n=batch.column("n"))
+
+
 def _rows(kind: str, count: int, **given: pa.Array) -> pa.RecordBatch:
     kinds = {"word": pa.string(), "place": pa.int32(), "n": pa.int64(), "blob": pa.binary()}
     columns = [given.get(name, pa.nulls(count, of)) for name, of in kinds.items()]
@@ -321,7 +343,7 @@ def summed_slots(parts: DataFrame) -> DataFrame:
                     if place is not None:
                         yield _odds(place, total)
                     place, total = at, np.zeros((RANGE, 2))
-                used, pair = pickle.loads(blob.as_buffer())
+                used, pair = unpacked(blob.as_buffer())
                 total[used] += pair
         if place is not None:
             yield _odds(place, total)
@@ -387,7 +409,7 @@ def score(docs: DataFrame, learned: Model, counts: DataFrame, ends: int) -> Data
         mixer = Model(mixer.odds.astype(np.float32), mixer.weights, mixer.refined)
         logs = np.log10(c + PRIOR) - below
         end = np.log10(ends + PRIOR) - below
-        for block in _merged(batches):
+        for block in shared.gathered(batches, BLOCK):
             data, offsets = shared.utf8(block.column("text"))
             words, bounds = text_words(data, offsets)
             chance = mixer.texts(data, offsets)
@@ -441,9 +463,12 @@ def score(docs: DataFrame, learned: Model, counts: DataFrame, ends: int) -> Data
 def language_model(docs: DataFrame) -> DataFrame:
     """Learn from all rows outside the held-out tenth and score every row."""
     shared.small_batches(docs.sparkSession)
+    shared.small_blobs(docs.sparkSession)
     parts = shared.stored(gathered(docs.where(~held_out(F.col("doc_id")))), "lm-parts")
     said = parts.where("kind = 'word'")
     counts = said.where("word is not null").groupBy(F.col("word").alias("key")).agg(F.sum("n").alias("c"))
     counts = shared.stored(counts, "lm-words")
     ends = said.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return score(docs, model(parts), counts, ends)
+    learned = model(parts)
+    shared.drop(parts)
+    return score(docs, learned, counts, ends)
