@@ -43,17 +43,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    files = df.inputFiles()
-    folders = {file.rsplit("/", 1)[0] for file in files}
-    for folder in folders:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path.getFileSystem(conf).delete(path, True)
+def drop_table(table: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing that is still to run reads it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
