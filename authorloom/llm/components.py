@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): smallest id reachable from each node of ``links`` (a, b).
 
     Every round takes the smallest label of the neighbours and then the label of that label,
-    which halves the depth of the trees; each round is written to the shared folder. Nodes
+    which halves the depth of the trees; each round is written to the shared folder and the one before it dropped. Nodes
     without links do not occur. An empty table gives an empty table.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -36,6 +36,8 @@ def components(links: DataFrame) -> DataFrame:
             (F.least("lower", "root") < F.col("component")).alias("moved"),
         )
         moved = shared.stored(moved, "labels")
-        labels = moved.select("node", "component")
+        shared.drop(labels)
+        labels = moved
         if moved.where("moved").isEmpty():
-            return labels
+            shared.drop(edges)
+            return labels.select("node", "component")

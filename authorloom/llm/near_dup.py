@@ -12,7 +12,10 @@ a packed signature. Sets that share a band are candidates:
 4. within each cluster the pairs of different components are confirmed on the full sets,
    computed anew from the texts, until they are joined or every pair has been tried.
 
-No step gives more rows than a few for each class, whatever the size of a group.
+Steps 3 and 4 go in two passes. In the first every row is in one block of its group and components
+contract; only what then is still apart meets in all pairs of blocks, and rows of the largest component of a group
+not with each other. A unit gives a row for each component that it joins, never for pairs. Rows dealt are
+twice those of a group at most, unless several blocks of it are in none of the larger components.
 
 At the threshold of 0.85 a pair shares no band with chance (1 - 0.85^4)^32, about 6e-11; at 0.8, 5e-8.
 
@@ -23,7 +26,7 @@ are links. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,83 +173,150 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def in_blocks(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
-    """Deal the rows of each ``key`` to units that one task can hold, every two rows to one at least.
+def dealt_once(members: DataFrame, key: str) -> DataFrame:
+    """Every row of each ``key`` in one block of about a weight of 1, at random; sorted by (key, i, j)."""
+    blocks = members.groupBy(key).agg(F.ceil(F.sum("weight")).cast("int").alias("n_blocks"))
+    dealt = members.join(blocks, key).withColumn("i", F.pmod(F.xxhash64(key, "doc_id"), F.col("n_blocks")).cast("int"))
+    return dealt.withColumn("j", F.col("i")).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
-    ``blocks`` (key, n_blocks) says into how many blocks a key is cut; a unit has the rows of
-    one pair of blocks. Units come sorted by (key, i, j)."""
+
+def dealt_all(members: DataFrame, key: str) -> DataFrame:
+    """Rows of each ``key`` in units such that any two rows of different components meet in one.
+
+    Rows of the heaviest component never have to meet each other: they and the rest are cut into
+    blocks apart, and a unit is a block of the rest with any other block. So where the rest fills one
+    block, which is the rule after the first pass, a row of the heaviest component is dealt once."""
+    by_component = members.groupBy(key, "component").agg(F.sum("weight").alias("w"))
+    sizes = by_component.groupBy(key).agg(
+        F.max(F.struct("w", "component")).alias("top"), F.sum("w").alias("all"), F.count("*").alias("n")
+    )
+    sizes = sizes.where("n > 1").select(
+        key,
+        F.col("top.component").alias("top"),
+        F.greatest(F.ceil("top.w"), F.lit(1)).cast("int").alias("many"),
+        F.greatest(F.ceil(F.col("all") - F.col("top.w")), F.lit(1)).cast("int").alias("few"),
+    )
+    place, heavy = F.xxhash64(key, "doc_id"), F.col("component") == F.col("top")
+    every = F.col("many") + F.col("few") - 1
     dealt = (
-        members.join(blocks, key)
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
+        members.join(sizes, key)
+        .withColumn(
+            "block",
+            F.when(heavy, F.pmod(place, F.col("many"))).otherwise(F.col("many") + F.pmod(place, F.col("few"))).cast("int"),
+        )
+        .withColumn("other", F.explode(F.sequence(F.when(heavy, F.col("many")).otherwise(0), every)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .drop("block", "other", "n_blocks")
+        .drop("block", "other", "many", "few", "top")
     )
     return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def likely_edges(members: DataFrame, least: float) -> DataFrame:
-    """(a, b): edges that span, band by band, what estimates of ``least`` or more connect.
+def joined_components(units: DataFrame, key: str, find: Callable[[pa.Table, np.ndarray], tuple[list, list]]) -> DataFrame:
+    """(a, b): components that ``find`` joins within a unit, each with the smallest of its group.
 
-    ``members`` has (key, doc_id, component, signature); only pairs of different components
-    count. A band gives fewer edges than it has rows, however many of its pairs are alike.
-    """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    ``find`` gets a unit and its components and gives pairs of rows. A unit gives fewer rows than it has components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches, "key"):
-            ids, component = unit.column("doc_id").combine_chunks(), unit.column("component").to_numpy()
-            signature = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8)
-            a, b = _spanning(signature.reshape(len(ids), -1), component, least)
-            if a:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
+        for unit in _units(shared.blocks(batches) if "text" in names else batches, key):
+            own = unit.column("component").to_numpy()
+            a, b = smallest_of_group(own, *find(unit, own))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    names = units.columns
+    return units.mapInArrow(run, "a long, b long")
+
+
+def smallest_of_group(component: np.ndarray, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(component, smallest component that it is joined with) for those that some pairs of rows join."""
+    known, place = np.unique(component, return_inverse=True)
+    least = np.arange(len(known))
+    for x, y in zip(place[a].tolist(), place[b].tolist(), strict=True):
+        while least[x] != x:
+            least[x] = x = least[least[x]]
+        while least[y] != y:
+            least[y] = y = least[least[y]]
+        least[max(x, y)] = min(x, y)
+    while (least[least] != least).any():
+        least = least[least]
+    moved = least != np.arange(len(known))
+    return known[moved], known[least[moved]]
+
+
+def likely_clusters(members: DataFrame, least: float) -> DataFrame:
+    """(component, cluster): components that estimates of ``least`` or more connect, over all bands.
+
+    ``members`` has (key, doc_id, component, signature). In a first pass every row of a band is in one
+    block, and each component takes the smallest one that it looks like in any band; that joins groups
+    of copies. In the bands that still hold several clusters all pairs of different clusters are compared.
+    """
+
+    def alike(unit: pa.Table, component: np.ndarray) -> tuple[list[int], list[int]]:
+        signature = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8)
+        return _spanning(signature.reshape(len(component), -1), component, least)
 
-    kind = members.schema["doc_id"].dataType.simpleString()
-    return in_blocks(members, "key", blocks).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    members = members.withColumn("weight", F.lit(1 / BLOCK))
+    near = joined_components(dealt_once(members, "key"), "key", alike).groupBy("a").agg(F.min("b").alias("b"))
+    first = components(near)
+    second = components(joined_components(dealt_all(relabelled(members, first), "key"), "key", alike).distinct())
+    return both_maps(first, second)
+
+
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``component`` replaced where ``labels`` (node, component) has another."""
+    new = labels.select(F.col("node").alias("component"), F.col("component").alias("new_component"))
+    rows = rows.join(new, "component", "left")
+    return rows.withColumn("component", F.coalesce("new_component", "component")).drop("new_component")
+
+
+def both_maps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(component, cluster): ``first``, then ``second``, as one table; nodes in neither do not occur."""
+    through = relabelled(first, second).select("node", "component")
+    only = second.join(first.select("node"), "node", "left_anti").select("node", "component")
+    return through.unionByName(only).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
 
 
 def _spanning(signature: np.ndarray, component: np.ndarray, least: float) -> tuple[list[int], list[int]]:
     """Tree edges of a walk over the pairs of different components that look alike."""
-    new = np.ones(len(signature), bool)
+    rest = np.arange(len(signature))
     a: list[int] = []
     b: list[int] = []
-    for root in range(len(signature)):
-        stack = [root] if new[root] else []
-        new[root] = False
-        while stack:
+    while len(rest):
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
             at = stack.pop()
-            near = (estimate(signature[at], signature) >= least) & (component != component[at]) & new
-            found = np.flatnonzero(near).tolist()
-            new[found] = False
+            near = (estimate(signature[at], signature[rest]) >= least) & (component[rest] != component[at])
+            found = rest[near].tolist()
+            rest = rest[~near]
             a += [at] * len(found)
             b += found
             stack += found
     return a, b
 
 
-def cross_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): confirmed links that join components within each ``cluster``.
+def confirmed_joins(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(component, cluster): components that confirmed links join within each ``cluster`` of likeness.
 
     ``members`` has (cluster, doc_id, component). A unit reads its texts, takes the pairs of
     different components that the estimate does not exclude, the most promising texts first,
-    and confirms them on full sets until they are joined or all tried. So it finds out about
-    every pair, but gives fewer links than it has rows."""
-    filled = members.join(texts.select("doc_id", "text"), "doc_id")
-    blocks = filled.groupBy("cluster").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / UNIT_BYTES)).alias("n_blocks")
-    )
+    and confirms them on full sets until they are joined or all tried. The first pass has every text in
+    one block; clusters of several blocks that still hold several components are then tried in all pairs."""
+    weight = F.greatest(F.lit(1 / BLOCK), F.octet_length("text") / F.lit(float(UNIT_BYTES)))
+    filled = members.join(texts.select("doc_id", "text"), "doc_id").withColumn("weight", weight)
+    filled = shared.stored(filled, "near-dup-clusters")
     least = percent / 100 - slack(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(shared.blocks(batches), "cluster"):
-            ids, component = unit.column("doc_id").combine_chunks(), unit.column("component").to_numpy()
-            sets = [v for part in unit.to_batches(512) for v in shingles(part.column("text"))]
-            a, b = _joined(sets, component, least, percent)
-            if a:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
+    def confirmed(unit: pa.Table, component: np.ndarray) -> tuple[list[int], list[int]]:
+        sets = [v for part in unit.to_batches(512) for v in shingles(part.column("text"))]
+        return _joined(sets, component, least, percent)
 
-    kind = members.schema["doc_id"].dataType.simpleString()
-    return in_blocks(filled, "cluster", blocks).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    first = components(joined_components(dealt_once(filled, "cluster"), "cluster", confirmed).distinct())
+    large = filled.groupBy("cluster").agg(F.sum("weight").alias("w")).where("w > 1").select("cluster")
+    again = relabelled(filled.join(large, "cluster", "left_semi"), first)
+    second = components(joined_components(dealt_all(again, "cluster"), "cluster", confirmed).distinct())
+    out = shared.stored(both_maps(first, second), "near-dup-joins")
+    shared.drop(filled)
+    return out
 
 
 def _joined(
@@ -259,11 +329,10 @@ def _joined(
     a: list[int] = []
     b: list[int] = []
     for at in np.argsort(high, kind="stable")[::-1].tolist():
-        if (label == label[at]).all():
-            continue
-        likeness = estimate(signature[at], signature)
-        near = np.flatnonzero((likeness >= least) & (label != label[at]))
-        for other in near[np.argsort(-likeness[near], kind="stable")].tolist():
+        apart = np.flatnonzero(label != label[at])
+        likeness = estimate(signature[at], signature[apart])
+        near = np.flatnonzero(likeness >= least)
+        for other in apart[near[np.argsort(-likeness[near], kind="stable")]].tolist():
             if label[other] == label[at]:
                 continue
             x, y = sets[at], sets[other]
@@ -319,23 +388,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     stars = members.groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a")).where("a < b")
     links = shared.stored(confirm(stars.select("a", "b"), texts, percent), "near-dup-stars")
-    first_labels = shared.stored(components(links), "near-dup-first")
+    first_labels = components(links)
+    shared.drop(links)
 
     labelled = members.join(first_labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     still_open = labelled.join(open_keys.where("lo < hi").select("key"), "key", "left_semi")
     signatures = filled.select("doc_id", "signature").dropDuplicates(["doc_id"])
-    likely = likely_edges(still_open.join(signatures, "doc_id"), percent / 100 - slack(percent))
-    clusters = components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    clustered = clusters.join(labelled.select("doc_id", "component").distinct(), "doc_id")
-    more = cross_links(clustered, texts, percent)
-    every_link = shared.stored(links.union(more), "near-dup-links")
-    labels = components(every_link).withColumnRenamed("node", "class_id")
+    still_open = shared.stored(still_open.join(signatures, "doc_id"), "near-dup-open")
+    shared.drop(members)
+    sets = shared.stored(sketch.select("doc_id", "n_shingles", "set_key"), "near-dup-sets")
+    likely = shared.stored(likely_clusters(still_open, percent / 100 - slack(percent)), "near-dup-likely")
+    clustered = still_open.select("doc_id", "component").distinct().join(likely, "component")
+    joins = confirmed_joins(clustered, texts, percent)
+    for done in (texts, still_open, sketch):
+        shared.drop(done)
+    labels = both_maps(first_labels, joins.select(F.col("component").alias("node"), F.col("cluster").alias("component")))
+    labels = labels.select(F.col("component").alias("class_id"), F.col("cluster").alias("component"))
+    classes = sets.where("set_key is not null and doc_id is not null")
+    classes = classes.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
 
     return (
-        sketch.select("doc_id", "n_shingles", "set_key")
-        .join(classes, "set_key", "left")
+        sets.join(classes, "set_key", "left")
         .join(labels, "class_id", "left")
         .select(
             "doc_id",

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from odd_tables import no_docs, odd_docs  # noqa: F401
 from authorloom.llm import near_dup
 from authorloom.llm.components import components
@@ -72,3 +75,51 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 91: 90}
     assert components(links.where("false")).count() == 0
+
+
+def near_group(spark, n, outliers=0):
+    """A band with ``n`` equal signatures, each a component of its own, and others unlike all."""
+    same = bytes(64)
+    rows = [(1, i, i, same) for i in range(n)]
+    rows += [(1, n + i, n + i, bytes(random.Random(i).randbytes(64))) for i in range(outliers)]
+    return spark.createDataFrame(rows, "key long, doc_id long, component long, signature binary")
+
+
+def test_rows_dealt_and_joined_grow_with_the_group(spark, monkeypatch):
+    """Not with its square: a band of many blocks, with and without members unlike the rest."""
+    monkeypatch.setattr(near_dup, "BLOCK", 250)
+    for n in (1000, 2000, 4000):
+        members = near_group(spark, n, outliers=20).withColumn("weight", F.lit(1 / 250))
+        dealt = near_dup.dealt_once(members, "key")
+        assert dealt.count() == n + 20
+
+        def alike(unit, component):
+            signature = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8)
+            return near_dup._spanning(signature.reshape(len(component), -1), component, 0.8)
+
+        assert near_dup.joined_components(dealt, "key", alike).count() < n
+        contracted = members.withColumn("component", F.when(F.col("component") < n, 0).otherwise(F.col("component")))
+        assert near_dup.dealt_all(contracted, "key").count() <= n + 20 * (n // 250 + 3)
+        clusters = near_dup.likely_clusters(near_group(spark, n, 20), 0.8).collect()
+        assert {(r.component, r.cluster) for r in clusters} == {(i, 0) for i in range(n)}
+
+
+def test_all_pairs_of_different_components_meet(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, i, rng.choice([0, 0, 0, i]), b"", 0.2) for k in (1, 2) for i in range(60)]
+    members = spark.createDataFrame(rows, "key long, doc_id long, component long, signature binary, weight double")
+    units = {}
+    for r in near_dup.dealt_all(members, "key").collect():
+        units.setdefault((r.key, r.i, r.j), []).append(r)
+    met = {(k, x.doc_id, y.doc_id) for (k, _, _), unit in units.items() for x in unit for y in unit}
+    apart = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    assert apart <= met
+
+
+def test_groups_in_many_blocks_of_text(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "UNIT_BYTES", 9000)
+    for seed in (3, 11):
+        docs = family(seed, 70)
+        got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
