@@ -37,15 +37,15 @@ from authorloom.operators.ranks import top_per_group
 
 WORDS = 3
 LEVELS = WORDS + 1
-RANGE_BYTES = 1 << 24
+RANGE_BYTES = 1 << 23
 """Bytes of text for each prefix range."""
 CUTS = 64
 """Sampled n-grams for each cut."""
 SAMPLE_SHARE = 0.01
 SAMPLE_LEAST = 1 << 22
 """Bytes of text that are sampled at least."""
-BLOCK = 1 << 21
-ARCS = 4_000_000
+BLOCK = 1 << 20
+ARCS = 1_500_000
 """Arcs that a task gathers before it sends them."""
 
 _LOWER = shared.lower_ascii()
@@ -326,8 +326,11 @@ def sent_shards(docs: DataFrame, bounds: list[tuple[str, ...]]) -> DataFrame:
             pile.push(counted(block.column("text"), block.column("lang")))
             if len(pile) >= ARCS:
                 yield from _pieces(pile.whole(), bounds)
+                shared.give_back()
         if len(pile):
             yield from _pieces(pile.whole(), bounds)
+        del pile
+        shared.give_back()
 
     return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "range int, blob binary")
 
@@ -410,6 +413,8 @@ def frequent_ranges(shards: DataFrame, least: int) -> DataFrame:
             wanted = [w >= (least if level else 1) for level, w in enumerate(whole.weights)]
             if any(w.any() for w in wanted):
                 yield _row(number, whole.keep(wanted).written())
+            del pile, whole, wanted
+            shared.give_back()
 
     return shards.select("range", "blob").mapInArrow(run, "range int, blob binary")
 

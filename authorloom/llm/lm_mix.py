@@ -312,6 +312,8 @@ def gathered(docs: DataFrame) -> DataFrame:
                 yield _rows("slots", 1, place=pa.array([place], pa.int32()), blob=pa.array([blob]))
             blob = pickle.dumps((learner.weights, learner.seen, learner.refine), 5)
             yield _rows("mixer", 1, n=pa.array([learner.bits], pa.int64()), blob=pa.array([blob]))
+        del learner, counts
+        shared.give_back()
 
     return docs.select("text").mapInArrow(run, "kind string, word string, place int, n long, blob binary")
 
@@ -436,6 +438,8 @@ def score(docs: DataFrame, learned: Model, counts: DataFrame, ends: int) -> Data
                 ],
                 ["doc_id", "n_tokens", "common", "base", "score", "keys", "times"],
             )
+        del mixer
+        shared.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +41,13 @@ def small_blobs(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that an idle worker does not keep what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows that come first in hash order of ``key``, the same in every run.
 
