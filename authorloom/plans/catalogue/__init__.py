@@ -9,6 +9,7 @@ from authorloom.plans.catalogue import (  # noqa: F401
     ingest,
     labels,
     media,
+    stored,
     words,
 )
 from authorloom.plans.catalogue.registry import ORACLES, QUERIES
