@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,10 +92,10 @@ class ByteTokens:
                 "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
             )
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and (text.isascii() or not _OTHER.search(text)):
-            return self.fast.encode_ordinary(text)
-        return _library(self.path).encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text).astype(np.int64)
+        return np.array(_library(self.path).encode(text, add_special_tokens=False).ids, np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -121,8 +122,8 @@ class PieceTokens:
             tokens.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode())
         self.spelling = Spelling(tokens)
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(array("i", self.model.encode(text, num_threads=1)), np.int32).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -131,41 +132,42 @@ def tokenizers(byte_path: str, piece_path: str, ranks: str | None) -> tuple[Byte
     return ByteTokens(byte_path, ranks), PieceTokens(piece_path)
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def common_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens of both lists up to each common end; ``a`` and ``b`` are ends in rising order.
 
     The last ends must be equal."""
-    cuts_a: list[int] = []
-    cuts_b: list[int] = []
+    a, b = [*a, -1], [*b, -2]  # so that no stretch goes on past the end
+    at_a: list[int] = []
+    at_b: list[int] = []
+    runs: list[int] = []
     i = j = 0
-    n = len(a)
+    n = len(a) - 1
     while i < n:
-        if a[i] == b[j]:
-            run, step, grows = 1, 1, True
-            while step:
-                part = a[i + run : i + run + step]
-                if part and part == b[j + run : j + run + step]:
-                    run += len(part)
-                    step = step * 2 if grows else step // 2
-                else:
-                    grows = False
-                    step //= 2
-            cuts_a.extend(range(i + 1, i + run + 1))
-            cuts_b.extend(range(j + 1, j + run + 1))
-            i, j = i + run, j + run
-        else:
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            i, j = i + 1, j + 1
-            cuts_a.append(i)
-            cuts_b.append(j)
-    return cuts_a, cuts_b
+        x, y = a[i], b[j]
+        while x != y:  # an irregular group; the shift of the indexes is j - i from its end on
+            if x < y:
+                i += 1
+                x = a[i]
+            else:
+                j += 1
+                y = b[j]
+        run = 1
+        if a[i + 1] == b[j + 1]:
+            run = step = 2
+            while a[i + run : i + run + step] == b[j + run : j + run + step]:
+                run += step
+                step += step
+            while step > 1:
+                step >>= 1
+                if a[i + run : i + run + step] == b[j + run : j + run + step]:
+                    run += step
+        at_a.append(i)
+        at_b.append(j)
+        runs.append(run)
+        i += run
+        j += run
+    sizes = np.array(runs, np.int64)
+    return shared.ranges(np.array(at_a, np.int64) + 1, sizes), shared.ranges(np.array(at_b, np.int64) + 1, sizes)
 
 
 class Block:
@@ -183,8 +185,8 @@ class Block:
             own_a, own_b, ends_a, ends_b = one
             ids_a.append(own_a)
             ids_b.append(own_b)
-            cuts_a.append(np.array(ends_a) + n_a)
-            cuts_b.append(np.array(ends_b) + n_b)
+            cuts_a.append(ends_a + n_a)
+            cuts_b.append(ends_b + n_b)
             sizes.append((len(own_a), len(own_b), len(ends_a)))
             n_a, n_b = n_a + len(own_a), n_b + len(own_b)
         nothing = [np.empty(0, np.int64)]
@@ -197,8 +199,7 @@ class Block:
 
     def _text(self, text: str) -> tuple | None:
         whole = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), np.uint8)
-        own_a = np.array(self.a.encode(" " + text), np.int64)
-        own_b = np.array(self.b.encode(text), np.int64)
+        own_a, own_b = self.a.encode(" " + text), self.b.encode(text)
         ends_a = self.a.spelling.lengths[own_a].cumsum()
         ends_b = self.b.spelling.lengths[own_b].cumsum()
         if not len(own_a) or not len(own_b) or ends_a[-1] != len(whole) or ends_b[-1] != len(whole):
