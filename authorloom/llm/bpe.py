@@ -56,8 +56,11 @@ class Transducer:
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.reach = max(map(len, ranks))
         self.known_halves: dict[int, tuple[int, int] | None] = {}
-        self.begins = {token[:i] for token in ranks for i in range(1, len(token) + 1)}
+        self.begins = {token[:i] for token in ranks for i in range(1, len(token))}
         self.allowed: dict[tuple[int, int], bool] = {}
+        self.ends: list[bytes] = [b""]
+        self.end_ids: dict[bytes, int] = {b"": 0}
+        self.edges: list[dict[int, tuple]] = [{}]
         self.pieces: dict[str, bytes] = {}
         self._reset()
 
@@ -111,36 +114,56 @@ class Transducer:
                 right = halves[0]
 
     def _reset(self) -> None:
-        # a state: the longest end of what is read that begins a token, and the last token of
+        # a state: the longest end of what is read that a token may go on from, and the last token of
         # the prefix before each of its bytes and of the whole
-        self.states: dict[tuple, int] = {(b"", (None,)): 0}
-        self.windows: list[tuple[bytes, tuple[int | None, ...]]] = [(b"", (None,))]
+        self.states: dict[tuple, int] = {(0, (None,)): 0}
+        self.windows: list[tuple[int, tuple[int | None, ...]]] = [(0, (None,))]
         self.steps: list[dict[int, tuple[int, int]]] = [{}]
         self.allowed.clear()
 
+    def _edge(self, end: int, byte: int) -> tuple:
+        """What ``byte`` does to an end of text, whatever was before: tokens that end with it, longest first,
+        each with the place where it begins; the new end; places of the old that still matter, -1 for others."""
+        grown = self.ends[end] + bytes((byte,))
+        tokens = tuple(
+            (at, token) for at in range(len(grown)) if (token := self.ranks.get(grown[at:])) is not None
+        )
+        cut = 0
+        while cut < len(grown) and grown[cut:] not in self.begins:
+            cut += 1
+        kept = tuple(at if grown[at:] in self.begins else -1 for at in range(cut, len(grown)))
+        number = self.end_ids.setdefault(grown[cut:], len(self.ends))
+        if number == len(self.ends):
+            self.ends.append(grown[cut:])
+            self.edges.append({})
+        self.edges[end][byte] = out = tokens, number, kept
+        return out
+
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, last token of the prefix that ends with ``byte``)."""
         known = self.steps[state].get(byte)
         if known is not None:
             return known
-        tail, lasts = self.windows[state]
-        grown = tail + bytes((byte,))
-        for begin in range(len(grown)):
-            token = self.ranks.get(grown[begin:])
-            if token is not None and lasts[begin] != -1 and (lasts[begin] is None or self.may_follow(lasts[begin], token)):
+        end, lasts = self.windows[state]
+        tokens, number, kept = self.edges[end].get(byte) or self._edge(end, byte)
+        allowed = self.allowed
+        for at, token in tokens:
+            left = lasts[at]
+            if left is None:
                 break
-        cut = 0
-        while grown[cut:] not in self.begins:
-            cut += 1
-        # a last token matters only where a token may begin that goes on beyond what is read
-        kept = zip(range(cut, len(grown)), lasts[cut:], strict=True)
-        window = grown[cut:], (*(last if grown[at:] in self.begins else -1 for at, last in kept), token)
-        number = self.states.setdefault(window, len(self.windows))
-        if number == len(self.windows):
+            if left != -1:
+                fits = allowed.get((left, token))
+                if fits is None:
+                    fits = self.may_follow(left, token)
+                if fits:
+                    break
+        window = number, (*[lasts[at] if at >= 0 else -1 for at in kept], token)
+        state_after = self.states.setdefault(window, len(self.windows))
+        if state_after == len(self.windows):
             self.windows.append(window)
             self.steps.append({})
-        self.steps[state][byte] = number, token
-        return number, token
+        self.steps[state][byte] = out = state_after, token
+        return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece: the path of last tokens, read from its end."""
@@ -152,10 +175,10 @@ class Transducer:
         state, steps, lasts = 0, self.steps, []
         out: list[int] = []
         done = 0
-        for begin in range(0, len(piece), 64 * self.reach):
-            if begin:  # far back, all ways that are still open share their tokens
+        for begin in range(0, len(piece), self.reach):
+            if begin:  # further back than a token is long, all ways that are still open share their tokens
                 done = self._emit(lasts, done, out)
-            for byte in piece[begin : begin + 64 * self.reach]:
+            for byte in piece[begin : begin + self.reach]:
                 state, last = steps[state].get(byte) or self.step(state, byte)
                 lasts.append(last)
         tail: list[int] = []
@@ -171,10 +194,12 @@ class Transducer:
         """Send what all prefixes that end within the last ``reach`` bytes agree on."""
         ends = set(range(len(lasts) - self.reach + 1, len(lasts) + 1))
         paths: list[int] = []
+        at = len(lasts)
         while len(ends) > 1:  # the furthest end goes back until all ways meet
-            at = max(ends)
-            ends.discard(at)
-            ends.add(at - len(self.tokens[lasts[at - 1]]))
+            if at in ends:
+                ends.discard(at)
+                ends.add(at - self.sizes[lasts[at - 1]])
+            at -= 1
         meet = ends.pop()
         at = meet
         while at > done:
