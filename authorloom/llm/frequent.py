@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS = 1 << 16
+KEYS = 1 << 18
 """Most keys that are ever sent to a task."""
 
 
