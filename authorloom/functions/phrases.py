@@ -33,38 +33,71 @@ class PhrasePattern:
         return F.coalesce(hit, F.lit(False))
 
 
+class _Trie:
+    """Phrases by their common beginnings; a step is one letter or a whole sub-pattern."""
+
+    def __init__(self) -> None:
+        self.next: dict[str, _Trie] = {}
+        self.ends: dict[str, None] = {}
+
+    def add(self, steps: Iterable[str], end: str = "") -> None:
+        node = self
+        for step in steps:
+            node = node.next.setdefault(step, _Trie())
+        node.ends[end] = None
+
+    def pattern(self) -> str:
+        """Alternatives are written out where phrases part, so a text is tried once for each beginning, not for
+        each phrase; runs without a parting are plain text."""
+        branches: list[tuple[str, _Trie]] = sorted(self.next.items())
+        options = []
+        for step, node in branches:
+            text = step
+            while len(node.next) == 1 and not node.ends:
+                ((step, node),) = node.next.items()
+                text += step
+            options.append(text + node.pattern())
+        options += self.ends
+        if len(options) == 1:
+            return options[0]
+        return "(?:" + "|".join(options) + ")"
+
+
 def compile_phrases(
     phrases: Iterable[str], condition: str, synonyms: Iterable[str]
 ) -> PhrasePattern:
-    """Whole-word, case-blind alternation of phrases.
+    """Whole-word, case-blind search for phrases, factored by their beginnings.
 
     The condition's name stands for any of its synonyms, ``?`` for one word of
-    letters, digits, apostrophes and hyphens.
+    letters, digits, apostrophes and hyphens. Empty phrases do not count; without phrases nothing is found.
     """
     condition = condition.lower()
-    spellings = sorted(set(synonyms) | {condition}, key=lambda s: (-len(s), s))
-    named = "(?:" + "|".join(re.escape(s) for s in spellings) + ")"
-    branches: list[str] = []
-    guards: set[str] = set()
-    for phrase in dict.fromkeys(p.lower() for p in phrases):
+    names = _Trie()
+    for spelling in sorted(set(synonyms) | {condition}):
+        names.add(re.escape(c) for c in spelling)
+    named = names.pattern()
+    heads: dict[str, _Trie] = {}
+    guards = _Trie()
+    for phrase in dict.fromkeys(p.lower() for p in phrases if p):
+        steps: list[str] = []
+        literals: list[str] = []
         pieces = re.split(f"({re.escape(condition)}|\\?)", phrase)
-        branch, literals = "", []
         for piece in pieces:
             if piece == condition:
-                branch += named
+                steps.append(named)
             elif piece == "?":
-                branch += f"[{P.WORD}'-]+"
+                steps.append(f"[{P.WORD}'-]+")
             else:
-                branch += re.escape(piece)
+                steps += [re.escape(c) for c in piece]
                 literals.append(piece)
         head = f"(?<!{_W})" if _is_word(phrase[0]) else _EDGE
         tail = f"(?!{_W})" if _is_word(phrase[-1]) else _EDGE
-        branches.append(head + branch + tail)
+        heads.setdefault(head, _Trie()).add(steps, tail)
         if condition in pieces:
-            guards.update(re.escape(s) for s in spellings)
+            guards.add([named])
         else:
-            longest = max(literals, key=len, default="")
-            guards.add(re.escape(longest))
-    full = "(?iu)(?:" + "|".join(branches) + ")"
-    guard = "(?iu)(?:" + "|".join(sorted(guards)) + ")"
-    return PhrasePattern(full, guard)
+            guards.add(re.escape(c) for c in max(literals, key=len, default=""))
+    if not heads:
+        return PhrasePattern("(?!)", "(?!)")
+    full = "(?iu)(?:" + "|".join(head + trie.pattern() for head, trie in heads.items()) + ")"
+    return PhrasePattern(full, "(?iu)" + guards.pattern())

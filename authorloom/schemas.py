@@ -108,6 +108,17 @@ LISTING_PAGE = T.StructType(
     ]
 )
 
+PREDICTION_ROWS = T.StructType(
+    [
+        T.StructField("experiment_name", T.StringType()),
+        T.StructField("author", T.StringType()),
+        T.StructField("true_label", T.BooleanType()),
+        T.StructField("predicted_probability", T.DoubleType()),
+        T.StructField("predicted_label", T.BooleanType()),
+        T.StructField("dataset", T.StringType()),
+    ]
+)
+
 AUTHOR_PREDICTIONS = ["author", "true_label", "predicted_probability", "predicted_label", "dataset"]
 
 RESULT = T.StructType(

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from authorloom.operators.merge import last_per_id
-from authorloom.schemas import AUTHOR_PREDICTIONS, CONTENT, FLAGS, RESULT, USERS
+from authorloom.schemas import AUTHOR_PREDICTIONS, CONTENT, FLAGS, PREDICTION_ROWS, RESULT, USERS
+from authorloom.sources.committed import CommittedTable
+from authorloom.sources.quoted_csv import read_quoted
 
 # Spellings that count as true in a CSV file.
 TRUE_TEXT = "true"
@@ -16,19 +18,14 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ssXXX"
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
-    """CSV with quoted fields; ``multi_line`` allows line breaks inside them.
-
-    Large corpora belong in parquet: a multi-line CSV file is read by one task.
-    """
+    """CSV with quoted fields as text, and ``_order``, the place of each row; ``multi_line`` allows line breaks
+    inside fields, and large files are read by many tasks all the same."""
+    if multi_line:
+        return read_quoted(spark, path, schema.names)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .schema(text)
-        .csv(path)
-    )
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').schema(text).csv(path)
+    order = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    return rows.select("*", order.alias("_order"))
 
 
 def _typed(raw: DataFrame, schema: T.StructType) -> list:
@@ -70,8 +67,7 @@ def read_keyed_csv(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    order = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
-    rows = raw.select(*_typed(raw, schema), order.alias("_order"))
+    rows = raw.select(*_typed(raw, schema), "_order")
     return last_per_id(rows, "_order", id_col).select(*schema.names)
 
 
@@ -137,3 +133,35 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def append_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append experiment rows in the fixed 17-column order."""
     _write(df, path, RESULT.names, fmt, "append")
+
+
+def _committed(spark: SparkSession, path: str, columns: T.StructType, cut: tuple[str, ...] = ()) -> CommittedTable:
+    return CommittedTable(spark, path, columns, cut)
+
+
+def commit_rows(df: DataFrame, path: str, kind: str, commit: int | str) -> bool:
+    """Append users or content under an id: a rerun with the same id adds nothing, a lost one leaves nothing."""
+    return _committed(df.sparkSession, path, USERS if kind == "user" else CONTENT).commit(df, commit)
+
+
+def committed_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Users or content of all commits; no rows if there are none."""
+    return _committed(spark, path, USERS if kind == "user" else CONTENT).read()
+
+
+def commit_predictions(df: DataFrame, path: str, run: str) -> bool:
+    """Author predictions of a run, once, in one folder per experiment and dataset."""
+    return _committed(df.sparkSession, path, PREDICTION_ROWS, ("experiment_name", "dataset")).commit(df, run)
+
+
+def committed_predictions(spark: SparkSession, path: str) -> DataFrame:
+    return _committed(spark, path, PREDICTION_ROWS, ("experiment_name", "dataset")).read()
+
+
+def commit_result(df: DataFrame, path: str, run: str) -> bool:
+    """Experiment rows of a run, once, in the fixed 17-column order."""
+    return _committed(df.sparkSession, path, RESULT).commit(df, run)
+
+
+def committed_results(spark: SparkSession, path: str) -> DataFrame:
+    return _committed(spark, path, RESULT).read()
