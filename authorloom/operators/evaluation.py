@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from authorloom.operators.prefix import sums_before
+
 # The grid from 0.1 to 0.9 in steps of 0.05 as binary floats.
 THRESHOLDS = (
     0.1, 0.15000000000000002, 0.20000000000000004, 0.25000000000000006, 0.30000000000000004,
@@ -80,45 +82,21 @@ def confusion_text() -> Column:
     return F.format_string("[[%d, %d], [%d, %d]]", "tn", "fp", "fn", "tp")
 
 
-def _range_from_zero(x: Column) -> Column:
-    """Number of the range of ``x`` in [0, 0.5]: 1,024 for each power of two, in order."""
-    power = F.floor(F.log2(x))
-    part = F.floor((x / F.pow(F.lit(2.0), power) - 1) * 1024)
-    return F.when(x > 0, power * 1024 + part).otherwise(F.lit(-1100 * 1024)).cast("int")
-
-
 def roc_auc(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
-    """Exact tie-aware area under the ROC curve of scores in [0, 1]; 0.5 for one class.
+    """Exact tie-aware area under the ROC curve of any scores; 0.5 for one class.
 
-    Equal scores are counted first. Negatives below each score are then summed
-    within fine score ranges, the ranges within coarse ones, and these within the
-    key, so no window spans the data. Ranges are relative to the distance from 0 or 1
-    (a coarse one is a power of two), since a model's scores pile up at both ends.
+    Equal scores are counted first. Negatives below each score are summed over even ranges of scores, so no
+    window spans the data, however closely the scores lie.
     """
     keys = list(keys)
     scored = df.where(F.col(score).isNotNull())
     level = scored.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.count_if(F.col(truth)).alias("_pos"), F.count_if(~F.col(truth)).alias("_neg")
     )
-    unit = F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0))
-    fine = F.when(unit <= 0.5, _range_from_zero(unit)).otherwise(-_range_from_zero(1 - unit))
-    # u2 counts, twice over, pairs ranked right, with ties as half.
-    level = level.withColumn("_fine", fine).withColumn("_coarse", F.shiftright("_fine", 10))
-    level = level.withColumn("_u2", (F.col("_pos") * F.col("_neg")).cast("decimal(38,0)"))
-    steps = [(["_coarse", "_fine"], "_s"), (["_coarse"], "_fine"), ([], "_coarse")]
-    for parents, order in steps:
-        below = (
-            Window.partitionBy(*keys, *parents).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        before = F.coalesce(F.sum("_neg").over(below), F.lit(0))
-        level = level.withColumn(
-            "_u2", F.col("_u2") + (2 * F.col("_pos") * before).cast("decimal(38,0)")
-        )
-        level = level.groupBy(*keys, *parents).agg(
-            F.sum("_u2").cast("decimal(38,0)").alias("_u2"),
-            F.sum("_pos").alias("_pos"),
-            F.sum("_neg").alias("_neg"),
-        )
+    below = sums_before(level, keys, "_s", ["_neg"])
+    # counts, twice over, pairs ranked right, with ties as half
+    right = F.col("_pos").cast("decimal(19,0)") * (2 * F.col("before__neg") + F.col("_neg")).cast("decimal(19,0)")
+    level = below.groupBy(*keys).agg(F.sum(right).alias("_u2"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     pairs = F.col("_pos").cast("double") * F.col("_neg").cast("double")
     area = F.when(pairs > 0, F.col("_u2").cast("double") / (2.0 * pairs)).otherwise(F.lit(0.5))
     return level.select(*keys, area.alias("roc_auc"))

@@ -2,18 +2,18 @@
 
 ``grouped_percentiles`` suits values from a narrow range (counts, lengths, half
 counts): equal values are counted first, so a group holds one row per distinct
-value. ``wide_percentiles`` suits free real values in a few large groups: it finds
-the wanted ranks through a histogram and sorts only the bins that hold them.
+value. ``wide_percentiles`` suits free real values in a few large groups: counted values are cut
+into even ranges and ranked by sums over the ranges before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 1 << 14
+from authorloom.operators.prefix import sums_before
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -43,64 +43,28 @@ def grouped_percentiles(
 
 
 def wide_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], bins: int = BINS
+    df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], ranges: int | None = None
 ) -> DataFrame:
-    """Exact percentiles of real values in few, possibly huge, groups.
+    """Exact percentiles of real values in few, possibly huge, groups, however the values lie.
 
-    What is broadcast has a few rows per group: its bounds and the bins wanted.
+    What is broadcast has two rows per group and share.
     """
     keys = list(keys)
-    # The joins below ask for known keys anyway; said here, all readers share one plan.
     known = df.dropna("any", subset=[*keys, value])
     counted = value_counts(known, keys, value).withColumnRenamed(value, "_v")
-    bounds = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total")
-    )
-    place = (F.col("_v") - F.col("_low")) / F.col("_width")
-    binned = (
-        counted.join(F.broadcast(bounds.drop("_total")), keys)
-        .withColumn("_width", F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)))
-        .withColumn("_bin", F.coalesce(F.floor(place * bins), F.lit(0)).cast("int"))
-        .select(*keys, "_bin", "_v", "_n")
-    )
-    running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").alias("_in_bin"))
-        .withColumn("_before", F.coalesce(F.sum("_in_bin").over(running), F.lit(0)))
-    )
+    placed = sums_before(counted, keys, "_v", ["_n"], ranges).withColumnRenamed("before__n", "_start")
+    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     # Every share needs the two order statistics around its position.
-    targets = bounds.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_total") - 1)).alias("position"))
-                    for name, p in shares.items()
-                ]
-            )
-        ).alias("_t"),
-    ).select(
+    positions = [F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_total") - 1)).alias("at")) for name, p in shares.items()]
+    targets = totals.select(*keys, F.explode(F.array(*positions)).alias("_t")).select(
         *keys,
         F.col("_t.name").alias("_name"),
-        F.col("_t.position").alias("_position"),
-        F.explode(F.array(F.floor("_t.position"), F.ceil("_t.position"))).alias("_rank"),
-    )
-    wanted = (
-        sizes.join(F.broadcast(targets.distinct()), keys)
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in_bin")))
-        .drop("_in_bin")
-    )
-    needed_bins = wanted.select(*keys, "_bin", "_before").distinct()
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    located = (
-        binned.join(F.broadcast(needed_bins), [*keys, "_bin"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .select(*keys, "_bin", "_v", "_n", "_start")
+        F.col("_t.at").alias("_position"),
+        F.explode(F.array_distinct(F.array(F.floor("_t.at"), F.ceil("_t.at")))).alias("_rank"),
     )
     hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
     ends = (
-        located.join(F.broadcast(wanted.drop("_before")), [*keys, "_bin"])
+        placed.join(F.broadcast(targets), keys)
         .where(hit)
         .groupBy(*keys, "_name", "_position")
         .agg(F.min("_v").alias("_lower"), F.max("_v").alias("_upper"))

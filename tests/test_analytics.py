@@ -8,22 +8,49 @@ from pyspark.sql import functions as F
 from authorloom.operators import compare as C
 from authorloom.operators import timeline as T
 from authorloom.operators import words as W
+from authorloom.operators.prefix import cut_ranges, sums_before
 from authorloom.operators.quantiles import grouped_percentiles, wide_percentiles
 from authorloom.operators.ranks import first_by_hash, rank_by_hash, top_per_group
 
 SHARES = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "low": 0.0, "high": 1.0}
 
 
-@pytest.mark.parametrize("bins", [1, 7, 1 << 14])
-def test_wide_percentiles_match_numpy(spark, bins):
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_wide_percentiles_match_numpy(spark, ranges):
     rng = np.random.default_rng(1)
     data = {"a": rng.random(501), "b": np.repeat(rng.random(7), 20), "c": np.array([0.3]), "d": rng.lognormal(0, 3, 200)}
     df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double")
-    for row in wide_percentiles(df, ["g"], "v", SHARES, bins).collect():
+    for row in wide_percentiles(df, ["g"], "v", SHARES, ranges).collect():
         for name, p in SHARES.items():
             assert row[name] == pytest.approx(np.quantile(data[row.g], p), rel=1e-12), (row.g, name)
 
 
+def crowded(spark, n=20_000):
+    """Nine tenths within 1e-12 of each other, and one value far out."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([0.7 + rng.random(n * 9 // 10) * 1e-12, rng.random(n // 10), [1e12]])
+    values = np.unique(values)
+    return values, spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+
+
+def test_even_ranges_of_crowded_values(spark):
+    values, df = crowded(spark)
+    sizes = [r["count"] for r in cut_ranges(df, ["g"], "v", 16).groupBy("_range").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    row = wide_percentiles(df, ["g"], "v", SHARES, 16).first()
+    assert all(row[name] == pytest.approx(np.quantile(values, p), rel=1e-15) for name, p in SHARES.items())
+
+
+def test_sums_before(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 3 else f"g{g}", float(v), int(n)) for g in range(4) for v, n in enumerate(rng.integers(0, 9, 50 + 40 * g))]
+    got = sums_before(spark.createDataFrame(rows, "g string, v double, n long"), ["g"], "v", ["n"], 9).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.before_n == sum(n for g, v, n in rows if g == r.g and v < r.v)
+    assert sums_before(spark.createDataFrame([], "g string, v double, n long"), ["g"], "v", ["n"]).count() == 0
+
+
 def test_grouped_percentiles_match_numpy(spark):
     data = [1, 1, 2, 3, 5, 8, 13]
     df = spark.createDataFrame([("a", v) for v in data] + [("a", None)], "g string, v int")
