@@ -357,19 +357,20 @@ def chosen_bounds(docs: DataFrame, range_bytes: int) -> list[tuple[str, ...]]:
         return []
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_LEAST / total))
     # n-grams of the sample, of which one in ``thin`` takes part
-    thin = max(1, int(total * share / 4) // (ranges * CUTS))
+    thin = max(1, int(total * share / 2) // (ranges * CUTS))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in shared.gathered(batches, BLOCK):
             some = counted(block.column("text"), block.column("lang"))
-            arcs = np.arange(len(some.labels[WORDS]))
-            mixed = shared.mix(arcs.astype(np.uint64) + np.uint64(1))
-            path = some.path(WORDS, arcs[mixed % np.uint64(thin) == 0])
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(path[0]) + 1) * LEVELS, pa.int32()),
-                some.words.take(pa.array(np.stack(path, axis=1).ravel())),
-            )
+            grams = []
+            for level in range(1, LEVELS):
+                arcs = np.arange(len(some.labels[level]))
+                mixed = shared.mix(arcs.astype(np.uint64) + np.uint64(level << 40))
+                path = np.stack(some.path(level, arcs[mixed % np.uint64(thin) == 0]), axis=1)
+                ends = pa.array(np.arange(len(path) + 1) * (level + 1), pa.int32())
+                grams.append(pa.ListArray.from_arrays(ends, some.words.take(pa.array(path.ravel()))))
+            lists = pa.concat_arrays(grams)
             yield pa.RecordBatch.from_arrays([lists], ["gram"])
 
     sample = docs.where(place < int(share * (1 << 30)) + 1).select("text", F.col("lang").cast("string").alias("lang"))
