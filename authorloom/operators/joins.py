@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from authorloom.operators.skew import skew_join
 
 
-def label_content(content: DataFrame, users: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+def label_content(content: DataFrame, users: DataFrame, hot: Sequence[str] | DataFrame | None = ()) -> DataFrame:
     """Content of known authors with the author's columns added."""
     return skew_join(content, users.withColumnRenamed("id", "author"), "author", hot=hot)
 
 
-def author_content(users: DataFrame, content: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+def author_content(users: DataFrame, content: DataFrame, hot: Sequence[str] | DataFrame | None = ()) -> DataFrame:
     """Left join of users to their content (``content_id`` is the item's id).
 
     Written as matched rows plus users without content: a very active author can
@@ -30,7 +30,7 @@ def author_content(users: DataFrame, content: DataFrame, hot: Sequence[str] = ()
     return matched.unionByName(silent, allowMissingColumns=True)
 
 
-def drop_orphan_content(content: DataFrame, users: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+def drop_orphan_content(content: DataFrame, users: DataFrame, hot: Sequence[str] | DataFrame | None = ()) -> DataFrame:
     """Content whose author is known."""
     known = users.select(F.col("id").alias("author"))
     return skew_join(content, known, "author", "left_semi", hot)

@@ -16,7 +16,7 @@ from authorloom.operators.ranks import rank_by_hash
 SEED = 22
 
 
-def experiment_base(users: DataFrame, content: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+def experiment_base(users: DataFrame, content: DataFrame, hot: Sequence[str] | DataFrame | None = ()) -> DataFrame:
     """Labelled content without disclosures and without blank texts."""
     open_text = ~F.coalesce("has_pattern", F.lit(False))
     return label_content(content.where(open_text & has_words(F.col("text"))), users, hot)
@@ -44,7 +44,7 @@ def stratified_author_split(
     return ranked.select("author", "has_label", name.alias("split"))
 
 
-def with_split(base: DataFrame, split: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
+def with_split(base: DataFrame, split: DataFrame, hot: Sequence[str] | DataFrame | None = ()) -> DataFrame:
     """Content rows with their author's split; replaces three membership tests."""
     labelled = split.select(F.col("author").alias("id"), "split")
     return label_content(base, labelled, hot)

@@ -14,7 +14,7 @@ from authorloom.functions.text import collapse_ws
 from authorloom.operators.cleaning import with_text_counts
 from authorloom.operators.enrich import enrich_users
 from authorloom.operators.selfreport import flag_pattern
-from authorloom.operators.skew import evaluate_once, hot_keys
+from authorloom.operators.skew import evaluate_once, hot_table
 from authorloom.plans.curate import clean_content, rewritten_content
 from authorloom.plans.fixtures import VIEWS, Corpus, each, needed
 
@@ -102,9 +102,10 @@ class Inputs(Corpus):
         return flag_pattern(rows, PATTERN)
 
     @cached_property
-    def hot(self) -> list[str]:
+    def hot(self) -> DataFrame | None:
         """Very active authors: content is part of the events, so their counts bound it."""
-        return [f"u{user}" for user in hot_keys(self.table("events"), "user_id")]
+        authors = self.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author"))
+        return hot_table(authors, "author")
 
     @property
     def counted(self) -> DataFrame:

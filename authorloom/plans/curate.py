@@ -43,7 +43,7 @@ def rewritten_content(
 
 
 def known_content(
-    users: DataFrame, content: DataFrame, media: DataFrame | None = None, hot: Sequence[str] = ()
+    users: DataFrame, content: DataFrame, media: DataFrame | None = None, hot: Sequence[str] | DataFrame | None = ()
 ) -> DataFrame:
     """Drop content of unknown authors and refresh its media flag.
 
@@ -57,7 +57,7 @@ def clean_content(
     users: DataFrame,
     content: DataFrame,
     media: DataFrame | None = None,
-    hot: Sequence[str] = (),
+    hot: Sequence[str] | DataFrame | None = (),
     **options,
 ) -> DataFrame:
     """All cleaning steps; the options are those of :func:`rewritten_content`."""
@@ -68,7 +68,7 @@ def clean_corpus(
     users: DataFrame,
     content: DataFrame,
     media: DataFrame | None = None,
-    hot: Sequence[str] = (),
+    hot: Sequence[str] | DataFrame | None = (),
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Enriched users and cleaned content.

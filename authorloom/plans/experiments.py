@@ -41,7 +41,7 @@ def as_dataset(split: str = "split"):
 
 
 def split_rows(
-    users: DataFrame, content: DataFrame, seed: int | str = 22, hot: Sequence[str] = ()
+    users: DataFrame, content: DataFrame, seed: int | str = 22, hot: Sequence[str] | DataFrame | None = ()
 ) -> DataFrame:
     """Experiment rows with their split; the author-level split is materialised."""
     base = experiment_base(users, content, hot)

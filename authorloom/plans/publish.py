@@ -44,7 +44,7 @@ def publish_corpus(
     boxes: DataFrame,
     verdict: Column | None = None,
     drop_empty: bool = False,
-    hot: Sequence[str] = (),
+    hot: Sequence[str] | DataFrame | None = (),
 ) -> Published:
     """Remove flagged, broken and orphan media; refresh flags; list blurring.
 

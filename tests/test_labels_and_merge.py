@@ -6,7 +6,7 @@ from authorloom.operators.ingest import cap_per_author, merge_evidence, new_user
 from authorloom.operators.joins import author_content, drop_orphan_content, label_content
 from authorloom.operators.merge import last_per_id, merge_content, merge_users
 from authorloom.operators.selfreport import relabel
-from authorloom.operators.skew import hot_keys, skew_join
+from authorloom.operators.skew import hot_keys, hot_table, skew_join
 
 PATTERN = compile_phrases(["my migraine"], "migraine", ["migraine"])
 USERS = "id string, has_label boolean, first_found_in string"
@@ -122,3 +122,36 @@ def test_hot_rows_reach_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(parts) == 4 and max(r["count"] for r in parts) < 8000
     assert drop_orphan_content(big, users, ["hot"]).count() == 20000
+
+
+@pytest.fixture
+def plain_joins(spark):
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    for name, value in kept.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_one_author_with_half_of_the_rows(spark, rows, plain_joins, how):
+    """Salts by a key's own rows: the same result, and no task with twice the mean."""
+    author = F.when(F.col("id") % 2 == 0, "busy").otherwise(F.concat(F.lit("a"), F.col("id") % 997))
+    big = spark.range(40_000).select("id", author.alias("author"))
+    keyed = big.select("author").distinct().where("author != 'a5'").withColumn("x", F.length("author"))
+    hot = hot_table(big, "author")
+    assert [r.author for r in hot.collect()] == ["busy"] and hot.first().salts == 64
+    assert hot_table(big.where("author != 'busy'"), "author") is None
+    joined = skew_join(big, keyed, "author", how, hot)
+    assert rows(joined) == rows(big.join(keyed, "author", how))
+    if how != "left_anti":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sides = big.join(F.broadcast(hot), "author", "left").count()
+        assert sides == 40_000
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+        keyed = keyed.withColumn("wide", F.repeat(F.lit("x"), 200))
+        joined = skew_join(big, keyed, "author", how, hot)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * sum(sizes) / len(sizes), sizes
