@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from authorloom.functions.images import structure_ok
+
 IMAGE = ["content_id", "image"]
 
 
@@ -72,6 +74,11 @@ def header_ok(content: Column, length: Column) -> Column:
 
 
 def drop_broken(media: DataFrame, verdict: Column | None = None) -> DataFrame:
-    """Readable images only. ``verdict`` replaces the header test, e.g. a decoder's."""
+    """Readable images only. ``verdict`` replaces the header test, e.g. ``structure_ok`` or a decoder's."""
     ok = header_ok(F.col("content"), F.col("length")) if verdict is None else verdict
     return media.where(ok)
+
+
+def drop_damaged(media: DataFrame) -> DataFrame:
+    """Whole images only: what passes the header test and a walk through the structure of the file."""
+    return drop_broken(drop_broken(media), structure_ok(F.col("content")))
