@@ -8,6 +8,7 @@ from authorloom.operators import answers as A
 from authorloom.operators import bag_of_words as B
 from authorloom.operators import evaluation as E
 from authorloom.operators import prompts as P
+from authorloom.operators.enrich import enrich_users
 from authorloom.operators.linear import text_classifier_lr
 from authorloom.operators.skew import skew_join
 from authorloom.operators.split import (
@@ -26,11 +27,11 @@ FILTERED = TrainConfig("filtered", ("r/web",), min_words=29, min_content=6)
 
 
 def _base(c):
-    return experiment_base(c.enriched, c.rewritten, c.hot)
+    return experiment_base(enrich_users(c.users, c.written), c.written, c.hot)
 
 
 def _rows(c):
-    return split_rows(c.enriched, c.rewritten, hot=c.hot)
+    return split_rows(enrich_users(c.users, c.written), c.written, hot=c.hot)
 
 
 @query("experiment_base", """

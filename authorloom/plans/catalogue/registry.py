@@ -17,6 +17,7 @@ from authorloom.operators.selfreport import flag_pattern
 from authorloom.operators.skew import evaluate_once, hot_table
 from authorloom.plans.curate import clean_content, rewritten_content
 from authorloom.plans.fixtures import VIEWS, Corpus, each, needed
+from authorloom.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +117,11 @@ class Inputs(Corpus):
         """Cleaned rows before unknown authors are dropped; the views have none."""
         return rewritten_content(self.flat, language=None)
 
+    @cached_property
+    def written(self) -> DataFrame:
+        """The same, written once for queries that read it several times: texts are cleaned in one pass."""
+        return materialise(self.rewritten, "cleaned")
+
     @property
     def enriched(self) -> DataFrame:
         """Users with the number and the length statistics of all their cleaned content."""
