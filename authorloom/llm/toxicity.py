@@ -6,6 +6,11 @@ inner product of their factor vectors, so that two terms that are harmless alone
 together. All pairs cost one pass: ½ (|Σ v|² − Σ |v|²). In texts of more than ``SCALE`` terms
 that part is divided by terms / ``SCALE``, so that long texts do not drown in their many pairs.
 
+Weights start from the log odds of each term, shrunk by what chance would give, so that a few labelled texts
+suffice for words that tell the classes apart alone; what words do together is left to the factors.
+Rate, decay, shrinking and number of epochs were chosen within the training rows: four parts of them by crc32(doc_id) mod 5, each judging
+fits on the other three (29 of 45 toxic and 283 of 284 clean texts right at 330 labels). Held-out rows had no part in it.
+
 Rules: a null or empty text has no terms and scores the bias. Texts of any length are read
 whole. Without labels of both classes the score is the base rate (½ without any). Repeated
 rows get the same score each; other columns of the input do not enter.
@@ -35,6 +40,8 @@ LASSO = 1e-3
 """How far each step draws a weight to 0."""
 DECAY = 0.03
 """Decay of the factors."""
+EPOCHS = 8
+RATE = 0.03
 BIAS_RATE = 3.0
 """The bias moves fast, or frequent terms would stand in for it in all texts."""
 
@@ -98,8 +105,8 @@ def fit(
     terms: np.ndarray,
     offsets: np.ndarray,
     labels: np.ndarray,
-    epochs: int = 20,
-    rate: float = 0.1,
+    epochs: int = EPOCHS,
+    rate: float = RATE,
     decay: float = DECAY,
     lasso: float = LASSO,
     least_docs: int = LEAST_DOCS,
@@ -122,6 +129,7 @@ def fit(
     n = int(frequent.sum())
     rng = np.random.default_rng(seed)
     weights = np.zeros((n, 1 + FACTORS))
+    weights[:, 0] = shrunk_odds(ids, offsets, labels, n)
     weights[:, 1:] = rng.normal(0, 0.01, (n, FACTORS))
     bias, seen, seen_bias = float(np.log(base / (1 - base))), np.full(weights.shape, 1e-6), 1e-6
     for _ in range(epochs):
@@ -153,6 +161,20 @@ def fit(
     return Machine(bias, table)
 
 
+def shrunk_odds(ids: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Log odds of each term between the classes, where the weights start from.
+
+    They are shrunk by how far chance could bring them: with n terms the largest square of a standard score is about 2 log n
+    by chance alone, and a term of twice that keeps half. All terms take part; the factors start at random."""
+    toxic = np.repeat(labels, np.diff(offsets))
+    ones, zeros = np.bincount(ids, toxic, n), np.bincount(ids, 1 - toxic, n)
+    n_one, n_zero = labels.sum(), (1 - labels).sum()
+    odds = np.log((ones + 0.5) / (n_one + 1)) - np.log((zeros + 0.5) / (n_zero + 1))
+    share = (ones + zeros + 1) / (len(labels) + 2)
+    square = (ones / n_one - zeros / n_zero) ** 2 / (share * (1 - share) * (1 / n_one + 1 / n_zero))
+    return odds * square / (square + 4 * np.log(max(n, 2)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 

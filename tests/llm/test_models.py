@@ -28,6 +28,47 @@ def test_held_out_toxicity(tables):
     assert hit > 0.8 and clean > 0.99
 
 
+def test_held_out_toxicity_of_few_labels(spark):
+    """About 300 labelled rows, a seventh of them toxic: found by their words, not learned by heart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    hit, clean = accuracy(toxicity.toxicity(docs, labels), labels, "toxic")
+    assert hit > 0.5 and clean > 0.97
+
+
+def test_pair_sum_is_the_double_loop():
+    rng = np.random.default_rng(6)
+    table = rng.normal(size=(toxicity.BUCKETS, 1 + toxicity.FACTORS)).astype(np.float32)
+    machine = toxicity.Machine(0.3, table)
+    texts = ["one two three", "", None, "Insult group! insult", " ".join(f"word{i}" for i in range(60))]
+    terms, offsets = toxicity.hashed_terms(pa.array(texts))
+    got = machine.margin(terms, offsets)
+    for i in range(len(texts)):
+        own = terms[offsets[i] : offsets[i + 1]].tolist()
+        assert len(set(own)) == len(own)
+        pairs = sum(float(table[a, 1:] @ table[b, 1:]) for k, a in enumerate(own) for b in own[:k])
+        expected = 0.3 + sum(float(table[a, 0]) for a in own) + pairs / max(len(own) / toxicity.SCALE, 1)
+        assert got[i] == pytest.approx(expected, rel=1e-3, abs=1e-3)
+
+
+def test_forest_walk_is_the_walk_of_single_rows():
+    rng = np.random.default_rng(8)
+    rows = rng.random((200, 5))
+    forest = quality.fit(rows, (rows[:, 0] + rows[:, 2] ** 2 > 0.9).astype(float), trees=12)
+
+    def walk(row):
+        total = forest.base
+        for tree in range(len(forest.feature)):
+            node = 0
+            while node < forest.feature.shape[1]:
+                right = row[forest.feature[tree, node]] > forest.cut[tree, node]
+                node = 2 * node + (2 if right else 1)
+            total += forest.value[tree, node - forest.feature.shape[1]]
+        return total
+
+    assert forest.margin(rows) == pytest.approx([walk(r) for r in rows])
+    assert quality.fit(rows[:5], np.ones(5)).margin(rows[:2]).shape == (2,)
+
+
 def test_held_out_quality(tables):
     good, bad = accuracy(quality.quality(*tables), tables[1], "quality")
     assert good > 0.98 and bad > 0.95
