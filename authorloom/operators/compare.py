@@ -27,6 +27,18 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def head_rows(tables: dict[str, DataFrame], n: int = 5) -> DataFrame:
+    """(table_name, row): the first ``n`` rows of every table as JSON, in the order that Spark reads them."""
+    parts = [
+        df.limit(n).select(F.lit(name).alias("table_name"), F.to_json(F.struct(*df.columns)).alias("row"))
+        for name, df in tables.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def distribution(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     """Rows per value of one column."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))

@@ -36,6 +36,22 @@ def drop_orphan_content(content: DataFrame, users: DataFrame, hot: Sequence[str]
     return skew_join(content, known, "author", "left_semi", hot)
 
 
+def known_with_media(
+    content: DataFrame, users: DataFrame, media: DataFrame, hot: Sequence[str] | DataFrame | None = ()
+) -> DataFrame:
+    """Content whose author is known, with ``has_media`` true only where a media row is left.
+
+    Both are decided on (id, author) alone and meet the rows in one join, so texts move once. A row
+    without an id has no media; one without an author is dropped."""
+    known = drop_orphan_content(content.select("id", "author").distinct(), users, hot)
+    left = media.select(F.col("content_id").alias("id")).distinct().withColumn("_left", F.lit(True))
+    found = known.join(left, "id", "left").withColumnsRenamed({"id": "_id", "author": "_author"})
+    same = content["id"].eqNullSafe(found["_id"]) & (content["author"] == found["_author"])
+    before = F.col("has_media") if "has_media" in content.columns else F.lit(False)
+    flag = F.coalesce(before, F.lit(False)) & F.coalesce("_left", F.lit(False))
+    return content.join(found, same).withColumn("has_media", flag).drop("_id", "_author", "_left")
+
+
 def drop_empty_users(users: DataFrame, content: DataFrame) -> DataFrame:
     """Users with at least one content row."""
     active = content.select(F.col("author").alias("id")).distinct()

@@ -56,8 +56,9 @@ def build_prompt(
 
 
 def few_shot_examples(train: DataFrame, k: int = 2, seed: int = 22) -> DataFrame:
-    """``k`` training texts per class in seeded hash order: (id, text, has_label)."""
-    return first_by_hash(train, "has_label", "id", k, seed).select("id", "text", "has_label")
+    """``k`` training texts per class in seeded hash order: (id, text, has_label); only ids are ranked."""
+    chosen = first_by_hash(train.select("has_label", "id"), "has_label", "id", k, seed).select("has_label", "id")
+    return train.join(F.broadcast(chosen), ["has_label", "id"], "left_semi").select("id", "text", "has_label")
 
 
 def solved_examples(examples: DataFrame, template: PromptTemplate = PromptTemplate()) -> DataFrame:

@@ -17,19 +17,17 @@ from authorloom.operators.ranks import first_by_hash, top_per_group
 def exploded_terms(docs: DataFrame, tokens: Column, keep: Sequence[str] = ()) -> DataFrame:
     """(keep…, term, tf, df) rows that add up to term and document counts.
 
-    Every occurrence gives a ``tf`` row and every distinct word of a text one ``df``
-    row, so document frequencies need no shuffle by document.
+    Every occurrence is one row; the first of a word in its text, in sorted order, counts the text as
+    well, so document frequencies need neither a shuffle by document nor rows of their own.
     """
-    prepared = docs.select(*keep, tokens.alias("_tokens"))
-    each = F.transform(
-        "_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    )
-    once = F.transform(
-        F.array_distinct("_tokens"),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-    )
-    rows = prepared.select(*keep, F.explode(F.concat(each, once)).alias("_r"))
-    return rows.select(*keep, "_r.term", "_r.tf", "_r.df")
+    prepared = docs.select(*keep, F.array_sort(tokens).alias("_tokens"))
+    one = F.lit(1)
+
+    def counted(term: Column, i: Column) -> Column:
+        again = (i > 0) & (F.get(F.col("_tokens"), i - 1) == term)
+        return F.struct(term.alias("term"), one.alias("tf"), F.when(again, 0).otherwise(1).alias("df"))
+
+    return prepared.select(*keep, F.inline(F.transform("_tokens", counted)))
 
 
 def term_counts(
@@ -59,8 +57,12 @@ def word_frequencies_by_label(
 def sample_per_class(
     labelled: DataFrame, n: int = 5000, seed: int = 22, group: str = "has_label", key: str = "id"
 ) -> DataFrame:
-    """At most ``n`` texts per class, the first in seeded hash order."""
-    return first_by_hash(labelled.where(F.col("text").isNotNull()), group, key, n, seed)
+    """At most ``n`` texts per class, the first in seeded hash order.
+
+    Only keys are ranked; what is broadcast has ``n`` of them per class, and texts stay where they are."""
+    known = labelled.where(F.col("text").isNotNull())
+    chosen = first_by_hash(known.select(group, key), group, key, n, seed).select(group, key)
+    return known.join(F.broadcast(chosen), [group, key], "left_semi").select(*labelled.columns)
 
 
 Scorer = Callable[[list[str]], pd.DataFrame]

@@ -10,12 +10,11 @@ from authorloom.functions.phrases import PhrasePattern
 from authorloom.operators.cleaning import (
     drop_empty,
     language_filter,
-    refresh_has_media,
     rewrite_text,
     with_text_counts,
 )
 from authorloom.operators.enrich import enrich_users
-from authorloom.operators.joins import drop_orphan_content
+from authorloom.operators.joins import drop_orphan_content, known_with_media
 from authorloom.operators.langid import filter_detected
 from authorloom.operators.merge import merge_content, merge_users
 from authorloom.operators.selfreport import relabel
@@ -49,8 +48,9 @@ def known_content(
 
     ``hot`` names very active authors (see :func:`authorloom.operators.skew.hot_keys`).
     """
-    known = drop_orphan_content(content, users, hot)
-    return known if media is None else refresh_has_media(known, media)
+    if media is None:
+        return drop_orphan_content(content, users, hot)
+    return known_with_media(content, users, media, hot)
 
 
 def clean_content(

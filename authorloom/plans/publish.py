@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authorloom.operators.cleaning import refresh_has_media
-from authorloom.operators.joins import drop_orphan_content
+from authorloom.operators.joins import drop_orphan_content, known_with_media
 from authorloom.operators.media import IMAGE, clip_boxes, drop_broken, drop_flagged_media, prune_media
 
 
@@ -50,10 +49,9 @@ def publish_corpus(
 
     ``drop_empty`` also leaves out content that has neither text nor media.
     """
-    known = drop_orphan_content(content, users, hot)
     sound = drop_broken(drop_flagged_media(media, flags), verdict)
-    kept = prune_media(sound, known)
-    refreshed = refresh_has_media(known, kept)
+    kept = prune_media(sound, drop_orphan_content(content.select("id", "author"), users, hot))
+    refreshed = known_with_media(content, users, kept, hot)
     if drop_empty:
         refreshed = refreshed.where((F.col("text") != "") | F.col("has_media"))
     return Published(users, refreshed, media_actions(media, kept, boxes))

@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from authorloom.functions.phrases import compile_phrases
 from authorloom.operators.ingest import cap_per_author, merge_evidence, new_users, skip_seen, upgrade_label
-from authorloom.operators.joins import author_content, drop_orphan_content, label_content
+from authorloom.operators.joins import author_content, drop_orphan_content, known_with_media, label_content
+from authorloom.operators.cleaning import refresh_has_media
 from authorloom.operators.merge import last_per_id, merge_content, merge_users
 from authorloom.operators.selfreport import relabel
+from authorloom.operators.words import exploded_terms, sample_per_class
 from authorloom.operators.skew import hot_keys, hot_table, skew_join
 
 PATTERN = compile_phrases(["my migraine"], "migraine", ["migraine"])
@@ -155,3 +157,44 @@ def test_one_author_with_half_of_the_rows(spark, rows, plain_joins, how):
         assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < 2 * sum(sizes) / len(sizes), sizes
+
+
+def test_flags_of_known_content_move_texts_once(spark, rows):
+    schema = "id string, author string, text string, has_media boolean"
+    content = spark.createDataFrame(
+        [("1", "a", "x", True), ("1", "a", "x", True), ("1", "b", "y", True), ("2", "a", "z", True), (None, "a", "n", True),
+         ("3", None, "q", True), ("4", "c", "r", False), ("5", "gone", "s", True)], schema)
+    users = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    media = spark.createDataFrame([("1",), ("1",), ("4",), ("5",)], "content_id string")
+    expected = rows(refresh_has_media(drop_orphan_content(content, users), media), *content.columns)
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = known_with_media(content, users, media)
+        assert rows(got, *content.columns) == expected and len(expected) == 6
+        plan = got._jdf.queryExecution().executedPlan()
+        lines = [x for x in plan.toString().splitlines()]
+        exchanges = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+        with_text = [i for i in exchanges if any("text#" in x for x in lines[i + 1 : i + 3])]
+        assert len(exchanges) > 2 and len(with_text) == 1
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
+def test_sample_moves_no_texts(spark, rows):
+    rows_in = [(str(i), i % 3 == 0, f"text {i}" if i % 7 else None) for i in range(200)]
+    labelled = spark.createDataFrame(rows_in, "id string, has_label boolean, text string")
+    got = sample_per_class(labelled, 10)
+    assert got.columns == labelled.columns
+    counts = {r.has_label: r["count"] for r in got.groupBy("has_label").count().collect()}
+    assert counts == {True: 10, False: 10} and got.where("text is null").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_one_row_for_each_occurrence(spark, rows):
+    docs = spark.createDataFrame([(1, "b a b a c a"), (2, ""), (3, None)], "id int, text string")
+    found = exploded_terms(docs, F.split("text", " "), ["id"]).where("term != ''")
+    assert rows(found) == [(1, "a", 1, 0), (1, "a", 1, 0), (1, "a", 1, 1), (1, "b", 1, 0), (1, "b", 1, 1), (1, "c", 1, 1)]
