@@ -175,6 +175,24 @@ def detected_filter(c):
     return filter_detected(c.content, language_profiles(c.content)).select("id", "has_media")
 
 
+_HALF = "CAST(substr(id, 2) AS BIGINT) % 2"
+_HALF_GRAMS = _GRAMS.replace("FROM g GROUP BY lang, gram", f"FROM g WHERE {_HALF} = 0 GROUP BY lang, gram")
+
+
+@query("lang_accuracy", f"""
+WITH {_HALF_GRAMS}
+SELECT c.lang, b.lang AS found, count(*) AS n FROM v_content c JOIN best b ON b.id = c.id WHERE {_HALF.replace("id", "c.id")} = 1
+GROUP BY c.lang, b.lang
+""")
+def lang_accuracy(c):
+    """Profiles from one half of the rows, judged on the other."""
+    half = F.expr(_HALF)
+    rest = c.content.where(half == 1).select("id", "lang", "text")
+    found = detect_language(rest, language_profiles(c.content.where(half == 0)))
+    judged = rest.select("id", "lang").join(found.withColumnRenamed("lang", "found"), "id")
+    return judged.groupBy("lang", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("refresh_has_media", """
 SELECT id, has_media AND id IN (SELECT content_id FROM v_media WHERE readable) AS has_media FROM v_content
 """)

@@ -19,7 +19,7 @@ from authorloom.operators.split import (
 )
 
 from authorloom.plans.catalogue.registry import STOP_SQL, STOP_WORDS, query, rounded
-from authorloom.plans.experiments import as_dataset, bag_of_words_scores, run_grid, split_rows
+from authorloom.plans.experiments import as_dataset, bag_of_words_scores, evaluate_answers, run_grid, split_rows
 from authorloom.session import materialise
 
 CONFIG = TrainConfig("all")
@@ -608,6 +608,36 @@ def weighted_share(c):
     return A.author_weighted_share(A.parse_json_answer(c.view("v_answers")), digits=6)
 
 
+_ZERO_SHOT = _PREDICTED.replace(_PROBA, f"""
+{_CONFIDENT},
+authors AS (
+  SELECT 'zs' AS experiment_name, dataset, author, bool_or(true_label) AS true_label,
+         round(CASE WHEN sum(confidence) = 0 THEN 0.5e0 ELSE sum(label * confidence) / sum(confidence) END, 9)
+         AS predicted_probability
+  FROM (SELECT c.*, CASE WHEN s.split = 'val' THEN 'validation' ELSE 'test' END AS dataset
+        FROM confident c JOIN o_split s ON s.author = c.author WHERE s.split <> 'train')
+  GROUP BY dataset, author)
+""")
+
+
+@query("zero_shot_results", f"""
+WITH {_ZERO_SHOT}
+SELECT 'zero_shot' AS experiment_type, CAST(1 AS BIGINT) AS version, 'zs' AS experiment_name, best_threshold,
+       {_ROUND_BEST}, round((SELECT roc_auc FROM auc WHERE dataset = 'validation'), 6) AS val_roc_auc,
+       round(accuracy, 6) AS test_accuracy, round(f1, 6) AS test_f1, round("precision", 6) AS test_precision,
+       round(recall, 6) AS test_recall, round((SELECT roc_auc FROM auc WHERE dataset = 'test'), 6) AS test_roc_auc,
+       {_MATRIX} AS test_confusion_matrix, tn + fp + fn + tp AS num_users_test,
+       (SELECT tn + fp + fn + tp FROM counts WHERE dataset = 'validation') AS num_users_val
+FROM rates CROSS JOIN best WHERE dataset = 'test'
+""")
+def zero_shot_results(c):
+    """From the answers of an external model to its result row."""
+    split = stratified_author_split(_base(c)).where(F.col("split") != "train").drop("has_label")
+    answers = skew_join(c.view("v_answers"), split, "author", hot=c.hot, spread_by="content_id")
+    _, results = evaluate_answers(answers.withColumn("experiment_name", F.lit("zs")), confident=True, digits=9)
+    return rounded(results, *_RESULT_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
+
+
 @query("text_classifier_lr")
 def classifier(c):
     rows = text_classifier_lr(_rows(c))

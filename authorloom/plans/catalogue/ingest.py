@@ -10,7 +10,9 @@ from authorloom.functions.hashing import hmac_pads
 from authorloom.functions.text import collapse_ws
 from authorloom.functions.urls import urls_in_text
 from authorloom.operators import ingest as I
+from authorloom.plans.ingest import ingest_items
 from authorloom.plans.catalogue.registry import PATTERN, PATTERN_SQL, Inputs, flat_sql, query, quoted
+from authorloom.schemas import CONTENT, USERS
 from authorloom.sources.listings import pages_from_json
 
 KEY = "secret"
@@ -271,3 +273,45 @@ WHERE lower(author) NOT IN ('[deleted]', 'automoderator') AND distinguished IS N
 def ingest_content(c):
     built = I.build_content(_items(c), KEY, PATTERN)
     return built.select("id", "author", "type", "subreddit", "text", "has_pattern")
+
+
+_CHAIN_SQL = f"""
+SELECT {_code_sql("id")} AS id, {_code_sql("author")} AS author, kind AS type, text, has_media,
+       regexp_matches(CASE WHEN kind = 'post' THEN title || ' ' || text ELSE text END, {PATTERN_SQL}) AS has_pattern
+FROM (SELECT * EXCLUDE (body), {flat_sql("body")} AS text,
+             kind = 'post' AND NOT is_self AND doc_id % 2 = 0 AND url NOT LIKE 'https://preview%'
+               AND regexp_matches(lower({_OWN}), '\\.(jpg|jpeg|png|webp)$') AS has_media
+      FROM v_raw WHERE body IS NOT NULL)
+WHERE lower(author) NOT IN ('[deleted]', 'automoderator') AND distinguished IS NULL AND doc_id % 3 <> 0
+  AND (has_media OR text NOT IN ('', '[removed]', '[deleted]', '<image>'))
+"""
+
+
+def _chain(c: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Items with the state of their image links, on top of the content of every third item."""
+    items = _items(c)
+    links = c.raw.select("id", F.expr(_OWN).alias("url"), (F.col("doc_id") % 2 == 0).alias("ok"))
+    status = I.pseudonymise(links, "id", KEY).withColumnRenamed("id", "content_id")
+    stored = I.build_content(items.where(F.col("doc_id") % 3 == 0), KEY, PATTERN).select(*CONTENT.names)
+    nobody = c.spark.createDataFrame([], USERS)
+    return ingest_items(items.where(F.col("doc_id") % 3 != 0).unionByName(items), nobody, stored, KEY, PATTERN, status)
+
+
+@query("ingest_chain", _CHAIN_SQL + """
+UNION ALL
+""" + _CHAIN_SQL.replace("doc_id % 3 <> 0", "doc_id % 3 = 0").replace(
+    "AND (has_media OR text NOT IN", "AND has_media AND (text IN"
+))
+def ingest_chain(c):
+    """New content with images; a third is stored, except what has nothing but images."""
+    return _chain(c)[1].select("id", "author", "type", "text", "has_media", "has_pattern")
+
+
+@query("ingest_chain_users", f"""
+SELECT author AS id, bool_or(has_pattern) AS has_label FROM (
+{_CHAIN_SQL} UNION ALL {_CHAIN_SQL.replace("doc_id % 3 <> 0", "doc_id % 3 = 0").replace(
+    "AND (has_media OR text NOT IN", "AND has_media AND (text IN")})
+GROUP BY author
+""")
+def ingest_chain_users(c):
+    return _chain(c)[0].select("id", "has_label")
