@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,7 +53,8 @@ def train_dictionary(pages: DataFrame, n_pages: int = SAMPLE_PAGES, size: int =
         return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as error:
+        warnings.warn(f"archives are written without a dictionary: {error}", stacklevel=2)
         return b""
 
 
@@ -108,6 +110,10 @@ class ArchiveWriter:
         return archive
 
 
+PIECE = 1 << 13
+"""Bytes that a reader takes at a time."""
+
+
 def read_records(archive: bytes) -> Iterator[bytes]:
     """The decoded frames of an archive, one record each."""
     import zstandard
@@ -123,14 +129,18 @@ def read_records(archive: bytes) -> Iterator[bytes]:
     view = memoryview(archive)
     while at < len(archive):
         frame = reader.decompressobj()
+        parts, end = [], at
         try:
-            raw = frame.decompress(view[at:])
+            while not frame.eof and end < len(archive):  # what a frame leaves over is at most a piece
+                piece = view[end : end + PIECE]
+                parts.append(frame.decompress(piece))
+                end += len(piece)
         except zstandard.ZstdError as error:
             raise ArchiveError(f"frame at byte {at}: {error}") from error
         if not frame.eof:
             raise ArchiveError(f"frame at byte {at} is cut off")
-        yield raw
-        at = len(archive) - len(frame.unused_data)
+        yield b"".join(parts)
+        at = end - len(frame.unused_data)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:

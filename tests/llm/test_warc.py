@@ -73,3 +73,15 @@ def test_odd_rows(spark):
     assert got.count() == 4 and got.where("page_id is null").count() == 1
     assert warc.newest_first(got).count() == 3
     assert warc.round_trip(given.where("false")).count() == 0
+
+
+def test_frames_larger_and_smaller_than_a_piece(monkeypatch):
+    import zstandard
+
+    texts = [b"", b"x", bytes(range(256)) * 200, b"small", b"y" * 100_000]
+    archive = b"".join(zstandard.compress(t) for t in texts)
+    for size in (1, 7, 1 << 13, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", size)
+        assert list(warc.read_records(archive)) == texts
+        with pytest.raises(warc.ArchiveError):
+            list(warc.read_records(archive[:-1]))
