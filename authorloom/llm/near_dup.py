@@ -383,7 +383,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     members = shared.stored(keyed.join(shared_keys.select("key", "pivot"), "key"), "near-dup-bands")
     wanted = members.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = shared.maybe_among(docs, wanted, "doc_id").where("_maybe").drop("_maybe")
+    texts = some.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = shared.stored(texts, "near-dup-texts")
 
     stars = members.groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a")).where("a < b")
@@ -425,8 +426,13 @@ def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all columns, of one document per group: that with the smallest id.
 
     Of repeated rows with the same id one stays; rows without an id all stay."""
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null")
-    kept = shared.stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "near-dup-kept")
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, percent).where("doc_id is not null").groupBy("doc_id")
+    found = found.agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
+    # most rows are neither copies nor repeated; they pass without a join
+    other = shared.stored(found.where("_n > 1 or not _kept"), "near-dup-other")
+    marked = shared.maybe_among(docs, other, "doc_id")
+    plain = marked.where("not _maybe or doc_id is null").drop("_maybe")
+    looked_at = marked.where("_maybe and doc_id is not null").drop("_maybe").join(other, "doc_id", "left")
+    once = looked_at.where("_n is null").select(*docs.columns)
+    repeated = looked_at.where("_kept").select(*docs.columns).dropDuplicates(["doc_id"])
+    return plain.select(*docs.columns).unionByName(once).unionByName(repeated)

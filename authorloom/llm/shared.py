@@ -58,6 +58,23 @@ def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(place < int(share * (1 << 40)) + 1).orderBy(place, key).limit(n)
 
 
+FILTER_WORDS = 1 << 17
+"""Words of 64 bits in a filter of ids; 2 MB, whatever the number of ids."""
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Adds ``_maybe``: false only where ``key`` is not in ``ids``, decided without moving a row of ``df``.
+
+    One bit for each id. Up to a few million ids nearly all others are told; with many more the filter fills up, and
+    whoever reads it has more rows to look at, but never a wrong one."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS)).cast("int").alias("_word")
+    bit = F.pmod(F.shiftright(F.xxhash64(key), 32), F.lit(64)).cast("int").alias("_bit")
+    bits = ids.select(place, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    bits = stored(bits, "filter")  # FILTER_WORDS rows at most
+    met = df.withColumns({"_word": place, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
+    return met.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, _bit) = 1"), F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def blocks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
 ) -> Iterator[pa.RecordBatch]:

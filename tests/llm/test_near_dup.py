@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from odd_tables import no_docs, odd_docs  # noqa: F401
-from authorloom.llm import near_dup
+from authorloom.llm import near_dup, shared
 from authorloom.llm.components import components
 
 
@@ -123,3 +123,14 @@ def test_groups_in_many_blocks_of_text(spark, monkeypatch):
         docs = family(seed, 70)
         got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
+
+
+def test_filter_of_ids_never_misses(spark, monkeypatch):
+    ids = spark.range(0, 30_000, 7).select(F.col("id").alias("doc_id"))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id")).union(spark.sql("select cast(null as bigint)"))
+    for words, most in ((1 << 17, 50), (8, 30_000)):
+        monkeypatch.setattr(shared, "FILTER_WORDS", words)
+        flagged = [r.doc_id for r in shared.maybe_among(docs, ids, "doc_id").where("_maybe").collect()]
+        missed = set(range(0, 30_000, 7)) - set(flagged)
+        assert not missed and None not in flagged and len(flagged) < 30_000 // 7 + most
+    assert shared.maybe_among(docs, ids.where("false"), "doc_id").where("_maybe").count() == 0
