@@ -132,5 +132,5 @@ def test_filter_of_ids_never_misses(spark, monkeypatch):
         monkeypatch.setattr(shared, "FILTER_WORDS", words)
         flagged = [r.doc_id for r in shared.maybe_among(docs, ids, "doc_id").where("_maybe").collect()]
         missed = set(range(0, 30_000, 7)) - set(flagged)
-        assert not missed and None not in flagged and len(flagged) < 30_000 // 7 + most
+        assert not missed and len(flagged) < 30_000 // 7 + most
     assert shared.maybe_among(docs, ids.where("false"), "doc_id").where("_maybe").count() == 0
