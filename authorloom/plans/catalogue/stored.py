@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from authorloom.operators.ingest import author_evidence
 from authorloom.plans.catalogue.ingest import _EVIDENCE_SQL, KEY, _code_sql, _items
 from authorloom.plans.catalogue.registry import PATTERN, PATTERN_SQL, Inputs, flat_sql, query
-from authorloom.session import new_table_path
+from authorloom.session import materialise, new_table_path
 from authorloom.sources.committed import CommittedTable
 from authorloom.streaming.ingest import fold_evidence, evidence_table, stored_content, stored_users, stream_ingest, upsert_labels
 
@@ -24,7 +24,8 @@ SELECT id, author, type, CAST(crc AS BIGINT) AS n_chars FROM (SELECT id, author,
 """)
 def committed_content(c):
     """Batches that are written, written again, written without a commit, and folded: each row once."""
-    rows = _in_batches(c.content, "id").select("id", "author", "type", F.length("text").cast("long").alias("n_chars"), "batch")
+    content = c.content_with(n_chars=F.length("text").cast("long"))
+    rows = materialise(_in_batches(content, "id").select("id", "author", "type", "n_chars", "batch"), "content-lengths")
     table = CommittedTable(c.spark, new_table_path(c.spark, "committed-content"), rows.schema)
     for batch in range(BATCHES):
         own = rows.where(F.col("batch") == batch)
@@ -41,7 +42,7 @@ SELECT author AS id, has_label, first_found_in FROM evidence
 """)
 def levelled_users(c):
     """Evidence of batches of authors, folded into levels, as users."""
-    evidence = _in_batches(author_evidence(c.view("v_content_flagged")), "author")
+    evidence = materialise(_in_batches(author_evidence(c.flagged), "author"), "evidence")
     root = new_table_path(c.spark, "levelled-users")
     for batch in range(BATCHES):
         upsert_labels(c.spark, root, evidence.where(F.col("batch") == batch), batch)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from authorloom.operators.skew import evaluate_once
 from authorloom.sources.tables import read_parquet
 
 VIEWS: dict[str, str] = {}
@@ -172,6 +174,19 @@ def needed(names: dict[str, str], sql: str) -> list[str]:
     return [n for n in names if n in wanted]
 
 
+def _between(view: str, start: str, stop: str) -> str:
+    return VIEWS[view].split(start, 1)[1].split(stop, 1)[0]
+
+
+# What Spark reads in place of some views: the same expressions of the same rows, taken from the text before it is joined.
+_TEXT = _between("v_content", "AS subreddit,", " AS text,")
+_READ = _between("v_answers", "u.has_label AS true_label,", "FROM v_content")
+_ANSWER = _between("v_answers", "SELECT content_id, author, true_label,", " AS answer")
+_SLOW = "c.text LIKE '%a%b%'"
+"""As a pattern it tries every place again where no b follows."""
+_FAST = "(instr(c.text, 'a') > 0 AND instr(substr(c.text, instr(c.text, 'a')), 'b') > 0)"
+
+
 class Corpus:
     """The views as lazy DataFrames over one data folder."""
 
@@ -202,9 +217,57 @@ class Corpus:
     def _closure(self, name: str) -> str:
         return " ".join(VIEWS[v] for v in [*needed(VIEWS, VIEWS[name]), name])
 
+    @property
+    def _texts(self) -> DataFrame:
+        """Documents with the text that content has."""
+        return evaluate_once(self.table("documents").alias("d"), text=F.expr(_TEXT))
+
+    def _content(self, documents: DataFrame, columns: list[str]) -> DataFrame:
+        """``v_content`` with columns of ``documents`` in place of its text.
+
+        Rows meet on the id that content has, so a later step by id finds them in place."""
+        sql = VIEWS["v_content"].replace(f"{_TEXT} AS text", " " + ", ".join(f"d.{c}" for c in columns))
+        for before, after in (
+            ("'c' || CAST(d.doc_id AS STRING) AS id", "d._id AS id"),
+            ("FROM documents d", "FROM {documents} d"),
+            ("JOIN events e ON e.event_id = d.doc_id", "JOIN {events} e ON e._id = d._id"),
+            ("JOIN labels l ON l.doc_id = d.doc_id", "JOIN {labels} l ON l._id = d._id"),
+        ):
+            assert before in sql, before
+            sql = sql.replace(before, after)
+
+        def keyed(table: DataFrame, key: str) -> DataFrame:
+            return table.withColumn("_id", F.concat(F.lit("c"), F.col(key).cast("string")))
+
+        return self.spark.sql(
+            sql,
+            documents=keyed(documents, "doc_id"),
+            events=keyed(self.table("events"), "event_id"),
+            labels=keyed(self.table("labels"), "doc_id"),
+        )
+
+    def content_with(self, **columns: Column) -> DataFrame:
+        """Content with columns made of ``text`` in place of it: they are made before the joins, which move no text."""
+        return self._content(evaluate_once(self._texts, **columns), list(columns))
+
     @cached_property
     def content(self) -> DataFrame:
-        return self.view("v_content")
+        return self._content(self._texts, ["text"])
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """``v_content_flagged`` without its text."""
+        return self.content_with(has_pattern=F.expr("text LIKE '%igraine%'"))
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """``v_answers``: each answer is written out where its text is read, once."""
+        read = f"SELECT c.*, {_READ.replace(_SLOW, _FAST)} FROM {{c}} c".replace("'{'", "'{{'").replace("'}'", "'}}'")
+        parts = ["form", "said", "sure", "noise"]
+        told = evaluate_once(self.spark.sql(read, c=self._texts), **{p: F.col(p) for p in parts})
+        content = self._content(evaluate_once(told, answer=F.expr(_ANSWER)), ["answer"])
+        users = self.users.select(F.col("id").alias("author"), F.col("has_label").alias("true_label"))
+        return content.join(users, "author").select(F.col("id").alias("content_id"), "author", "true_label", "answer")
 
     @cached_property
     def users(self) -> DataFrame:
