@@ -565,7 +565,7 @@ WITH {_PLAIN}
 SELECT content_id, CAST(label AS BIGINT) AS label, CASE WHEN label = -1 THEN 0e0 ELSE 1e0 END AS confidence FROM plain
 """)
 def parse_label(c):
-    rows = A.parse_label(c.view("v_answers"))
+    rows = A.parse_label(c.answers)
     return rows.select("content_id", F.col("label").cast("bigint"), "confidence")
 
 
@@ -593,7 +593,7 @@ WITH {_CONFIDENT}
 SELECT content_id, CAST(label AS BIGINT) AS label, confidence FROM confident
 """)
 def parse_json_answer(c):
-    rows = A.parse_json_answer(c.view("v_answers"))
+    rows = A.parse_json_answer(c.answers)
     return rows.select("content_id", F.col("label").cast("bigint"), F.col("confidence").cast("double"))
 
 
@@ -605,7 +605,7 @@ SELECT author, bool_or(true_label) AS true_label,
 FROM confident GROUP BY author
 """)
 def weighted_share(c):
-    return A.author_weighted_share(A.parse_json_answer(c.view("v_answers")), digits=6)
+    return A.author_weighted_share(A.parse_json_answer(c.answers), digits=6)
 
 
 _ZERO_SHOT = _PREDICTED.replace(_PROBA, f"""
@@ -633,7 +633,7 @@ FROM rates CROSS JOIN best WHERE dataset = 'test'
 def zero_shot_results(c):
     """From the answers of an external model to its result row."""
     split = stratified_author_split(_base(c)).where(F.col("split") != "train").drop("has_label")
-    answers = skew_join(c.view("v_answers"), split, "author", hot=c.hot, spread_by="content_id")
+    answers = skew_join(c.answers, split, "author", hot=c.hot, spread_by="content_id")
     _, results = evaluate_answers(answers.withColumn("experiment_name", F.lit("zs")), confident=True, digits=9)
     return rounded(results, *_RESULT_COLUMNS).withColumn("version", F.col("version").cast("bigint"))
 

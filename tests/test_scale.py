@@ -70,3 +70,10 @@ def test_evidence_is_found_without_moving_texts_and_once(spark, folder, plain_pl
     monkeypatch.setattr(stored, "stored_users", lambda *_: None)
     QUERIES["levelled_users"](spark, folder)
     assert len(written) == stored.BATCHES and not any("documents" in p for p in written)
+
+
+def test_answers_are_written_where_texts_are_read(spark, folder, plain_plans):
+    inputs = Inputs(spark, folder)
+    assert same(inputs.answers, inputs.view("v_answers"))
+    text = plan(inputs.answers)
+    assert "LIKE %a%b%" not in text and text.count("perhaps") == 1
