@@ -77,3 +77,9 @@ def test_answers_are_written_where_texts_are_read(spark, folder, plain_plans):
     assert same(inputs.answers, inputs.view("v_answers"))
     text = plan(inputs.answers)
     assert "LIKE %a%b%" not in text and text.count("perhaps") == 1
+
+
+def test_tokens_are_counted_where_the_join_left_their_text(spark, folder, plain_plans):
+    inputs = Inputs(spark, folder)
+    assert same(inputs.content, inputs.view("v_content"))
+    assert "hashpartitioning(id#" not in "".join(x for x in plan(QUERIES["tokenize"](spark, folder)).splitlines() if "term" in x)
