@@ -83,3 +83,23 @@ def test_tokens_are_counted_where_the_join_left_their_text(spark, folder, plain_
     inputs = Inputs(spark, folder)
     assert same(inputs.content, inputs.view("v_content"))
     assert "hashpartitioning(id#" not in "".join(x for x in plan(QUERIES["tokenize"](spark, folder)).splitlines() if "term" in x)
+
+
+def test_trigrams_are_no_rows_of_the_plan(spark):
+    from authorloom.operators.langid import detect_language, language_profiles
+
+    long = "\U00020000\U00020001\U00020002 ab"  # letters beyond 16 bits are letters like others
+    rows = [("1", "Das ist gut, das ist", "de"), ("2", "that IS good 7 that", "en"), ("3", long, None), ("4", None, "en"), ("5", "!", "en")]
+    texts = spark.createDataFrame(rows, "id string, text string, lang string")
+    profiles = language_profiles(texts)
+    counts = Counter()
+    for _, text, lang in rows:
+        flat = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        padded = f" {' '.join(flat)} "
+        counts.update((lang, padded[i : i + 3]) for i in range(len(padded) - 2))
+    assert {(r.lang, r.gram) for r in profiles.collect()} == set(counts)
+    asked = texts.unionByName(spark.createDataFrame([("1", "das", "de"), (None, "good", "en")], texts.schema))
+    found = detect_language(asked, profiles)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("1", "de"), ("2", "en"), ("3", None), (None, "en")], key=repr)
+    assert "explode(" not in plan(found) and "explode(" not in plan(profiles)
+    assert detect_language(asked, profiles.limit(0)).collect() == []
