@@ -16,6 +16,17 @@ _W = f"[{P.WORD}]"
 _EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
+# Letters that Java takes for k, s and i where case does not count.
+_MORE_CASES = {"k": "\u212a", "s": "\u017f", "i": "\u0130\u0131"}
+
+
+def _first_letters(starts: set[str]) -> str:
+    """A look at the next letter, which is cheaper than trying the phrases at every place; empty if any may come."""
+    if not starts or not all(c.isascii() and c.isalnum() for c in starts):
+        return ""
+    return "(?=[" + "".join(sorted({x for c in starts for x in c.lower() + c.upper() + _MORE_CASES.get(c.lower(), "")})) + "])"
+
+
 def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
@@ -71,13 +82,14 @@ def compile_phrases(
     The condition's name stands for any of its synonyms, ``?`` for one word of
     letters, digits, apostrophes and hyphens. Empty phrases do not count; without phrases nothing is found.
     """
-    condition = condition.lower()
+    condition, synonyms = condition.lower(), list(synonyms)
     names = _Trie()
     for spelling in sorted(set(synonyms) | {condition}):
         names.add(re.escape(c) for c in spelling)
     named = names.pattern()
     heads: dict[str, _Trie] = {}
     guards = _Trie()
+    starts: set[str] = set()
     for phrase in dict.fromkeys(p.lower() for p in phrases if p):
         steps: list[str] = []
         literals: list[str] = []
@@ -95,9 +107,12 @@ def compile_phrases(
         heads.setdefault(head, _Trie()).add(steps, tail)
         if condition in pieces:
             guards.add([named])
+            starts |= {spelling[:1] for spelling in {*synonyms, condition}}
         else:
-            guards.add(re.escape(c) for c in max(literals, key=len, default=""))
+            literal = max(literals, key=len, default="")
+            guards.add(re.escape(c) for c in literal)
+            starts.add(literal[:1])
     if not heads:
         return PhrasePattern("(?!)", "(?!)")
     full = "(?iu)(?:" + "|".join(head + trie.pattern() for head, trie in heads.items()) + ")"
-    return PhrasePattern(full, "(?iu)" + guards.pattern())
+    return PhrasePattern(full, _first_letters(starts) + "(?iu)" + guards.pattern())

@@ -56,6 +56,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(P.java(P.WORD_RUN))).cast("int")
 
 
+def flat_word_count(text: Column) -> Column:
+    """The same for a text that :func:`collapse_ws` left: one more than its blanks."""
+    blanks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", 0).otherwise(blanks + 1).cast("int")
+
+
 def has_words(text: Column) -> Column:
     """Is there anything but white space? False for a missing text."""
     return F.coalesce(text.rlike(f"[^{P.SPACE}]"), F.lit(False))

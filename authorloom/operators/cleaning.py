@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authorloom.functions.text import char_count, clean_text, word_count
+from authorloom.functions.text import char_count, clean_text, flat_word_count, word_count
 from authorloom.operators.skew import evaluate_once
 
 
@@ -29,10 +29,11 @@ def drop_empty(content: DataFrame) -> DataFrame:
     return content.where((F.col("text") != "") | media).dropna("any")
 
 
-def with_text_counts(content: DataFrame) -> DataFrame:
-    """Add ``char_count`` and ``word_count``."""
+def with_text_counts(content: DataFrame, flat: bool = False) -> DataFrame:
+    """Add ``char_count`` and ``word_count``; ``flat`` texts have single blanks, as rewriting leaves them."""
+    words = flat_word_count if flat else word_count
     return content.withColumn("char_count", char_count(F.col("text"))).withColumn(
-        "word_count", word_count(F.col("text"))
+        "word_count", words(F.col("text"))
     )
 
 

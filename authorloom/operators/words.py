@@ -20,7 +20,7 @@ def exploded_terms(docs: DataFrame, tokens: Column, keep: Sequence[str] = ()) ->
     Every occurrence is one row; the first of a word in its text, in sorted order, counts the text as
     well, so document frequencies need neither a shuffle by document nor rows of their own.
     """
-    prepared = docs.select(*keep, F.array_sort(tokens).alias("_tokens"))
+    prepared = docs.select(*keep, F.sort_array(tokens).alias("_tokens"))
     one = F.lit(1)
 
     def counted(term: Column, i: Column) -> Column:

@@ -38,7 +38,7 @@ def rewritten_content(
         content = filter_detected(content, profiles, language)
     elif language is not None:
         content = language_filter(content, language)
-    return with_text_counts(drop_empty(rewrite_text(content.select(*COLUMNS), greedy, strict)))
+    return with_text_counts(drop_empty(rewrite_text(content.select(*COLUMNS), greedy, strict)), flat=True)
 
 
 def known_content(

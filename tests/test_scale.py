@@ -103,3 +103,33 @@ def test_trigrams_are_no_rows_of_the_plan(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([("1", "de"), ("2", "en"), ("3", None), (None, "en")], key=repr)
     assert "explode(" not in plan(found) and "explode(" not in plan(profiles)
     assert detect_language(asked, profiles.limit(0)).collect() == []
+
+
+def test_rewritten_texts_are_counted_by_their_blanks(spark):
+    from authorloom.functions.text import clean_text, flat_word_count, word_count
+
+    odd = [(x,) for x in ("", " ", "a", "a b\x85c ", "(25 F) x [a](b)", "éé \U0001f600 y", None)]
+    text = clean_text(F.col("t"))
+    rows = spark.createDataFrame(odd, "t string").select(word_count(text).alias("a"), flat_word_count(text).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_terms_are_sorted_without_a_lambda(spark):
+    from authorloom.operators.words import exploded_terms
+
+    texts = spark.createDataFrame([(["b", "a", "b"],)], "t array<string>")
+    terms = exploded_terms(texts, F.col("t"))
+    assert sorted(map(tuple, terms.collect())) == [("a", 1, 1), ("b", 1, 0), ("b", 1, 1)]
+    assert "sort_array" in plan(terms)
+
+
+def test_phrases_look_at_the_first_letter(spark):
+    from authorloom.functions.phrases import compile_phrases
+
+    pattern = compile_phrases(["my kiss", "so ill", "? has flu"], "flu", ["flu", "Influenza"])
+    assert pattern.guard.startswith("(?=[")
+    texts = ["MY KISS", "xx so İll", "my kiſs", "he has ınfluenza", "HE HAS FLU", "none"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        pattern.search(F.col("t")).alias("a"), F.col("t").rlike(pattern.full).alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found] and sum(r.a for r in found) >= 4
+    assert not compile_phrases(["été"], "x", []).guard.startswith("(?=")
