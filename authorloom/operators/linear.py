@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorloom.operators.split import TrainConfig
+from authorloom.session import materialise
 
 
 def text_classifier_lr(
@@ -22,19 +23,25 @@ def text_classifier_lr(
     regularisation: float = 0.01,
     keep: Sequence[str] = ("id", "author", "has_label", "split"),
 ) -> DataFrame:
-    """Fit on the training split and return P(true) of validation and test rows."""
-    prepared = rows.withColumn("_y", F.col("has_label").cast("double"))
+    """Fit on the training split and return P(true) of validation and test rows.
+
+    Word counts are written once; weighting, fitting and predicting read them, not the texts again."""
+    prepared = rows.withColumns(
+        {"_y": F.col("has_label").cast("double"), "_fit": (F.col("split") == "train") & config.condition()}
+    )
+    prepared = prepared.where(F.col("_fit") | (F.col("split") != "train"))
+    words = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
+    counts = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features)
+    counted = counts.transform(words.transform(prepared))
+    counted = materialise(counted.select(*dict.fromkeys([*keep, "split", "_y", "_fit", "_tf"])), "word-counts")
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
         LogisticRegression(
             featuresCol="_features", labelCol="_y", maxIter=iterations, regParam=regularisation
         ),
     ]
-    train = prepared.where(F.col("split") == "train").where(config.condition())
-    model = Pipeline(stages=stages).fit(train)
-    held_out = prepared.where(F.col("split") != "train")
+    model = Pipeline(stages=stages).fit(counted.where("_fit"))
+    held_out = counted.where(F.col("split") != "train")
     return model.transform(held_out).select(
         F.lit(config.name).alias("experiment_name"),
         *keep,

@@ -133,3 +133,16 @@ def test_phrases_look_at_the_first_letter(spark):
         pattern.search(F.col("t")).alias("a"), F.col("t").rlike(pattern.full).alias("b")).collect()
     assert [r.a for r in found] == [r.b for r in found] and sum(r.a for r in found) >= 4
     assert not compile_phrases(["été"], "x", []).guard.startswith("(?=")
+
+
+def test_classifier_reads_texts_once(spark, monkeypatch):
+    from authorloom.operators import linear
+
+    rows = [(str(i), "a", i % 2 == 0, ("train", "train", "val")[i % 3], ("good day", "bad night")[i % 2] + f" w{i % 4}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, author string, has_label boolean, split string, text string")
+    written = []
+    monkeypatch.setattr(linear, "materialise", lambda d, name: written.append(plan(d)) or d.localCheckpoint())
+    out = linear.text_classifier_lr(df, iterations=5)
+    assert len(written) == 1 and "text" not in plan(out)
+    assert [r.id for r in out.orderBy("id").collect()] == sorted(r[0] for r in rows if r[3] == "val")
+    assert all(r.predicted == int(r.has_label) for r in out.collect())
