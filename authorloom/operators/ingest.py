@@ -102,6 +102,18 @@ def with_has_media(items: DataFrame, fetched: DataFrame, id_col: str = "id") ->
     return joined.withColumn("has_media", F.coalesce("_got", F.lit(False))).drop("_got")
 
 
+def with_obtained_media(items: DataFrame, status: DataFrame) -> DataFrame:
+    """``has_media`` as :func:`fetched_media` of the items' :func:`media_manifest` gives it, in one pass over the items.
+
+    The links obtained meet the rows by id, where the rows of an id are then together; one that
+    has such a link decides for all of its id."""
+    obtained = status.where(F.col("ok")).groupBy(F.col("content_id").alias("id"))
+    joined = items.drop("has_media").join(obtained.agg(F.collect_set("url").alias("_urls")), "id", "left")
+    hit = F.coalesce(F.arrays_overlap("media_urls", "_urls"), F.lit(False))
+    rows = joined.withColumn("has_media", F.max(hit).over(Window.partitionBy("id"))).drop("_urls")
+    return rows.select(*[c for c in items.columns if c != "has_media"], "has_media")
+
+
 def skip_seen(items: DataFrame, existing: DataFrame, order: str | None = None) -> DataFrame:
     """First copy of every id that is not stored yet.
 
@@ -195,7 +207,7 @@ def build_content(
     if status is None:
         items = items.withColumn("has_media", F.lit(False))
     else:
-        items = with_has_media(items, fetched_media(media_manifest(items), status))
+        items = with_obtained_media(items, status)
     items = drop_placeholder(items)
     searched = search_text(F.col("kind"), F.col("title"), F.col("text"))
     return items.select(

@@ -146,3 +146,16 @@ def test_classifier_reads_texts_once(spark, monkeypatch):
     assert len(written) == 1 and "text" not in plan(out)
     assert [r.id for r in out.orderBy("id").collect()] == sorted(r[0] for r in rows if r[3] == "val")
     assert all(r.predicted == int(r.has_label) for r in out.collect())
+
+
+def test_media_of_items_in_one_pass(spark, plain_plans):
+    from authorloom.operators import ingest as I
+
+    items = [("1", ["u1", "u2"], "a"), ("1", ["u9"], "b"), ("2", ["u1"], "c"), ("3", [], "d"), ("4", ["u4"], "e"), ("1", [], "f"), ("5", None, "g")]
+    status = [("1", "u2", True), ("1", "u2", True), ("2", "u1", False), ("4", "u5", True), ("5", "u1", True), ("4", None, True), (None, "u4", True)]
+    items = spark.createDataFrame(items, "id string, media_urls array<string>, text string")
+    status = spark.createDataFrame(status, "content_id string, url string, ok boolean")
+    got = I.with_obtained_media(items, status)
+    assert same(got, I.with_has_media(items, I.fetched_media(I.media_manifest(items), status)))
+    lines = plan(got).splitlines()
+    assert sum("Exchange" in x for x in lines) == 2  # one of the items, one of the links
