@@ -42,6 +42,8 @@ DECAY = 0.03
 """Decay of the factors."""
 EPOCHS = 8
 RATE = 0.03
+PIECE = 1 << 19
+"""Terms of the sample that are counted at a time, which bounds what the driver holds beside them."""
 BIAS_RATE = 3.0
 """The bias moves fast, or frequent terms would stand in for it in all texts."""
 
@@ -120,12 +122,19 @@ def fit(
     base = float(labels.mean()) if len(labels) else 0.5
     if base in (0.0, 1.0) or not len(labels):
         return Machine(float(np.log((base + 0.01) / (1.01 - base))), table)
-    frequent = np.bincount(terms, minlength=BUCKETS) >= least_docs
-    kept = frequent[terms]
-    position = np.concatenate(([0], np.cumsum(kept)))
-    offsets = position[offsets]
-    place = np.cumsum(frequent) - 1
-    ids = place[terms[kept]]
+    counts = np.zeros(BUCKETS, np.int64)
+    for a, b in _pieces(offsets):
+        counts += np.bincount(terms[offsets[a] : offsets[b]], minlength=BUCKETS)
+    frequent = counts >= least_docs
+    place = (np.cumsum(frequent) - 1).astype(np.int32)
+    ids, ends = np.empty(int(counts[frequent].sum()), np.int32), np.zeros(len(offsets), np.int64)
+    for a, b in _pieces(offsets):
+        own = terms[offsets[a] : offsets[b]]
+        kept = frequent[own]
+        position = np.concatenate(([0], np.cumsum(kept)))
+        ends[a : b + 1] = ends[a] + position[offsets[a : b + 1] - offsets[a]]
+        ids[ends[a] : ends[b]] = place[own[kept]]
+    offsets = ends
     n = int(frequent.sum())
     rng = np.random.default_rng(seed)
     weights = np.zeros((n, 1 + FACTORS))
@@ -166,8 +175,11 @@ def shrunk_odds(ids: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n: int
 
     They are shrunk by how far chance could bring them: with n terms the largest square of a standard score is about 2 log n
     by chance alone, and a term of twice that keeps half. All terms take part; the factors start at random."""
-    toxic = np.repeat(labels, np.diff(offsets))
-    ones, zeros = np.bincount(ids, toxic, n), np.bincount(ids, 1 - toxic, n)
+    ones, zeros = np.zeros(n), np.zeros(n)
+    for a, b in _pieces(offsets):
+        own, toxic = ids[offsets[a] : offsets[b]], np.repeat(labels[a:b], np.diff(offsets[a : b + 1]))
+        ones += np.bincount(own, toxic, n)
+        zeros += np.bincount(own, 1 - toxic, n)
     n_one, n_zero = labels.sum(), (1 - labels).sum()
     odds = np.log((ones + 0.5) / (n_one + 1)) - np.log((zeros + 0.5) / (n_zero + 1))
     share = (ones + zeros + 1) / (len(labels) + 2)
@@ -175,6 +187,15 @@ def shrunk_odds(ids: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n: int
     return odds * square / (square + 4 * np.log(max(n, 2)))
 
 
+def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Texts from .. to, of about ``PIECE`` terms together; a longer one is a piece of its own."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
@@ -195,12 +216,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Machi
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(extract, f"doc_id {kind}, label int, terms array<int>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
+    shared.give_back()
     lists = rows.column("terms").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
     if rows.num_rows == 0:
         return fit(np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0))
     offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-    terms = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = lists.flatten().to_numpy(zero_copy_only=False)
     return fit(terms, offsets.astype(np.int64), rows.column("label").to_numpy().astype(float))
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,24 @@ def test_held_out_quality(tables):
     assert good > 0.98 and bad > 0.95
 
 
+def test_driver_counts_the_sample_in_pieces(monkeypatch):
+    """Beside the sample itself the driver holds half of it at most, and pieces change no weight."""
+    rng = np.random.default_rng(3)
+    terms = rng.integers(0, 3000, 2_000_000).astype(np.int32)
+    offsets = np.concatenate(([0, 0], np.sort(rng.integers(0, len(terms), 500)), [len(terms)] * 2))
+    labels = (rng.random(len(offsets) - 1) < 0.3).astype(float)
+    whole = toxicity.fit(terms, offsets, labels, epochs=0)
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 12, raising=False)
+    tracemalloc.start()
+    machine = toxicity.fit(terms, offsets, labels, epochs=0)
+    peak = tracemalloc.get_traced_memory()[1] - machine.table.nbytes
+    tracemalloc.stop()
+    assert peak < 8 * len(terms)
+    assert machine.bias == whole.bias and np.array_equal(machine.table, whole.table)
+    rare = toxicity.fit(np.array([5, 5, 9, 5, 5, 5]), np.array([0, 1, 1, 3, 4, 6]), np.array([1.0, 0, 1, 0, 1]), epochs=0)
+    assert rare.table[5].any() and not rare.table[9].any()
+
+
 def test_pairs_of_terms_are_learned():
     """Neither word alone is toxic, both together are: a sum of weights could not tell."""
     rng = random.Random(2)
