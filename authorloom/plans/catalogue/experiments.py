@@ -185,7 +185,8 @@ SELECT r.split, tn, fp, fn, tp, {_ROUND_RATES}, round(roc_auc, 6) AS roc_auc
 FROM rates r JOIN auc a ON a.split = r.split
 """)
 def content_metrics(c):
-    scores = rounded(_scores(c), "proba")
+    # counts and ranks both read the scores
+    scores = materialise(rounded(_scores(c), "proba").select("split", "has_label", "predicted", "proba"), "scores")
     metrics = E.binary_metrics(scores, ["split"], "has_label", "predicted", "proba")
     return rounded(metrics, *_RATES, "roc_auc")
 

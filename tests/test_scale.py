@@ -159,3 +159,14 @@ def test_media_of_items_in_one_pass(spark, plain_plans):
     assert same(got, I.with_has_media(items, I.fetched_media(I.media_manifest(items), status)))
     lines = plan(got).splitlines()
     assert sum("Exchange" in x for x in lines) == 2  # one of the items, one of the links
+
+
+def test_metrics_read_the_scores_once(spark, folder):
+    from authorloom.operators.evaluation import binary_metrics
+    from authorloom.plans.catalogue.experiments import _RATES, _scores
+    from authorloom.plans.catalogue.registry import rounded
+
+    got = QUERIES["content_metrics"](spark, folder)
+    assert "regexp_extract_all" not in plan(got)  # texts were split into words before, not for each of two readers
+    scores = rounded(_scores(Inputs(spark, folder)), "proba")
+    assert same(got, rounded(binary_metrics(scores, ["split"], "has_label", "predicted", "proba"), *_RATES, "roc_auc"))
