@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -17,26 +19,39 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, P.java(P.WHITESPACE_RUN), " "))
 
 
+def _where_held(text: Column, marks: Iterable[str], change: Callable[[Column], Column]) -> Column:
+    """``change`` where the text holds one of ``marks``, without which its pattern finds nothing; a plain search for
+    them is cheaper. The text is bound to a name, so that steps within steps are not written out again."""
+
+    def run(bound: Column) -> Column:
+        held = reduce(or_, [F.contains(bound, F.lit(mark)) for mark in marks])
+        return F.when(held, change(bound)).otherwise(bound)
+
+    return F.transform(F.array(text), run)[0]
+
+
 def remove_image_tag(text: Column) -> Column:
     return F.replace(text, F.lit(P.IMAGE_TAG), F.lit(""))
 
 
 def remove_links(text: Column, greedy: bool = True) -> Column:
     """Drop ``[label](target)``; greedy reaches from the first ``[`` to the last ``)``."""
-    return F.regexp_replace(text, P.java(P.LINK_GREEDY if greedy else P.LINK_EACH), "")
+    pattern = P.java(P.LINK_GREEDY if greedy else P.LINK_EACH)
+    return _where_held(text, "[", lambda held: F.regexp_replace(held, pattern, ""))
 
 
 def remove_mentions(text: Column, strict: bool = False) -> Column:
     """Drop community and account mentions; strict asks for a word boundary before."""
-    return F.regexp_replace(text, P.java(P.MENTION_STRICT if strict else P.MENTION, True), "")
+    pattern = P.java(P.MENTION_STRICT if strict else P.MENTION, True)
+    return _where_held(text, "/", lambda held: F.regexp_replace(held, pattern, ""))
 
 
 def remove_spoilers(text: Column) -> Column:
-    return F.regexp_replace(text, P.java(P.SPOILER), "")
+    return _where_held(text, P.SPOILER.split("|"), lambda held: F.regexp_replace(held, P.java(P.SPOILER), ""))
 
 
 def remove_age_gender(text: Column) -> Column:
-    return F.regexp_replace(text, P.java(P.AGE_GENDER, True), "")
+    return _where_held(text, "(", lambda held: F.regexp_replace(held, P.java(P.AGE_GENDER, True), ""))
 
 
 def clean_text(text: Column, greedy: bool = True, strict: bool = False) -> Column:

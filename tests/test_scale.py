@@ -170,3 +170,20 @@ def test_metrics_read_the_scores_once(spark, folder):
     assert "regexp_extract_all" not in plan(got)  # texts were split into words before, not for each of two readers
     scores = rounded(_scores(Inputs(spark, folder)), "proba")
     assert same(got, rounded(binary_metrics(scores, ["split"], "has_label", "predicted", "proba"), *_RATES, "roc_auc"))
+
+
+def test_patterns_run_where_their_marks_are(spark):
+    from authorloom.functions import patterns as P
+    from authorloom.functions import text as X
+
+    steps = {
+        X.remove_links: P.LINK_GREEDY, X.remove_mentions: P.java(P.MENTION, True),
+        X.remove_spoilers: P.SPOILER, X.remove_age_gender: P.java(P.AGE_GENDER, True),
+    }
+    odd = ["", None, "plain", "R/x u/ /r", "[a](b) [c]", "a](b)", ">!!<", "!>!<", "> !", "(25 F) (x)", "25 F)", "K/r ʁ/x"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    for step, pattern in steps.items():
+        both = rows.select(step(F.col("t")).alias("a"), F.regexp_replace("t", pattern, "").alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both]
+        assert "Contains(" in plan(rows.select(step(F.col("t")).alias("a")))
+    assert plan(rows.select(X.clean_text(F.col("t")).alias("a"))).count("non-?binary") == 2  # written out once
