@@ -40,9 +40,32 @@ def epoch_to_ts(seconds: Column) -> Column:
 def pick_body(items: DataFrame) -> DataFrame:
     """Text of a post is its self text, of a comment its body; drop items without."""
     body = F.when(F.col("kind") == "post", F.col("selftext")).otherwise(F.col("body"))
+    return with_text(items, body)
+
+
+def with_text(items: DataFrame, body: Column) -> DataFrame:
+    """Add the flat ``text``; drop items without a body."""
     return evaluate_once(items.where(body.isNotNull()), text=collapse_ws(body))
 
 
+def read_texts(items: DataFrame, pattern: PhrasePattern) -> DataFrame:
+    """Items with what :func:`build_content` takes from ``text`` and ``title``, in place of both.
+
+    The columns are made where the texts are, and the rows are small from there on. Whether the title
+    counts is known by the kind, which need not be there yet."""
+    text = F.col("text")
+    titled = search_text(F.lit("post"), F.col("title"), text)
+    return items.withColumns(
+        {
+            "text_urls": urls_in_text(text),
+            "placeholder": text.isin(*P.PLACEHOLDER_BODIES),
+            "text_hash": F.xxhash64(text),
+            "in_text": pattern.search(text),
+            "in_titled": pattern.search(titled),
+        }
+    ).drop("text", "title")
+
+
 def with_media_urls(items: DataFrame) -> DataFrame:
     """Add ``media_urls``: links in the text and, for posts, links of the post."""
     fields = [
@@ -53,13 +76,16 @@ def with_media_urls(items: DataFrame) -> DataFrame:
     from_post = F.when(F.col("kind") == "post", urls_of_post(present)).otherwise(
         F.array().cast("array<string>")
     )
-    urls = F.array_distinct(F.concat(urls_in_text(F.col("text")), from_post))
+    in_text = F.col("text_urls") if "text_urls" in items.columns else urls_in_text(F.col("text"))
+    urls = F.array_distinct(F.concat(in_text, from_post))
     return items.withColumn("media_urls", urls)
 
 
 def drop_placeholder(items: DataFrame) -> DataFrame:
     """Leave out removed or empty texts that have no media."""
-    return items.where(F.col("has_media") | ~F.col("text").isin(*P.PLACEHOLDER_BODIES))
+    read = "placeholder" in items.columns
+    empty = F.col("placeholder") if read else F.col("text").isin(*P.PLACEHOLDER_BODIES)
+    return items.where(F.col("has_media") | ~empty)
 
 
 def search_text(kind: Column, title: Column, text: Column) -> Column:
@@ -199,25 +225,30 @@ def build_content(
     """Content rows of listing items: codes, text, time, flags.
 
     ``status`` names the image links that were obtained, by content code; without
-    it no content has media. The links stay in ``media_urls``.
+    it no content has media. The links stay in ``media_urls``. Items may come as
+    :func:`read_texts` leaves them; content then has ``text_hash`` in place of ``text``.
     """
+    read = "text_hash" in items.columns
     items = drop_moderator(drop_bots(items))
     items = pseudonymise(pseudonymise(items, "author", key), "id", key)
-    items = with_media_urls(pick_body(items))
+    items = with_media_urls(items if read else pick_body(items))
     if status is None:
         items = items.withColumn("has_media", F.lit(False))
     else:
         items = with_obtained_media(items, status)
     items = drop_placeholder(items)
-    searched = search_text(F.col("kind"), F.col("title"), F.col("text"))
+    if read:
+        has_pattern = F.when(F.col("kind") == "post", F.col("in_titled")).otherwise(F.col("in_text"))
+    else:
+        has_pattern = pattern.search(search_text(F.col("kind"), F.col("title"), F.col("text")))
     return items.select(
         "id",
         "author",
         F.col("kind").alias("type"),
         F.col("subreddit_name_prefixed").alias("subreddit"),
-        "text",
+        "text_hash" if read else "text",
         epoch_to_ts(F.col("created_utc")).alias("timestamp"),
-        pattern.search(searched).alias("has_pattern"),
+        has_pattern.alias("has_pattern"),
         "has_media",
         "media_urls",
     )

@@ -180,6 +180,8 @@ def _between(view: str, start: str, stop: str) -> str:
 
 # What Spark reads in place of some views: the same expressions of the same rows, taken from the text before it is joined.
 _TEXT = _between("v_content", "AS subreddit,", " AS text,")
+_TITLE = _between("v_raw", "AS subreddit_name_prefixed,", " AS title,")
+_BODY = _between("v_raw", "AS title,", " AS body,")
 _READ = _between("v_answers", "u.has_label AS true_label,", "FROM v_content")
 _ANSWER = _between("v_answers", "SELECT content_id, author, true_label,", " AS answer")
 _SLOW = "c.text LIKE '%a%b%'"
@@ -281,6 +283,18 @@ class Corpus:
     def raw(self) -> DataFrame:
         return self.view("v_raw")
 
+    @property
+    def raw_texts(self) -> DataFrame:
+        """Documents with the title and the body that raw items have."""
+        texts = self.table("documents").alias("d")
+        return texts.select("doc_id", "source", F.expr(_TITLE).alias("title"), F.expr(_BODY).alias("body"))
+
+    def raw_of(self, documents: DataFrame, columns: list[str]) -> DataFrame:
+        """``v_raw`` of the rows of ``documents``, with columns of theirs in place of title and body."""
+        sql = VIEWS["v_raw"].replace(f"{_TITLE} AS title,", "").replace(f"{_BODY} AS body", ", ".join(f"d.{c}" for c in columns))
+        sql = sql.replace("FROM documents d JOIN events e", "FROM {documents} d JOIN {events} e")
+        return self.spark.sql(sql, documents=documents, events=self.table("events"))
+
     @cached_property
     def boxes(self) -> DataFrame:
         return self.view("v_boxes")

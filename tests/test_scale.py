@@ -187,3 +187,28 @@ def test_patterns_run_where_their_marks_are(spark):
         assert [r.a for r in both] == [r.b for r in both]
         assert "Contains(" in plan(rows.select(step(F.col("t")).alias("a")))
     assert plan(rows.select(X.clean_text(F.col("t")).alias("a"))).count("non-?binary") == 2  # written out once
+
+
+def moved(df) -> set[str]:
+    """Names of the columns that the plan sends through an exchange."""
+    found, nodes = set(), [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if "Exchange" in node.nodeName():
+            found |= {node.output().apply(i).name() for i in range(node.output().size())}
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_users_of_a_batch_are_told_without_moving_texts(spark, folder, plain_plans):
+    from authorloom.plans.catalogue.ingest import _chain, _read_items, _twice
+
+    inputs = Inputs(spark, folder)
+    got = QUERIES["ingest_chain_users"](spark, folder)
+    assert "author" in moved(got) and not moved(got) & {"text", "body", "title", "selftext"}
+    (users, content), (again, rows) = _chain(inputs, read=True), _chain(inputs)
+    assert same(users, again) and same(got, again.select("id", "has_label"))
+    # copies of an id with other authors, kinds and texts end as the same row either way
+    assert same(content, rows.withColumn("text_hash", F.xxhash64("text")).drop("text"))
+    read = _read_items(inputs, _twice(inputs.raw_texts))
+    assert read.columns.count("text_hash") == 1 and read.count() == _twice(inputs.raw.where("body IS NOT NULL")).count()
