@@ -9,34 +9,53 @@ numbers, a block of texts at a time, which costs a fraction of a row for each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PROFILE_SIZE = 400
 SCALE = 1000
 POINT_BITS = 21
+BLANK = ord(" ")
 BLOCK_CHARS = 1 << 20
 """Characters whose trigrams a worker holds at a time."""
 
 
-def flat_letters(text: Column) -> Column:
-    """The lower-cased words of letters with single blanks between and around them."""
-    flat = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    return F.concat(F.lit(" "), flat, F.lit(" "))
-
-
-def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, trigram) of all overlapping three-character pieces; a trigram is its three code points."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes)
+@lru_cache(maxsize=1)
+def _letters(spark: SparkSession) -> np.ndarray:
+    """Code points that are letters to Spark's patterns."""
+    points = spark.range(0x110000).where(~F.col("id").between(0xD800, 0xDFFF))
+    sign = F.decode(F.unhex(F.lpad(F.hex("id"), 8, F.lit("0"))), "UTF-32")
+    found = points.where(sign.rlike(r"^\p{L}$")).toArrow().column("id").to_numpy()
+    table = np.zeros(0x110000, bool)
+    table[found] = True
+    return table
+
+
+def text_grams(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(trigrams of all texts, in order; number of each text's) where a trigram is its three code points.
+
+    Pieces overlap; words of letters have one blank between and around them."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points = np.frombuffer(f" {'  '.join(texts)} ".encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    starts = np.cumsum(sizes) - sizes
+    letter = letters[points]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    kept[starts] = True
+    points = np.where(letter, points, BLANK)[kept].astype(np.int64)
+    sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+    ends = np.cumsum(sizes)
     grams = points[:-2] << 2 * POINT_BITS | points[1:-1] << POINT_BITS | points[2:]
-    inside = owner[:-2] == owner[2:]
-    return owner[:-2][inside], grams[inside]
+    inside = np.ones(len(points), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return grams[inside[:-2]], np.maximum(sizes - 2, 0)
 
 
 def gram_code(text: str) -> int:
@@ -61,19 +80,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n): occurrences of every trigram, counted in blocks of texts before they are shuffled."""
 
+    letters = labelled.sparkSession.sparkContext.broadcast(_letters(labelled.sparkSession))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in _pieces(batches):
-            owner, grams = text_grams(texts)
-            langs = piece.column("lang").to_pylist()
-            names = list(dict.fromkeys(langs))
-            number = np.fromiter(map(names.index, langs), np.int64, len(langs))
-            for i, name in enumerate(names):
-                found, n = np.unique(grams[number[owner] == i], return_counts=True)
+            by_lang: dict[str | None, list[str]] = {}
+            for name, text in zip(piece.column("lang").to_pylist(), texts):
+                by_lang.setdefault(name, []).append(text)
+            for name, texts in by_lang.items():
+                found, n = np.unique(text_grams(texts, letters.value)[0], return_counts=True)
                 columns = [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
-    flat = labelled.select("lang", flat_letters(F.col("text")).alias("text"))
-    counted = flat.mapInArrow(run, "lang string, gram long, n long")
+    lower = labelled.select("lang", F.lower("text").alias("text"))
+    counted = lower.mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -108,28 +128,31 @@ def detect_language(content: DataFrame, profiles: DataFrame, id_col: str = "id")
     for r in known:
         at = names.index(r["lang"]), int(np.searchsorted(codes, gram_code(r["gram"])))
         gains[at], has[at] = r["gain"], True
-    model = content.sparkSession.sparkContext.broadcast((names, codes, gains, has))
+    spark = content.sparkSession
+    model = spark.sparkContext.broadcast((names, pa.array(codes), gains, has, _letters(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, codes, gains, has = model.value
+        names, codes, gains, has, letters = model.value
         for piece, texts in _pieces(batches):
-            owner, grams = text_grams(texts)
-            place = np.searchsorted(codes, grams)
-            hit = np.flatnonzero(codes[np.minimum(place, len(codes) - 1)] == grams) if len(codes) else place[:0]
-            owner, place = owner[hit], place[hit]
+            grams, sizes = text_grams(texts, letters)
+            if not len(grams):
+                continue
+            # the last place is that of all unknown trigrams
+            place = pc.index_in(pa.array(grams), value_set=codes).fill_null(len(codes)).to_numpy()
+            rows = np.flatnonzero(sizes)
+            firsts = (np.cumsum(sizes) - sizes)[rows]
             for i, name in enumerate(names):
-                met = has[i][place]
-                rows, firsts = np.unique(owner[met], return_index=True)
-                if not len(rows):
+                met = np.logical_or.reduceat(has[i][place], firsts)
+                if not met.any():
                     continue
-                score = np.add.reduceat(gains[i][place[met]], firsts)
-                ids = piece.column(id_col).take(pa.array(rows))
-                lang = pa.array([name] * len(rows), pa.string())
+                score = np.add.reduceat(gains[i][place], firsts)[met]
+                ids = piece.column(id_col).take(pa.array(rows[met]))
+                lang = pa.array([name] * len(score), pa.string())
                 yield pa.RecordBatch.from_arrays([ids, lang, pa.array(score)], [id_col, "lang", "score"])
 
     kind = content.schema[id_col].dataType.simpleString()
-    flat = content.select(id_col, flat_letters(F.col("text")).alias("text"))
-    scored = flat.mapInArrow(run, f"`{id_col}` {kind}, lang string, score long")
+    lower = content.select(id_col, F.lower("text").alias("text"))
+    scored = lower.mapInArrow(run, f"`{id_col}` {kind}, lang string, score long")
     scored = scored.groupBy(id_col, "lang").agg(F.sum("score").alias("score"))
     best = scored.groupBy(id_col).agg(
         F.min_by("lang", F.struct((-F.col("score")).alias("s"), F.col("lang"))).alias("lang")
@@ -138,10 +161,12 @@ def detect_language(content: DataFrame, profiles: DataFrame, id_col: str = "id")
 
 
 def filter_detected(
-    content: DataFrame, profiles: DataFrame, keep: str = "en", id_col: str = "id"
+    content: DataFrame, profiles: DataFrame, keep: str = "en", id_col: str = "id", texts: DataFrame | None = None
 ) -> DataFrame:
-    """Rows whose detected language is wanted, and any row with media."""
-    detected = detect_language(content, profiles, id_col).where(F.col("lang") == keep)
+    """Rows whose detected language is wanted, and any row with media.
+
+    ``texts`` has the texts by id where they are apart from the content, which then needs none."""
+    detected = detect_language(content if texts is None else texts, profiles, id_col).where(F.col("lang") == keep)
     wanted = detected.select(id_col, F.lit(True).alias("_wanted"))
     joined = content.join(wanted, id_col, "left")
     return joined.where(

@@ -256,6 +256,16 @@ class Corpus:
     def content(self) -> DataFrame:
         return self._content(self._texts, ["text"])
 
+    @property
+    def own_texts(self) -> DataFrame:
+        """(id, lang, text) of documents under the id they have as content, where their texts are read."""
+        return self._texts.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "lang", "text")
+
+    def of_content(self, rows: DataFrame) -> DataFrame:
+        """Rows, by id, of the documents that are content: those with an event."""
+        events = self.table("events").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("id"))
+        return rows.join(events, "id", "left_semi")
+
     @cached_property
     def flagged(self) -> DataFrame:
         """``v_content_flagged`` without its text."""

@@ -212,3 +212,32 @@ def test_users_of_a_batch_are_told_without_moving_texts(spark, folder, plain_pla
     assert same(content, rows.withColumn("text_hash", F.xxhash64("text")).drop("text"))
     read = _read_items(inputs, _twice(inputs.raw_texts))
     assert read.columns.count("text_hash") == 1 and read.count() == _twice(inputs.raw.where("body IS NOT NULL")).count()
+
+
+def test_languages_are_found_without_moving_texts(spark, folder, plain_plans):
+    from authorloom.operators.langid import detect_language, filter_detected, language_profiles
+
+    c = Inputs(spark, folder)
+    profiles = language_profiles(c.content)
+    for name, by_content in (
+        ("lang_detect", detect_language(c.content, profiles)),
+        ("lang_filter_detected", filter_detected(c.content, profiles).select("id", "has_media")),
+    ):
+        got = QUERIES[name](spark, folder)
+        assert same(got, by_content)
+        assert "id" in moved(got) and "text" not in moved(got)
+
+
+def test_words_of_letters_are_those_of_the_pattern(spark):
+    from authorloom.operators.langid import _letters, text_grams
+
+    # each code point of the first planes in a text of its own kind, and texts at the edges
+    odd = ["", " ", "a", "ab", " a  b ", "7", "İI ΑΣ Σ", "ée", "\U0001d400\U00020000x", "a\x00b", "x" * 9, "1"]
+    odd += ["".join(map(chr, range(i, i + 64))) for i in range(0, 0x30000, 64) if not 0xD800 <= i < 0xE000]
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("t"), r"[^\p{L}]+", " ")), F.lit(" "))
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(F.lower("t").alias("low"), flat.alias("flat")).collect()
+    grams, sizes = text_grams([r.low for r in rows], _letters(spark))
+    assert sizes.tolist() == [len(r.flat) - 2 for r in rows]
+    expected = [r.flat[i : i + 3] for r in rows for i in range(len(r.flat) - 2)]
+    mask = (1 << 21) - 1
+    assert ["".join(chr(g >> s & mask) for s in (42, 21, 0)) for g in grams.tolist()] == expected
